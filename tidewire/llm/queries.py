@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import lm_score, mixing, token_count, toxicity, url_filter
+from tidewire.llm import decontamination, lm_score, mixing, token_count, toxicity, url_filter
 from tidewire.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "severity", "p_toxic", "grade", "toxic")
 
 
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
