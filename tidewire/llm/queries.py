@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import decontamination, lm_score, mixing, token_count, toxicity, url_filter
+from tidewire.llm import decontamination, lm_score, minhash_dedup, mixing, token_count, toxicity, url_filter
 from tidewire.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "group_id", "group_rows", "kept")
+
+
 @query
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
