@@ -44,34 +44,37 @@ def components(links: DataFrame) -> DataFrame:
     """``id, component`` (smallest id reachable) for each id in ``links`` (two long columns) that is
     not its component's smallest. Loops and repeated or reversed links do no harm; no links, no rows.
 
-    Each task first contracts its own links. Then every node points at its smallest neighbour and
-    the links are redrawn between what they point at, until none is left.
+    Each task first contracts its own links. While many are left, every node points at its smallest
+    neighbour, pointers are followed to their ends, and links are redrawn between those.
     """
     a, b = links.columns
     edges = saved(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).mapInArrow(_forest, "id long, component long"))
     known = None
-    while (n := edges.count()) > ONE_TASK:
+    while edges.count() > ONE_TASK:
         both = edges.union(edges.select("component", "id"))
-        point = saved(both.groupBy("id").agg(F.least(F.min("component"), F.col("id")).alias("to")).filter("to < id"))
-        p = point.select(F.col("id").alias("_k"), "to")
-        known = point if known is None else known.join(p, F.col("to") == F.col("_k"), "left").select("id", F.coalesce(p["to"], known["to"]).alias("to")).union(point)
-        known = saved(known)
-        q = point.select(F.col("id").alias("_j"), F.col("to").alias("to2"))
-        moved = edges.join(p, F.col("id") == F.col("_k"), "left").join(q, F.col("component") == F.col("_j"), "left")
-        moved = moved.select(F.coalesce("to", "id").alias("a"), F.coalesce("to2", "component").alias("b")).filter("a != b")
-        edges = saved(moved.distinct().mapInArrow(_forest, "id long, component long"))
-    last = saved(edges.coalesce(1).mapInArrow(_forest, "id long, component long")) if n else edges
+        point = saved(both.groupBy("id").agg(F.min("component").alias("to")).filter("to < id"))
+        while True:
+            point = saved(_followed(point, point).withColumn("_moved", F.col("_on").isNotNull()).drop("_on"))
+            still = point.filter("_moved").limit(1).count()
+            point = point.drop("_moved")
+            if not still:
+                break
+        known = point if known is None else saved(_followed(known, point).drop("_on").unionByName(point))
+        a = _followed(edges.select("component", F.col("id").alias("to")), point).select(F.col("to").alias("a"), "component")
+        b = _followed(a.select("a", F.col("component").alias("to")), point).select("a", F.col("to").alias("b"))
+        edges = saved(b.filter("a != b").distinct().mapInArrow(_forest, "id long, component long"))
+    last = saved(edges.coalesce(1).mapInArrow(_forest, "id long, component long"))
     if known is None:
         return last
-    # A node may point at one that pointed on later; follow until nothing moves.
-    while True:
-        nxt = known.unionByName(last.withColumnRenamed("component", "to")) if "to" in known.columns else known
-        hop = nxt.groupBy("id").agg(F.min("to").alias("to"))
-        on = hop.select(F.col("id").alias("_k"), F.col("to").alias("_on"))
-        new = saved(hop.join(on, F.col("to") == F.col("_k"), "left").select("id", F.coalesce("_on", "to").alias("to"), F.col("_on").isNotNull().alias("moved")))
-        known = new.select("id", "to")
-        if not new.filter("moved").limit(1).count():
-            return known.withColumnRenamed("to", "component")
+    point = last.withColumnRenamed("component", "to")
+    return saved(_followed(known, point).drop("_on").unionByName(point)).withColumnRenamed("to", "component")
+
+
+def _followed(rows: DataFrame, point: DataFrame) -> DataFrame:
+    """``rows`` with ``to`` moved to where ``point`` (``id, to``) sends it; ``_on`` is null where it does not."""
+    on = point.select(F.col("id").alias("_k"), F.col("to").alias("_on"))
+    met = rows.join(on, F.col("to") == F.col("_k"), "left").drop("_k")
+    return met.withColumn("to", F.coalesce("_on", "to"))
 
 
 def linked(

@@ -70,7 +70,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: float, span: int
         n = min(int(counts[i] - take[i]), max(0, open_ - span // 4) // int(lengths[i]) if lengths[i] else 0)
         take[i] += n
         open_ -= n * int(lengths[i])
-    limit = open_ + min(int(lengths[lengths > 0].min()), span)
+    limit = 2 * open_  # what lies above is nearer than nothing only up to there
     mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
     for i in np.argsort(-lengths, kind="stable"):
         size, left, part = int(lengths[i]), int(counts[i] - take[i]), 1
