@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.llm.text import slices
 from tidewire.session import saved
 
 #: Contracted edges up to which one task (16 bytes an edge) ends the work; above, rounds over all tasks.
 ONE_TASK = 400_000
-#: Members of a bucket that are compared with all others of other components in one round.
-PIVOTS = 64
+#: Members of a bucket on either side of a block of comparisons, and distinct values that a step of it multiplies.
+CHUNK, WIDE = 256, 4096
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,59 +79,123 @@ def _followed(rows: DataFrame, point: DataFrame) -> DataFrame:
     return met.withColumn("to", F.coalesce("_on", "to"))
 
 
-def linked(
-    members: DataFrame, similar: Callable[[DataFrame], DataFrame], least: float
-) -> DataFrame:
-    """Components (see :func:`components`) of the pairs that share a bucket and that ``similar`` confirms.
+#: From a column of texts: the distinct values of each, ascending, joined up, and their offsets.
+Items = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], items: Items, least: float) -> DataFrame:
+    """Components (see :func:`components`) of the pairs that share a bucket and are similar.
 
     ``members`` has ``bucket, id, size`` (long, long, int); pairs whose sizes differ by more than the
-    factor ``least`` cannot be similar. ``similar`` takes distinct candidate pairs ``a < b`` and
-    returns those that are. First all members meet their bucket's smallest id; then, while a bucket
-    holds several components, the members outside its largest one meet all members of others. So
-    every pair of a bucket is confirmed, refuted or already connected, without listing all pairs.
+    factor ``least`` cannot be similar. ``texts_of`` takes a table of ids (``id``) and returns ``id,
+    text``, of which ``items`` makes sets; similar is a Jaccard of at least ``least``. First all
+    members meet their bucket's most central one (that whose buckets hold most). In buckets that
+    then hold several components, every member outside the largest one meets all members of others,
+    in blocks of chunks. So every pair of a bucket is confirmed, refuted or already connected.
     """
     bucket = W.partitionBy("bucket")
-    first = members.withColumn("_lead", F.min(F.struct("id", "size")).over(bucket)).withColumn("_last", F.max("id").over(bucket))
-    held = saved(first.filter(F.col("_lead.id") < F.col("_last")).select("bucket", "id", "size", "_lead").distinct())
-    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(least)
-    star = held.filter(F.col("id") > F.col("_lead.id")).filter(fits(F.col("size"), F.col("_lead.size")))
-    checked = saved(star.select(F.col("_lead.id").alias("a"), F.col("id").alias("b")).distinct())
-    links = saved(similar(checked))
+    seen = members.withColumn("_n", F.count("*").over(bucket)).withColumn("_a", F.min("id").over(bucket)).withColumn("_z", F.max("id").over(bucket))
+    held = saved(seen.filter("_a < _z").groupBy("bucket", "id").agg(F.max("size").alias("size"), F.max("_n").alias("_n")))
+    score = held.groupBy(F.col("id").alias("_i")).agg(F.sum("_n").alias("_score"))
+    held = saved(held.join(score, F.col("id") == F.col("_i")).select("bucket", "id", "size", "_score"))
+    lead = held.groupBy("bucket").agg(F.max(F.struct("_score", "id", "size")).alias("_lead"), F.count("*").alias("_n"))
+    star = held.join(lead, "bucket").filter(F.col("id") != F.col("_lead.id"))
+    star = star.filter(F.least("size", "_lead.size") >= F.greatest("size", "_lead.size") * F.lit(least))
+    pairs = saved(star.select(F.least("id", "_lead.id").alias("a"), F.greatest("id", "_lead.id").alias("b")).distinct())
+    links = saved(alike(pairs, texts_of(_ends(pairs)), items, least))
     found = components(links)
-    more = saved(held.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 2"))
-    held = held.join(more, "bucket", "left_semi").select("bucket", "id", "size")
-    done = None
-    while True:
-        now = held.join(found, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("c"))
-        parts = now.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-        main = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("_main"), F.count("*").alias("_k")).filter("_k > 1")
-        now = now.join(main.select("bucket", F.col("_main.c").alias("_main")), "bucket")
-        if done is not None:
-            now = now.join(done.withColumn("_done", F.lit(True)), ["bucket", "id"], "left")
-        else:
-            now = now.withColumn("_done", F.lit(None).cast("boolean"))
-        now = saved(now)
-        odd = now.filter((F.col("c") != F.col("_main")) & F.col("_done").isNull())
-        pivots = odd.withColumn("_r", F.row_number().over(bucket.orderBy("id"))).filter(F.col("_r") <= PIVOTS)
-        pivots = saved(pivots.select("bucket", F.col("id").alias("p"), F.col("size").alias("ps"), F.col("c").alias("pc")))
-        if not pivots.limit(1).count():
-            return found
-        pairs = now.join(pivots, "bucket").filter((F.col("c") != F.col("pc")) & fits(F.col("size"), F.col("ps")))
-        pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        pairs = saved(pairs.join(checked, ["a", "b"], "left_anti"))
-        checked = checked.unionByName(pairs)
-        new = saved(similar(pairs))
-        if new.limit(1).count():
-            links = links.unionByName(new)
-            found = components(links)
-        ended = pivots.select("bucket", F.col("p").alias("id"))
-        done = ended if done is None else done.unionByName(ended)
-
-
-def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs ``a, b`` whose ``sets`` (``id, items`` array<long> of distinct values) have Jaccard at least ``least``."""
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("_x"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("_y"))
-    met = pairs.join(left, "a").join(right, "b")
-    met = met.withColumn("_both", F.size(F.array_intersect("_x", "_y")))
-    return met.filter(F.col("_both") >= F.lit(least) * (F.size("_x") + F.size("_y") - F.col("_both"))).select("a", "b")
+    now = held.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    parts = now.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("_main"), F.count("*").alias("_k"), F.sum("n").alias("_all"))
+    main = main.filter("_k > 1 and _all > 2").select("bucket", F.col("_main.c").alias("_main"), "_all", (F.col("_all") - F.col("_main.n")).alias("_odd"))
+    now = saved(now.join(main, "bucket"))
+    if not now.limit(1).count():
+        return found
+    more = saved(_blocks(now, texts_of(now.select("id").distinct()), items, least))
+    return components(links.select("a", "b").union(more))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+
+def _blocks(members: DataFrame, texts: DataFrame, items: Items, least: float) -> DataFrame:
+    """Links between members outside the largest component of a bucket and members of other components."""
+    rows, odds = F.ceil(F.col("_all") / CHUNK), F.ceil(F.col("_odd") / CHUNK)
+    put = lambda i, j, left: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(left).alias("left"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    right = F.transform(upto(odds), lambda i: put(i, F.pmod(F.xxhash64("id"), rows), False))
+    left = F.transform(upto(rows), lambda j: put(F.pmod(F.xxhash64("id"), odds), j, True))
+    dealt = members.withColumn("p", F.explode(F.when(F.col("c") != F.col("_main"), F.concat(left, right)).otherwise(right)))
+    dealt = dealt.select(F.xxhash64("bucket", "p.i", "p.j").alias("piece"), F.col("p.left").alias("left"), "id", "c")
+    work = dealt.join(texts, "id").select("piece", "left", "id", "c", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            at = 0
+            piece = np.asarray(batch.column("piece"))
+            for to in [*(np.flatnonzero(piece[1:] != piece[:-1]) + 1), len(piece)]:
+                if held and at < to and held[0].column("piece")[0].as_py() != piece[at]:
+                    yield from _forest(_block(held, items, least))
+                    held = []
+                if at < to:
+                    held.append(batch.slice(at, to - at))
+                at = to
+        if held:
+            yield from _forest(_block(held, items, least))
+
+    return work.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "id long, component long")
+
+
+def _block(rows: list[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of one piece, from the sizes of intersections of its left with its right sets."""
+    t = pa.Table.from_batches(rows).combine_chunks()
+    left, ids, comp = (np.asarray(t.column(c)) for c in ("left", "id", "c"))
+    values, offs = items(t.column("text"))
+    size = np.diff(offs)
+    _, code, count = np.unique(values, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(ids)), size)
+    code, owner = code[count[code] > 1], owner[count[code] > 1]
+    code = np.unique(code, return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    both = np.zeros((len(x), len(y)))
+    place = np.empty(len(ids), np.int64)
+    place[x], place[y] = np.arange(len(x)), np.arange(len(y))
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, WIDE):
+        a, b = np.searchsorted(code, (lo, lo + WIDE))
+        mine, own = code[a:b] - lo, owner[a:b]
+        p, q = np.zeros((len(x), WIDE), np.float32), np.zeros((len(y), WIDE), np.float32)
+        p[place[own[left[own]]], mine[left[own]]] = 1
+        q[place[own[~left[own]]], mine[~left[own]]] = 1
+        both += p @ q.T
+    hit = both >= least * (size[x][:, None] + size[y][None, :] - both)
+    hit &= comp[x][:, None] != comp[y][None, :]
+    i, j = np.nonzero(hit)
+    yield pa.RecordBatch.from_arrays([pa.array(ids[x[i]]), pa.array(ids[y[j]])], names=["a", "b"])
+
+
+def alike(pairs: DataFrame, texts: DataFrame, items: Items, least: float) -> DataFrame:
+    """Pairs ``a, b`` whose sets (``items`` of ``texts``) have a Jaccard of at least ``least``."""
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "x"):
+                x, m = items(batch.column("x"))
+                y, n = items(batch.column("y"))
+                keep = np.zeros(batch.num_rows, bool)
+                for r in range(batch.num_rows):
+                    p, q = x[m[r] : m[r + 1]], y[n[r] : n[r + 1]]
+                    if min(len(p), len(q)) >= least * max(len(p), len(q)) > 0:
+                        at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                        both = int((q[at] == p).sum())
+                        keep[r] = both >= least * (len(p) + len(q) - both)
+                at = pa.array(np.flatnonzero(keep))
+                yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return met.mapInArrow(run, "a long, b long")

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.components import alike, linked
+from tidewire.llm.components import linked
 from tidewire.llm.tables import small
-from tidewire.llm.text import BASE, SPACE, U64, hash_spans, mix, powers, slices, text_buffers
+from tidewire.llm.text import BASE, SPACE, U64, hash_spans, joined, mix, powers, slices, text_buffers
 from tidewire.session import saved
 
 SHINGLE, SIMILARITY = 6, 0.8
@@ -37,52 +38,82 @@ def _characters(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return points, upto[starts], upto[ends]
 
 
-def line_shingles(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-character shingles of each line and their line; a shorter line is one shingle."""
+def _rolled(points: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """Hash of the k (even) characters from each place, by doubling; places near the end hold fewer."""
+    p = powers(BASE, k + 1)
+    two = points.astype(U64)
+    two += U64(1)
+    two = np.append(two, np.zeros(k, U64))
     n = len(points)
-    if n >= k:
-        rolled = np.zeros(n - k + 1, U64)
-        for j, p in enumerate(powers(BASE, k)):
-            rolled += (points[j : n - k + 1 + j].astype(U64) + U64(1)) * p
-        rolled = mix(rolled)
-    else:
-        rolled = np.zeros(0, U64)
+    two[:-1] += two[1:] * p[1]
+    out, span = two[: n + k - 2].copy(), 2
+    while span < k:
+        out[:n] += two[span : n + span] * p[span]
+        span += 2
+    return out[:n]
+
+
+def line_items(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct six-character shingles of each text; a shorter text is one shingle."""
+    b, offs = text_buffers(column)
+    points, starts, ends = _characters(b, offs[:-1], offs[1:])
+    rolled = mix(_rolled(points))
+    out = []
+    for s, e in zip(starts, ends, strict=True):
+        if 0 < e - s < SHINGLE:
+            own = (points[s:e].astype(U64) + U64(1)) * powers(BASE, SHINGLE)[: e - s]
+            out.append(mix(own.sum(dtype=U64, keepdims=True) ^ U64(SHINGLE)))
+        else:
+            out.append(np.unique(rolled[s : max(s, e - SHINGLE + 1)]))
+    return joined(out)
+
+
+def band_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Bands of a one-permutation MinHash (BINS bins) of each line's six-character shingles.
+
+    A line shorter than six is one shingle. An empty bin takes the value of a seeded other one."""
+    n, none = len(starts), np.uint32(0xFFFFFFFF)
+    value = ((_rolled(points) * U64(0x9FB21C651E98DF25)) >> U64(32)).astype(np.uint32)
     size = ends - starts
-    counts = np.maximum(size - k + 1, 0)
-    line = np.repeat(np.arange(len(starts)), counts)
-    at = np.arange(len(line)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-    out, short = rolled[at], np.flatnonzero((size > 0) & (size < k))
-    if len(short):
-        own = np.zeros(len(short), U64)
-        for j, p in enumerate(powers(BASE, k)):
-            inside = size[short] > j
-            own[inside] += (points[starts[short[inside]] + j].astype(U64) + U64(1)) * p
-        out, line = np.concatenate((out, mix(own ^ U64(k)))), np.concatenate((line, short))
-    return out, line
-
-
-def band_hashes(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """Bands of an n x BINS one-permutation MinHash; an empty bin takes the value of a seeded other one."""
-    none = U64(0xFFFFFFFFFFFFFFFF)
+    short = np.flatnonzero((size > 0) & (size < SHINGLE))
+    own = np.zeros(len(short), U64)
+    for j, p in enumerate(powers(BASE, SHINGLE)):
+        inside = size[short] > j
+        own[inside] += (points[starts[short[inside]] + j].astype(U64) + U64(1)) * p
+    value[starts[short]] = (mix(own ^ U64(SHINGLE)) >> U64(32)).astype(np.uint32)
+    counts = np.where(size >= SHINGLE, size - SHINGLE + 1, np.minimum(size, 1))
+    # Mark where shingles begin; line bases repeat over their own places only.
+    edge = np.zeros(len(points) + 1, np.int8)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + counts, -1)
+    value = value[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    place = np.repeat(np.arange(n) * BINS, counts)
+    place += ((value.astype(U64) * U64(BINS)) >> U64(32)).astype(np.int64)
     bins = np.full(n * BINS, none)
-    place = ((h >> U64(32)) * U64(BINS)) >> U64(32)
-    np.minimum.at(bins, line * BINS + place.astype(np.int64), h)
+    np.minimum.at(bins, place, value)
     bins = bins.reshape(n, BINS)
-    own, step = bins.copy(), 0
-    while len(rows := np.flatnonzero((bins == none).any(1) & (own != none).any(1))):
+    step, first = 0, bins.copy()
+    rows = np.flatnonzero((bins == none).any(1) & (bins != none).any(1))
+    while len(rows):
         step += 1
         jump = (mix(np.arange(BINS, dtype=U64) + U64(step << 8)) % U64(BINS)).astype(np.int64)
-        part, donor = bins[rows], own[rows][:, jump]
-        bins[rows] = np.where((part == none) & (donor != none), mix(donor + np.arange(BINS, dtype=U64)), part)
+        part, donor = bins[rows], first[rows][:, jump]
+        salted = (mix(donor + np.arange(BINS, dtype=U64) * U64(BASE)) >> U64(33)).astype(np.uint32)
+        bins[rows] = np.where((part == none) & (donor != none), salted, part)
+        rows = rows[(bins[rows] == none).any(1)]
     out = np.zeros((n, BANDS), U64)
     for j, p in enumerate(powers(0xD6E8FEB86659FD93, ROWS + 1)[1:]):
-        out += mix(bins.reshape(n, BANDS, ROWS)[:, :, j]) * p
-    return mix(out + np.arange(BANDS, dtype=U64) * U64(BASE))
+        out += (bins.reshape(n, BANDS, ROWS)[:, :, j].astype(U64) + U64(1)) * p
+    return mix(mix(out) + np.arange(BANDS, dtype=U64) * U64(BASE))
 
 
 def _blank(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    ink = np.concatenate(([0], np.cumsum(~SPACE[b])))
-    return ink[ends] == ink[starts]
+    """Lines without ink; lines that begin with a space are looked through."""
+    out = starts == ends
+    some = np.flatnonzero(~out)
+    some = some[SPACE[b[starts[some]]]]
+    out[some] = [bool(SPACE[b[s:e]].all()) for s, e in zip(starts[some], ends[some], strict=True)]
+    return out
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -100,7 +131,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 _, first = np.unique(hashes, return_index=True)
                 first = np.sort(first)
                 points, s, e = _characters(b, starts, ends)
-                bands = band_hashes(*line_shingles(points, s[first], e[first]), len(first))
+                bands = band_hashes(points, s[first], e[first])
                 given = np.zeros(len(hashes), bool)
                 given[first] = True
                 at = np.concatenate(([0], np.cumsum(np.where(given, BANDS, 0)))).astype(np.int32)
@@ -113,8 +144,8 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"_id {kind}, _t long, n int, line long, size int, bands array<long>")
 
 
-def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, items``: shingle sets of the lines in ``wanted`` (``line`` and one place of it: ``_id, _t, n``)."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, text`` of the lines in ``wanted`` (``line`` and one place of it: ``_id, _t, n``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -123,22 +154,17 @@ def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 starts, ends, row, _ = lines_of(b, offs)
                 head = np.searchsorted(row, np.arange(batch.num_rows))
                 asked = batch.column("asked")
-                places = np.repeat(head, np.diff(np.asarray(asked.offsets))) + np.asarray(asked.flatten().field("n"))
-                ids = np.asarray(asked.flatten().field("line"))
+                item = asked.flatten()
+                places = np.repeat(head, np.diff(np.asarray(asked.offsets))) + np.asarray(item.field("n"))
+                ids = np.asarray(item.field("line"))
                 keep = hash_spans_any(b, starts[places], ends[places]).view(np.int64) == ids
-                places, ids = places[keep], ids[keep]
-                points, s, e = _characters(b, starts[places], ends[places])
-                h, line = line_shingles(points, s, e)
-                h = h[np.argsort(line, kind="stable")]
-                each = [np.unique(x) for x in np.split(h, np.cumsum(np.bincount(line, minlength=len(ids)))[:-1])] if len(ids) else []
-                to = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(to), pa.array(np.concatenate([np.zeros(0, U64), *each]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), lists], names=["id", "items"])
+                raw = [b[p:q].tobytes().decode("utf-8") for p, q in zip(starts[places[keep]], ends[places[keep]], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(raw, pa.string())], names=["id", "text"])
 
     asked = saved(wanted.groupBy("_id", "_t").agg(F.collect_list(F.struct("n", "line")).alias("asked")))
     a = small(asked.withColumnsRenamed({"_id": "_i", "_t": "_u"}))
     met = docs.join(a, docs["_id"].eqNullSafe(a["_i"]) & (docs["_t"] == a["_u"])).select("_text", "asked")
-    return met.mapInArrow(run, "id long, items array<long>").dropDuplicates(["id"])
+    return met.mapInArrow(run, "id long, text string")
 
 
 def hash_spans_any(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -165,21 +191,17 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     places = drawn.filter("bands is not null").select("line", "_id", "_t", "n")
     contents: list[DataFrame] = []
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+    def texts_of(ids: DataFrame) -> DataFrame:
+        new = ids.withColumnRenamed("id", "line")
         for have in contents:
-            ids = ids.join(have.select(F.col("id").alias("line")), "line", "left_anti")
+            new = new.join(have.select(F.col("id").alias("line")), "line", "left_anti")
         place = F.min(F.struct("_id", "_t", "n")).alias("p")
-        wanted = saved(places.join(ids, "line", "left_semi").groupBy("line").agg(place).select("line", "p._id", "p._t", "p.n"))
-        if wanted.limit(1).count():
-            contents.append(saved(_contents(body, wanted)))
-        sets = contents[0] if contents else docs.sparkSession.range(0).select("id", F.array("id").alias("items"))
-        for have in contents[1:]:
-            sets = sets.unionByName(have)
-        return alike(pairs, sets, similarity)
+        wanted = saved(places.join(new, "line", "left_semi").groupBy("line").agg(place).select("line", "p._id", "p._t", "p.n"))
+        contents.append(saved(_texts(body, wanted)))
+        return reduce(DataFrame.unionByName, contents)
 
     # Sets may be smaller than lines are long, so sizes do not bound similarity here.
-    found = linked(members.withColumn("size", F.lit(1)), similar, similarity)
+    found = linked(members.withColumn("size", F.lit(1)), texts_of, line_items, similarity)
     f = found.select(F.col("id").alias("_k"), "component")
     rows = drawn.select("_id", "_t", "n", "line").join(f, F.col("line") == F.col("_k"), "left")
     rows = saved(rows.select("_id", "_t", "n", F.coalesce("component", "line").alias("g")))

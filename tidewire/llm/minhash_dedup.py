@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.components import alike, linked
+from tidewire.llm.components import linked
 from tidewire.llm.tables import fresh, small
-from tidewire.llm.text import U64, mix, powers, shingles, slices, words_of
+from tidewire.llm.text import U64, joined, mix, powers, shingles, slices, words_of
 from tidewire.session import saved
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -74,11 +75,15 @@ def _class(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _occurrences(h: np.ndarray) -> np.ndarray:
-    """Multiset as a set: the k-th occurrence of a shingle is an element of its own."""
-    items, counts = np.unique(shingles(h, SHINGLE), return_counts=True)
-    k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return mix(np.repeat(items, counts) + k.astype(U64) * POINT)
+def occurrences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle multisets of texts as sets: the k-th occurrence of a shingle is a value of its own."""
+    h, offs = words_of(column)
+    out = []
+    for at, to in zip(offs[:-1], offs[1:], strict=True):
+        values, counts = np.unique(shingles(h[at:to], SHINGLE), return_counts=True)
+        k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        out.append(np.sort(mix(np.repeat(values, counts) + k.astype(U64) * POINT)))
+    return joined(out)
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,23 +116,19 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return picked.mapInArrow(run, f"_id {kind}, class long, size int, bands array<long>")
 
 
-def _contents(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``id, items`` for the classes in ``wanted`` (``class, _id``: a document that has it)."""
+def _texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``id, text`` for the classes in ``wanted`` (``class, _id``: a document that has it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text"):
-                h, offs = words_of(batch.column("_text"))
-                same = _class(h, offs).view(np.int64) == np.asarray(batch.column("class"))
-                at = np.flatnonzero(same & (np.diff(offs) > 0))
-                each = [_occurrences(h[offs[i] : offs[i + 1]]).view(np.int64) for i in at]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
-                yield pa.RecordBatch.from_arrays([batch.column("class").take(pa.array(at)), lists], names=["id", "items"])
+                same = _class(*words_of(batch.column("_text"))).view(np.int64) == np.asarray(batch.column("class"))
+                at = pa.array(np.flatnonzero(same))
+                yield pa.RecordBatch.from_arrays([batch.column("class").take(at), batch.column("_text").take(at)], names=["id", "text"])
 
     body = docs.select(docs[doc_id].alias("_doc"), docs[text].alias("_text"))
     picked = body.join(small(wanted), body["_doc"].eqNullSafe(wanted["_id"])).select("class", "_text")
-    return picked.mapInArrow(run, "id long, items array<long>").dropDuplicates(["id"])
+    return picked.mapInArrow(run, "id long, text string")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,19 +146,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     contents: list[DataFrame] = []
     sample = drawn.filter("bands is not null").groupBy("class").agg(F.min("_id").alias("_id"))
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    def texts_of(ids: DataFrame) -> DataFrame:
+        new = ids.withColumnRenamed("id", "class")
         for have in contents:
-            ids = ids.join(have.select(F.col("id").alias("class")), "class", "left_anti")
-        wanted = saved(sample.join(ids, "class", "left_semi"))
-        if wanted.limit(1).count():
-            contents.append(saved(_contents(docs, wanted, doc_id, text)))
-        sets = contents[0] if contents else docs.sparkSession.range(0).select("id", F.array("id").alias("items"))
-        for have in contents[1:]:
-            sets = sets.unionByName(have)
-        return alike(pairs, sets, similarity)
-
-    found = linked(members, similar, similarity)
+            new = new.join(have.select(F.col("id").alias("class")), "class", "left_anti")
+        wanted = saved(sample.join(new, "class", "left_semi"))
+        contents.append(saved(_texts(docs, wanted, doc_id, text)))
+        return reduce(DataFrame.unionByName, contents)
+
+    found = linked(members, texts_of, occurrences, similarity)
     f = found.select(F.col("id").alias("_k"), "component")
     rows = saved(drawn.select("_id", "class").join(f, F.col("class") == F.col("_k"), "left").select("_id", "class", F.coalesce("component", "class").alias("g")))
     groups = rows.filter("g is not null").groupBy("g").agg(F.min("_id").alias("group_id"), F.count("*").alias("group_rows"))

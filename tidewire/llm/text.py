@@ -126,3 +126,8 @@ def ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     group = np.repeat(np.arange(len(counts)), counts)
     begin = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else np.zeros(0, np.int64)
     return group, np.arange(len(group)) - np.repeat(begin, counts)
+
+
+def joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays end to end, and their offsets."""
+    return np.concatenate([np.zeros(0, U64), *sets]), np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64)
