@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.tables import fresh
 from tidewire.llm.text import hash_spans, mix, slices, spans, text_buffers
+from tidewire.session import saved
 
 #: Labelled rows that the model is fitted on at most: those first by hash of the id.
 SAMPLE = 12_000
@@ -83,53 +84,74 @@ def _fit_ordinal(row: np.ndarray, col: np.ndarray, n_cols: int, y: np.ndarray, g
     return p[:n_cols], np.cumsum(np.concatenate(([p[n_cols]], np.exp(p[n_cols + 1 :]))))
 
 
-def fit(rows: list[np.ndarray], words: np.ndarray, toxic: np.ndarray, grades: int = GRADES) -> Model:
-    """Fit on each row's distinct features. Grade 0 is not toxic; toxic rows fall into the others by
-    the share of their words that carry screened features (equal parts). With only one class present
-    nothing can be told apart: no features, and thresholds that grade all rows 0."""
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(grades - 1, 40.0))
+def fit(keys: np.ndarray, z: np.ndarray, rows: list[np.ndarray], words: np.ndarray, toxic: np.ndarray, grades: int = GRADES) -> Model:
+    """Fit on each row's places in the screened ``keys``, whose class difference is ``z``. Grade 0 is not
+    toxic; toxic rows fall into the others by the share of their words that carry toxic features (equal
+    parts). With only one class present nothing can be told apart: all rows are graded 0."""
     n1 = int(toxic.sum())
-    n0 = len(toxic) - n1
-    if not n1 or not n0:
-        return none
-    counts = np.array([len(r) for r in rows])
-    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), counts)
-    keys, col, df = np.unique(flat, return_inverse=True, return_counts=True)
-    pos = np.bincount(col, toxic[row].astype(float), len(keys))
-    rate = df / len(toxic)
-    z = (pos / n1 - (df - pos) / n0) / np.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0) + 1e-12)
-    use = np.flatnonzero((np.abs(z) >= LEAST_Z) & (df >= LEAST_DOCS) & (rate < 0.5))
-    use = np.sort(use[np.argsort(-np.abs(z[use]), kind="stable")[:MOST_FEATURES]])
-    place = np.full(len(keys), -1)
-    place[use] = np.arange(len(use))
-    at = place[col] >= 0
-    row, col = row[at], place[col[at]]
-    share = np.bincount(row, (z[use] > 0)[col].astype(float), len(rows)) / np.maximum(words, 1)
+    if not n1 or n1 == len(toxic):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(grades - 1, 40.0))
+    col = np.concatenate([np.zeros(0, np.int64), *rows])
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    share = np.bincount(row, (z > 0)[col].astype(float), len(rows)) / np.maximum(words, 1)
     y = np.zeros(len(rows), np.int64)
     order = np.argsort(share[toxic], kind="stable")
     y[np.flatnonzero(toxic)[order]] = 1 + np.arange(n1) * (grades - 1) // n1
-    weights, thresholds = _fit_ordinal(row, col, len(use), y, grades)
-    return Model(keys[use], weights, thresholds)
+    return Model(keys, *_fit_ordinal(row, col, len(keys), y, grades))
+
+
+def _distinct(h: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
+    each = np.split(h[np.argsort(row, kind="stable")], np.cumsum(np.bincount(row, minlength=n))[:-1]) if n else []
+    return [np.unique(x) for x in each]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on at most ``sample`` labelled documents, whole texts; labels repeated for an id count as toxic if any is."""
+    """Fit on at most ``sample`` labelled documents, whole texts; labels repeated for an id count as toxic if any is.
+
+    Executors count each feature's documents per class; the features that differ most (MOST_FEATURES at
+    most) reach the driver, then the places of those in each sampled document: both bounded."""
     picked = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
-    picked = picked.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    body = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text"))
+    picked = picked.groupBy(F.col(doc_id).alias("_id")).agg((F.max(label) > 0).alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    picked = F.broadcast(saved(picked))
+    body = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text")).join(picked, "_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "_text"):
+                h, row, _ = features(batch.column("_text"))
+                each = _distinct(h, row, batch.num_rows)
+                key, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_inverse=True)
+                toxic = np.repeat(np.asarray(batch.column("_y")).astype(bool), [len(x) for x in each])
+                pos = np.bincount(at, toxic, len(key)).astype(np.int64)
+                df = np.bincount(at, minlength=len(key))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pos), pa.array(df)], names=["key", "pos", "df"])
+
+    sizes = {r._y: r.n for r in docs.select(docs[doc_id].alias("_id")).join(picked, "_id").groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
+    if not n1 or not n0:
+        return fit(np.zeros(0, np.uint64), np.zeros(0), [], np.zeros(0), np.zeros(0, bool))
+    total = body.mapInArrow(count, "key long, pos long, df long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("df").alias("df"))
+    rate = F.col("df") / (n1 + n0)
+    z = (F.col("pos") / n1 - (F.col("df") - F.col("pos")) / n0) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0) + 1e-12)
+    kept = total.filter((F.col("df") >= LEAST_DOCS) & (rate < 0.5)).withColumn("z", z).filter(F.abs("z") >= LEAST_Z)
+    got = kept.orderBy(F.desc(F.abs("z")), "key").limit(MOST_FEATURES).select("key", "z").toPandas()
+    keys = got["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    keys, z = keys[order], got["z"].to_numpy(float)[order]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text"):
                 h, row, words = features(batch.column("_text"))
-                each = np.split(h[np.argsort(row, kind="stable")], np.cumsum(np.bincount(row, minlength=batch.num_rows))[:-1])
-                packed = pa.array([np.unique(x).tobytes() for x in each], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y").cast(pa.int64()), pa.array(words, pa.int64()), packed], names=["_id", "_y", "words", "packed"])
-
-    found = body.join(F.broadcast(picked), "_id").mapInArrow(run, f"_id {body.dtypes[0][1]}, _y long, words long, packed binary")
-    got = found.toPandas().sort_values(["_id", "packed"], kind="stable")
-    rows = [np.frombuffer(x, np.uint64) for x in got["packed"]]
-    return fit(rows, got["words"].to_numpy(), got["_y"].to_numpy() > 0)
+                at = np.append(np.searchsorted(keys, h), 0)[:-1]
+                hit = np.append(keys, np.uint64(0))[at] == h
+                hit &= at < len(keys)
+                packed = pa.array([x.astype(np.int32).tobytes() for x in _distinct(at[hit], row[hit], batch.num_rows)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(words, pa.int64()), packed], names=["_id", "_y", "words", "packed"])
+
+    kind = dict(body.dtypes)["_id"]
+    rows = body.mapInArrow(place, f"_id {kind}, _y boolean, words long, packed binary").toPandas().sort_values(["_id", "packed"], kind="stable")
+    return fit(keys, z, [np.frombuffer(x, np.int32).astype(np.int64) for x in rows["packed"]], rows["words"].to_numpy(), rows["_y"].to_numpy(bool))
 
 
 def severity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
