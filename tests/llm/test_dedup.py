@@ -9,6 +9,7 @@ import pytest
 from tests.llm.cases import SCHEMA, corpus, frame, prose, union_find, words
 from tidewire.llm import components, embedding_dedup, line_dedup, minhash_dedup, substring_dedup
 from tidewire.llm.e8 import SHORTEST, nearest
+from tidewire.llm.text import joined
 
 
 def cut(rows):
@@ -112,12 +113,45 @@ def test_bag_minhash_is_unbiased():
     assert abs((both[0] == both[1]).mean() - want) < 4 * math.sqrt(want * (1 - want) / 4096)
 
 
-def test_links_in_a_bucket_are_not_lost_when_its_first_member_is_unlike(spark):
-    # 1 is like none; 2-3, 3-4 and 5-6 are alike; 7 is alone: stars around 1 find nothing.
-    true = {(2, 3), (3, 4), (5, 6)}
-    members = spark.createDataFrame([(9, i, 10) for i in range(1, 8)], "bucket long, id long, size int")
-    similar = lambda pairs: pairs.join(spark.createDataFrame(list(true), "a long, b long"), ["a", "b"])
-    got = {r.id: r.component for r in components.linked(members, similar, 0.8).collect()}
+def test_pieces_by_pairs_and_by_products(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(12):
+        for r in range(int(rng.integers(2, 9))):
+            base = set(rng.integers(0, 12, 9).tolist())
+            rows.append({"piece": k, "left": bool(rng.integers(2)), "id": 100 * k + r, "c": r, "text": " ".join(map(str, sorted(base)))})
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("piece", pa.int64()), ("left", pa.bool_()), ("id", pa.int64()), ("c", pa.int64()), ("text", pa.string())]))
+
+    def items(column):
+        return joined([np.unique(np.array(t.split(), np.uint64)) << np.uint64(20) for t in column.to_pylist()])
+
+    want = set()
+    for a in rows:
+        for b in rows:
+            x, y = set(a["text"].split()), set(b["text"].split())
+            if a["piece"] == b["piece"] and a["left"] and not b["left"] and a["id"] != b["id"] and len(x & y) >= 0.8 * len(x | y):
+                want.add((min(a["id"], b["id"]), max(a["id"], b["id"])))
+    for small, wide in ((16, 4096), (0, 3), (4, 5)):
+        monkeypatch.setattr(components, "SMALL", small)
+        monkeypatch.setattr(components, "WIDE", wide)
+        got = {(min(a, b), max(a, b)) for t in components._compared([batch], items, 0.8) for a, b in zip(*(c.to_pylist() for c in t.columns), strict=True)}
+        assert got == want
+
+
+@pytest.mark.parametrize("chunk", [256, 2])
+def test_no_link_in_a_bucket_is_lost(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    # One bucket: 1 is like none and 7 and 8 are alone; stars around any one member miss links.
+    sets = {1: range(0, 9), 2: range(10, 20), 3: range(11, 21), 4: range(12, 22), 5: range(40, 50), 6: range(41, 51), 7: range(60, 70), 8: [0, 10, 40]}
+    members = spark.createDataFrame([(9, i, 10) for i in sets] + [(8, 5, 10), (8, 6, 10), (7, 1, 10)], "bucket long, id long, size int")
+    texts = spark.createDataFrame([(i, " ".join(map(str, x))) for i, x in sets.items()], "id long, text string")
+
+    def items(column):
+        return joined([np.unique(np.array(t.split(), np.uint64)) << np.uint64(20) for t in column.to_pylist()])
+
+    got = {r.id: r.component for r in components.linked(members, lambda ids: texts.join(ids, "id"), items, 0.8).collect()}
     assert got == {3: 2, 4: 2, 6: 5}
 
 

@@ -17,6 +17,8 @@ from tidewire.session import saved
 ONE_TASK = 400_000
 #: Members of a bucket on either side of a block of comparisons, and distinct values that a step of it multiplies.
 CHUNK, WIDE = 256, 4096
+#: Rows of a piece up to which its pairs are listed; values sorted at once.
+SMALL, STEP = 16, 2_000_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,49 +134,107 @@ def _blocks(members: DataFrame, texts: DataFrame, items: Items, least: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
-            at = 0
-            piece = np.asarray(batch.column("piece"))
-            for to in [*(np.flatnonzero(piece[1:] != piece[:-1]) + 1), len(piece)]:
-                if held and at < to and held[0].column("piece")[0].as_py() != piece[at]:
-                    yield from _forest(_block(held, items, least))
-                    held = []
-                if at < to:
-                    held.append(batch.slice(at, to - at))
-                at = to
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                if held:
+                    # Pieces are whole when compared: rows that go on with the last piece join it.
+                    piece, last = np.asarray(batch.column("piece")), held[-1].column("piece")[-1].as_py()
+                    cut = int(np.argmax(piece != last)) if (piece != last).any() else len(piece)
+                    held.append(batch.slice(0, cut))
+                    if cut == len(piece):
+                        continue
+                    yield from _forest(_compared(held, items, least))
+                    batch = batch.slice(cut)
+                held = [batch]
         if held:
-            yield from _forest(_block(held, items, least))
+            yield from _forest(_compared(held, items, least))
 
     return work.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "id long, component long")
 
 
-def _block(rows: list[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of one piece, from the sizes of intersections of its left with its right sets."""
+def _compared(rows: list[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of whole pieces: pairs of small ones by merging sets, large ones by matrix products."""
     t = pa.Table.from_batches(rows).combine_chunks()
-    left, ids, comp = (np.asarray(t.column(c)) for c in ("left", "id", "c"))
-    values, offs = items(t.column("text"))
+    piece, left, ids, comp = (np.asarray(t.column(c)) for c in ("piece", "left", "id", "c"))
+    own, at, place = np.unique(ids, return_index=True, return_inverse=True)
+    values, offs = items(t.column("text").combine_chunks().take(pa.array(at)))
+    size = np.diff(offs)[place]
+    begin = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+    n = np.diff(np.append(begin, len(piece)))
+    x = y = np.zeros(0, np.int64)
+    order = np.lexsort((~left, np.repeat(np.arange(len(n)), n)))
+    n_left = np.add.reduceat(left.astype(np.int64), begin)
+    few = n <= SMALL
+    group, i, j = every_pair(np.where(few, n_left, 0), np.where(few, n - n_left, 0))
+    x, y = order[begin[group] + i], order[begin[group] + n_left[group] + j]
+    use = (comp[x] != comp[y]) & (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y]))
+    pairs = np.unique(np.sort(np.stack((place[x[use]], place[y[use]]), 1), axis=1), axis=0)
+    p, q = pairs[:, 0], pairs[:, 1]
+    both, sizes = intersections(values, offs, p, q), np.diff(offs)
+    hit = both >= least * (sizes[p] + sizes[q] - both)
+    found = [(own[p[hit]], own[q[hit]])]
+    for b, k in zip(begin[~few], n[~few], strict=True):
+        at = slice(b, b + k)
+        found.append(_products(values, offs, place[at], left[at], comp[at], own, least))
+    for a, b in found:
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def every_pair(n_left: np.ndarray, n_right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (group, left place, right place) of groups with the given numbers of left and right rows."""
+    total = n_left * n_right
+    group = np.repeat(np.arange(len(total)), total)
+    k = np.arange(len(group)) - np.repeat(np.cumsum(total) - total, total)
+    width = np.maximum(n_right, 1)[group]
+    return group, k // width, k % width
+
+
+def intersections(values: np.ndarray, offs: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i and j (ascending distinct values between offsets), by sorting
+    (pair, top 48 bits of the value)."""
     size = np.diff(offs)
-    _, code, count = np.unique(values, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(ids)), size)
-    code, owner = code[count[code] > 1], owner[count[code] > 1]
+    out = np.zeros(len(i), np.int64)
+    upto, at = np.cumsum(size[i] + size[j]), 0
+    while at < len(i):
+        to = min(at + 65_535, max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP, "right"))))
+        keys = []
+        for rows in (i[at:to], j[at:to]):
+            k, n = np.repeat(np.arange(to - at), size[rows]), size[rows]
+            pos = np.arange(len(k)) + np.repeat(offs[rows] - (np.cumsum(n) - n), n)
+            keys.append((k.astype(np.uint64) << np.uint64(48)) | (values[pos] >> np.uint64(16)))
+        both = np.sort(np.concatenate(keys))
+        same = both[1:] == both[:-1]
+        out[at:to] = np.bincount((both[1:][same] >> np.uint64(48)).astype(np.int64), minlength=to - at)
+        at = to
+    return out
+
+
+def _products(values, offs, place, left, comp, own, least) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one large piece, from products of its left and right incidence matrices."""
+    size = np.diff(offs)[place]
+    owner = np.repeat(np.arange(len(place)), size)
+    pos = np.arange(len(owner)) + np.repeat(offs[place] - (np.cumsum(size) - size), size)
+    _, code, count = np.unique(values[pos], return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    code, owner = code[shared], owner[shared]
     code = np.unique(code, return_inverse=True)[1]
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
     x, y = np.flatnonzero(left), np.flatnonzero(~left)
     both = np.zeros((len(x), len(y)))
-    place = np.empty(len(ids), np.int64)
-    place[x], place[y] = np.arange(len(x)), np.arange(len(y))
+    to = np.empty(len(place), np.int64)
+    to[x], to[y] = np.arange(len(x)), np.arange(len(y))
     for lo in range(0, int(code[-1]) + 1 if len(code) else 0, WIDE):
         a, b = np.searchsorted(code, (lo, lo + WIDE))
-        mine, own = code[a:b] - lo, owner[a:b]
+        mine, who = code[a:b] - lo, owner[a:b]
         p, q = np.zeros((len(x), WIDE), np.float32), np.zeros((len(y), WIDE), np.float32)
-        p[place[own[left[own]]], mine[left[own]]] = 1
-        q[place[own[~left[own]]], mine[~left[own]]] = 1
+        p[to[who[left[who]]], mine[left[who]]] = 1
+        q[to[who[~left[who]]], mine[~left[who]]] = 1
         both += p @ q.T
     hit = both >= least * (size[x][:, None] + size[y][None, :] - both)
     hit &= comp[x][:, None] != comp[y][None, :]
     i, j = np.nonzero(hit)
-    yield pa.RecordBatch.from_arrays([pa.array(ids[x[i]]), pa.array(ids[y[j]])], names=["a", "b"])
+    return own[place[x[i]]], own[place[y[j]]]
 
 
 def alike(pairs: DataFrame, texts: DataFrame, items: Items, least: float) -> DataFrame:
@@ -185,17 +245,15 @@ def alike(pairs: DataFrame, texts: DataFrame, items: Items, least: float) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "x"):
-                x, m = items(batch.column("x"))
-                y, n = items(batch.column("y"))
-                keep = np.zeros(batch.num_rows, bool)
-                for r in range(batch.num_rows):
-                    p, q = x[m[r] : m[r + 1]], y[n[r] : n[r + 1]]
-                    if min(len(p), len(q)) >= least * max(len(p), len(q)) > 0:
-                        at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                        both = int((q[at] == p).sum())
-                        keep[r] = both >= least * (len(p) + len(q) - both)
-                at = pa.array(np.flatnonzero(keep))
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+                a, b = np.asarray(batch.column("a")), np.asarray(batch.column("b"))
+                _, at, place = np.unique(np.concatenate((a, b)), return_index=True, return_inverse=True)
+                both = pa.chunked_array([batch.column("x"), batch.column("y")]).combine_chunks()
+                values, offs = items(both.take(pa.array(at)))
+                i, j, size = place[: len(a)], place[len(a) :], np.diff(offs)
+                fits = np.flatnonzero(np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]))
+                n = intersections(values, offs, i[fits], j[fits])
+                keep = pa.array(fits[n >= least * (size[i[fits]] + size[j[fits]] - n)])
+                yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return met.mapInArrow(run, "a long, b long")

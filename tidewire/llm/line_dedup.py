@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.components import linked
 from tidewire.llm.tables import small
-from tidewire.llm.text import BASE, SPACE, U64, hash_spans, joined, mix, powers, slices, text_buffers
+from tidewire.llm.text import BASE, SPACE, U64, hash_spans, mix, powers, slices, text_buffers
 from tidewire.session import saved
 
 SHINGLE, SIMILARITY = 6, 0.8
 #: 10 bands of 4 bins: lines at 0.8 share a band with probability 0.995.
 BANDS, ROWS = 10, 4
 BINS = BANDS * ROWS
+#: Rows of a few longs each up to which a counted table is broadcast.
+IDS = 500_000
 
 
 def lines_of(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,18 +56,24 @@ def _rolled(points: np.ndarray, k: int = SHINGLE) -> np.ndarray:
 
 
 def line_items(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct six-character shingles of each text; a shorter text is one shingle."""
+    """Distinct six-character shingles (48-bit hashes, in the top bits) of each text; a shorter text is one shingle."""
     b, offs = text_buffers(column)
     points, starts, ends = _characters(b, offs[:-1], offs[1:])
-    rolled = mix(_rolled(points))
-    out = []
-    for s, e in zip(starts, ends, strict=True):
-        if 0 < e - s < SHINGLE:
-            own = (points[s:e].astype(U64) + U64(1)) * powers(BASE, SHINGLE)[: e - s]
-            out.append(mix(own.sum(dtype=U64, keepdims=True) ^ U64(SHINGLE)))
-        else:
-            out.append(np.unique(rolled[s : max(s, e - SHINGLE + 1)]))
-    return joined(out)
+    rolled, size, n = mix(_rolled(points)), ends - starts, len(starts)
+    counts = np.where(size >= SHINGLE, size - SHINGLE + 1, np.minimum(size, 1))
+    for r in np.flatnonzero((size > 0) & (size < SHINGLE)):
+        own = (points[starts[r] : ends[r]].astype(U64) + U64(1)) * powers(BASE, SHINGLE)[: size[r]]
+        rolled[starts[r]] = mix(own.sum(dtype=U64, keepdims=True) ^ U64(SHINGLE))[0]
+    out, total = [], np.zeros(n, np.int64)
+    for at in range(0, n, 65_536):
+        c = counts[at : at + 65_536]
+        row = np.repeat(np.arange(len(c)), c)
+        pos = np.arange(len(row)) + np.repeat(starts[at : at + 65_536] - (np.cumsum(c) - c), c)
+        keys = np.sort((row.astype(U64) << U64(48)) | (rolled[pos] >> U64(16)))
+        keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+        total[at : at + 65_536] = np.bincount((keys >> U64(48)).astype(np.int64), minlength=len(c))
+        out.append(keys << U64(16))
+    return np.concatenate([np.zeros(0, U64), *out]), np.concatenate(([0], np.cumsum(total)))
 
 
 def band_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -196,21 +204,21 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
         for have in contents:
             new = new.join(have.select(F.col("id").alias("line")), "line", "left_anti")
         place = F.min(F.struct("_id", "_t", "n")).alias("p")
-        wanted = saved(places.join(new, "line", "left_semi").groupBy("line").agg(place).select("line", "p._id", "p._t", "p.n"))
+        wanted = saved(places.join(small(saved(new), IDS), "line", "left_semi").groupBy("line").agg(place).select("line", "p._id", "p._t", "p.n"))
         contents.append(saved(_texts(body, wanted)))
         return reduce(DataFrame.unionByName, contents)
 
     # Sets may be smaller than lines are long, so sizes do not bound similarity here.
     found = linked(members.withColumn("size", F.lit(1)), texts_of, line_items, similarity)
-    f = found.select(F.col("id").alias("_k"), "component")
+    f = small(found.select(F.col("id").alias("_k"), "component"), IDS)
     rows = drawn.select("_id", "_t", "n", "line").join(f, F.col("line") == F.col("_k"), "left")
     rows = saved(rows.select("_id", "_t", "n", F.coalesce("component", "line").alias("g")))
     # A group's first document, then that document's first line of the group; both combine before the shuffle.
     docs_of = rows.groupBy("g").agg(F.min("_id").alias("_i"), F.sum(F.col("_id").isNull().cast("int")).alias("_nulls"), F.count("*").alias("_n"))
     docs_of = saved(docs_of.filter("_n > 1").select(F.col("g").alias("_g"), F.when(F.col("_nulls") == 0, F.col("_i")).alias("_i")))
-    held = rows.join(docs_of, F.col("g") == F.col("_g"))
+    held = saved(rows.join(small(docs_of, IDS), F.col("g") == F.col("_g")))
     firsts = held.filter(F.col("_id").eqNullSafe(F.col("_i"))).groupBy(F.col("g").alias("_h")).agg(F.min(F.struct("n", "_t")).alias("_first"))
-    lost = held.join(firsts, F.col("g") == F.col("_h")).filter(
+    lost = held.join(small(saved(firsts), IDS), F.col("g") == F.col("_h")).filter(
         ~(F.col("_id").eqNullSafe(F.col("_i")) & (F.col("n") == F.col("_first.n")) & (F.col("_t") == F.col("_first._t")))
     )
     return lost.groupBy("_id", "_t").agg(F.sort_array(F.collect_set("n")).alias("removed"))
