@@ -161,11 +161,14 @@ def butterworth(order: int, cutoff: float | tuple[float, float], fs: float, kind
     pz, zz = (k + p) / (k - p), (k + z) / (k - z)
     gain = gain * np.prod(k - z) / np.prod(k - p)
     zz = np.concatenate((zz, -np.ones(len(p) - len(z))))
-    pair = lambda r: sorted(r, key=lambda v: (int(abs(v.imag) > 1e-12), round(v.real, 9), abs(v.imag), v.imag))
-    pz, zz = pair(pz.astype(complex)), pair(zz.astype(complex))
-    out = []
-    for i in range(0, len(pz), 2):
-        out.append((np.real(np.poly(zz[i : i + 2])), np.real(np.poly(pz[i : i + 2]))))
+
+    def grouped(roots: np.ndarray) -> list[list[complex]]:
+        """Conjugate pairs, then real roots two by two."""
+        upper = sorted((r for r in roots if r.imag > 1e-9), key=lambda r: (r.real, r.imag))
+        real = sorted(r.real for r in roots if abs(r.imag) <= 1e-9)
+        return [[r, r.conjugate()] for r in upper] + [real[k : k + 2] for k in range(0, len(real), 2)]
+
+    out = [(np.real(np.poly(b)), np.real(np.poly(a))) for b, a in zip(grouped(zz.astype(complex)), grouped(pz.astype(complex)), strict=True)]
     b0, a0 = out[0]
     out[0] = (b0 * np.real(gain), a0)
     return out
@@ -412,7 +415,10 @@ def seasonal(x: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.nda
     k = np.ones(period) / period if period % 2 else np.r_[0.5, np.ones(period - 1), 0.5] / period
     trend = np.convolve(np.pad(x, len(k) // 2, "edge"), k, "valid")[: len(x)]
     d = x - trend
-    means = np.array([d[i::period].mean() for i in range(period)])
+    # The trend is biased within half a period of the ends; seasons are averaged inside.
+    at = np.arange(len(x))
+    inside = (at >= period // 2) & (at < len(x) - period // 2)
+    means = np.array([d[inside & (at % period == i)].mean() for i in range(period)])
     s = np.resize(means - means.mean(), len(x))
     return trend, s, x - trend - s
 

@@ -59,8 +59,8 @@ def compare_distributions(a: DataFrame, b: DataFrame) -> DataFrame:
     """Chi-square and symmetrised KL of two byte histograms (``byte, n``), smoothed by 1e-10."""
     total = lambda h, c: h.agg(F.sum("n").alias(c))
     met = a.withColumnRenamed("n", "_a").join(b.withColumnRenamed("n", "_b"), "byte", "full").fillna(0, ["_a", "_b"])
-    met = met.crossJoin(F.broadcast(total(a, "_A"))).crossJoin(F.broadcast(total(b, "_B")))  # one row each
-    p, q = F.col("_a") / F.col("_A") + 1e-10, F.col("_b") / F.col("_B") + 1e-10
+    met = met.crossJoin(F.broadcast(total(a, "_ta"))).crossJoin(F.broadcast(total(b, "_tb")))  # one row each
+    p, q = F.col("_a") / F.col("_ta") + 1e-10, F.col("_b") / F.col("_tb") + 1e-10
     chi = F.when(p + q > 0, (p - q) ** 2 / (p + q)).otherwise(0.0)
     return met.agg(F.sum(chi).alias("chi_square"), ((F.sum(p * F.log(p / q)) + F.sum(q * F.log(q / p))) / 2).alias("symmetric_kl"))
 
@@ -194,9 +194,9 @@ def checksums(df: DataFrame, keys: Keys, data: str) -> DataFrame:
 def common_prefix(df: DataFrame, data: str, most: int = 64) -> DataFrame:
     """Leading positions at which every payload has the same byte."""
     rows = byte_rows(df.select(F.substring(data, 1, most).alias(data)), [], data)
-    total = F.broadcast(df.agg(F.count("*").alias("_N")))  # one row
+    total = F.broadcast(df.agg(F.count("*").alias("_total")))  # one row
     at = rows.groupBy("pos").agg(F.count("*").alias("_n"), F.min("byte").alias("byte"), F.max("byte").alias("_z")).crossJoin(total)
-    same = at.withColumn("_bad", F.when((F.col("_n") == F.col("_N")) & (F.col("byte") == F.col("_z")), 0).otherwise(1))
+    same = at.withColumn("_bad", F.when((F.col("_n") == F.col("_total")) & (F.col("byte") == F.col("_z")), 0).otherwise(1))
     ok = same.withColumn("_b", F.sum("_bad").over(W.orderBy("pos")))  # ``most`` rows at most
     return ok.filter("_b = 0").select("pos", "byte")
 

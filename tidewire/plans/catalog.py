@@ -534,6 +534,8 @@ def fuzzy_search(spark, sf_dir):
     return met.filter(F.levenshtein("a", "b") <= 12).select("doc_id", "item_id")
 
 
+LINES = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+
 # ---- digital, measurements, power ------------------------------------------------------------
 
 
@@ -586,12 +588,12 @@ def j1939_fields(spark, sf_dir):
     return j.select("o_orderkey", *[F.col(c).cast("long").alias(c) for c in ("priority", "pgn", "destination", "source")])
 
 
-@query("""WITH p AS (SELECT l_suppkey, l_quantity AS v, l_extendedprice / 1000 AS i, l_quantity * l_extendedprice / 1000 AS p, lag(l_quantity * l_extendedprice / 1000) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS q FROM lineitem),
+@query("""WITH p AS (SELECT l_suppkey, l_quantity AS v, l_extendedprice / 1000 AS i, l_quantity * l_extendedprice / 1000 AS p, lag(l_quantity * l_extendedprice / 1000) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS q FROM lineitem),
  g AS (SELECT l_suppkey, avg(p) AS a, sqrt(avg(p * p)) AS rms, max(abs(p)) AS peak, sum(coalesce((p + q) / 2, 0)) AS energy, stddev_pop(p) AS std, sqrt(avg(v * v)) * sqrt(avg(i * i)) AS s FROM p GROUP BY 1)
  SELECT l_suppkey, round(a, 4) AS average, round(rms, 4) AS rms, round(peak, 4) AS peak, round(energy, 3) AS energy, round(std, 4) AS std, round(s, 4) AS apparent, round(sqrt(greatest(s * s - a * a, 0)), 3) AS reactive, round(a / s, 6) AS power_factor FROM g""")
 def power_statistics(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("i", F.col("l_extendedprice") / 1000)
-    p = traces.power_statistics(li, ["l_suppkey"], ["l_orderkey", "l_linenumber"], "l_quantity", "i", 1.0)
+    p = traces.power_statistics(li, ["l_suppkey"], LINES, "l_quantity", "i", 1.0)
     digits = {"average": 4, "rms": 4, "peak": 4, "energy": 3, "std": 4, "apparent": 4, "reactive": 3, "power_factor": 6}
     return p.select("l_suppkey", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
@@ -626,12 +628,12 @@ def correlation_power_analysis(spark, sf_dir):
 
 @query()
 def waveform_measurements(spark, sf_dir):
-    return traces.waveform_measurements(table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber"], "l_extendedprice", 1000.0)
+    return traces.waveform_measurements(table(spark, sf_dir, "lineitem"), ["l_suppkey"], LINES, "l_extendedprice", 1000.0)
 
 
 @query()
 def amplitude_spectrum(spark, sf_dir):
-    return traces.fft(table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber"], "l_extendedprice", 1000.0)
+    return traces.fft(table(spark, sf_dir, "lineitem"), ["l_suppkey"], LINES, "l_extendedprice", 1000.0)
 
 
 @query()

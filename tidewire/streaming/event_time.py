@@ -41,9 +41,10 @@ def correlated(requests: DataFrame, responses: DataFrame, key: str, at: str, wit
     return a.join(b, (F.col(key) == F.col("_k")) & (F.col("response_at") >= F.col("request_at")) & (F.col("response_at") <= F.col("request_at") + F.expr(f"INTERVAL {within}"))).drop("_k")
 
 
-def rolling(df: DataFrame, key: str, at: str, value: str, size: int) -> DataFrame:
+def rolling(df: DataFrame, key: str, at: str, value: str, size: int, delay: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
     """Count-window statistics per key with state: each row with the mean, minimum and maximum of the
-    last ``size`` values of its key; the state is those values, and it ends after an hour without rows."""
+    last ``size`` values of its key; the state is those values, and it ends when the watermark has passed
+    it by ``idle_ms``."""
     kind = dict(df.dtypes)[key]
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,10 +59,10 @@ def rolling(df: DataFrame, key: str, at: str, value: str, size: int) -> DataFram
                 rows.append((k[0], getattr(r, at), len(held), sum(held) / len(held), min(held), max(held)))
             yield pd.DataFrame(rows, columns=[key, at, "n", "mean", "low", "high"])
         state.update((held,))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
 
-    return df.select(key, at, value).groupBy(key).applyInPandasWithState(
-        run, f"`{key}` {kind}, `{at}` timestamp, n int, mean double, low double, high double", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return df.select(key, at, value).withWatermark(at, delay).groupBy(key).applyInPandasWithState(
+        run, f"`{key}` {kind}, `{at}` timestamp, n int, mean double, low double, high double", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
