@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -39,18 +40,17 @@ def moving_average(df: DataFrame, keys: Keys, order: Keys, value: str, size: int
     return df.withColumn("moving_average", total / size)
 
 
-def exponential_average(df: DataFrame, keys: Keys, order: Keys, value: str, alpha: float, horizon: int = 512) -> DataFrame:
+def exponential_average(df: DataFrame, keys: Keys, order: Keys, value: str, alpha: float, negligible: float = 1e-12) -> DataFrame:
     """y = alpha x + (1 - alpha) y', from the first sample on.
 
-    Written as a weighted sum of the trailing ``horizon`` samples, so it stays a native window and
-    splits by rows: what lies further back has weight (1 - alpha) ** horizon.
+    Written as a fold over the trailing samples whose weight (1 - alpha) ** k is not negligible, so it
+    stays a native window and no state runs through a whole trace.
     """
+    back = max(1, math.ceil(math.log(negligible) / math.log(1 - alpha))) if alpha < 1 else 1
     by = W.partitionBy(*keys).orderBy(*order)
-    back = F.collect_list(value).over(by.rowsBetween(1 - horizon, 0))
-    n = F.row_number().over(by)
-    start = F.when(n <= horizon, F.element_at(back, 1)).otherwise(F.element_at(back, 1))
-    rest = F.slice(back, 2, horizon)
-    return df.withColumn("ema", F.aggregate(rest, start, lambda y, x: F.lit(alpha) * x + F.lit(1 - alpha) * y))
+    held = F.collect_list(value).over(by.rowsBetween(-back, 0))
+    fold = F.aggregate(F.slice("_held", 2, back), F.element_at("_held", 1), lambda y, x: F.lit(alpha) * x + F.lit(1 - alpha) * y)
+    return df.withColumn("_held", held).withColumn("ema", fold).drop("_held")
 
 
 def difference(df: DataFrame, keys: Keys, order: Keys, value: str) -> DataFrame:

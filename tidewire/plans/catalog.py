@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.operators import joins, payload, protocols, stats, traces, windows
+from tidewire.operators import joins, mining, payload, protocols, stats, traces, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -673,3 +673,48 @@ def math_expression(spark, sf_dir):
 
     e = events(spark, sf_dir)
     return rounded(e.select("event_id", compile_expression("(sqrt(value) * 2 + abs(value - 75)) if value > 50 else value / 3", {"value": F.col("value")}).alias("y")))
+
+
+# ---- mining ----------------------------------------------------------------------------------
+
+
+@query()
+def kmeans_clusters(spark, sf_dir):
+    return mining.kmeans(table(spark, sf_dir, "embeddings"), "embedding", 8).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("""WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS d FROM embeddings), m AS (SELECT label AS c, d, avg(v) AS m FROM x GROUP BY 1, 2),
+ t AS (SELECT vec_id, c, sum((v - m) * (v - m)) AS s FROM x JOIN m USING (d) GROUP BY 1, 2) SELECT vec_id, arg_min(c, s) AS nearest, round(min(s), 6) AS squared_distance FROM t GROUP BY 1""")
+def nearest_centroid(spark, sf_dir):
+    return rounded(mining.nearest_centroid(table(spark, sf_dir, "embeddings"), "embedding", "label").select("vec_id", "nearest", "squared_distance"))
+
+
+@query("""WITH s AS (SELECT DISTINCT user_id, event_type FROM events), t AS (SELECT count(DISTINCT user_id) AS total FROM s), n AS (SELECT event_type, count(*) AS k FROM s GROUP BY 1),
+ p AS (SELECT x.event_type AS a, y.event_type AS b, count(*) AS n FROM s x JOIN s y ON x.user_id = y.user_id AND x.event_type < y.event_type GROUP BY 1, 2)
+ SELECT a, b, p.n AS n, round(p.n / total, 6) AS support, round(p.n / na.k, 6) AS confidence, round(p.n * total / (na.k * nb.k), 6) AS lift FROM p, t, n na, n nb WHERE na.event_type = a AND nb.event_type = b AND p.n >= total * 0.1 AND na.k >= total * 0.1 AND nb.k >= total * 0.1""")
+def associations(spark, sf_dir):
+    return rounded(mining.frequent_items(table(spark, sf_dir, "events"), ["user_id"], "event_type", 0.1))
+
+
+@query("""WITH c AS (SELECT event_type, user_id, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2) SELECT event_type, sum(n)::BIGINT AS n, count(*) AS "unique", round(abs(log2(sum(n)) - sum(n * log2(n)) / sum(n)), 6) AS entropy, arg_max(user_id, n * 1000000 + user_id) AS mode FROM c GROUP BY 1""")
+def field_profile(spark, sf_dir):
+    return rounded(mining.field_profile(table(spark, sf_dir, "events"), ["event_type"], "user_id"))
+
+
+@query("""WITH w AS (SELECT user_id, event_type, sum(value) AS w FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(w, 6) DESC, event_type) AS r, sum(w) OVER (PARTITION BY user_id) AS s FROM w) SELECT user_id, event_type AS winner, round(w / s, 6) AS confidence FROM r WHERE r = 1""")
+def weighted_vote(spark, sf_dir):
+    return rounded(mining.vote(table(spark, sf_dir, "events"), ["user_id"], "event_type", "value"))
+
+
+@query("""SELECT a.conv_id, a.turn, b.turn - a.turn AS latency FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = (SELECT min(turn) FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn > a.turn AND c.role = 'assistant') WHERE a.role = 'user' AND b.role = 'assistant'""")
+def conversation_latency(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    left, right = c.filter("role = 'user'").select("conv_id", "turn"), c.filter("role = 'assistant'").select("conv_id", "turn")
+    a = joins.asof_merge(left, right, ["conv_id"], "turn", "turn", [], forward=True).filter("asof_t is not null")
+    return a.select("conv_id", "turn", (F.col("asof_t") - F.col("turn")).alias("latency"))
+
+
+@query("""SELECT l.quality, l.toxic, d.lang, count(*) AS n, round(avg(d.n_chars), 4) AS mean_chars FROM documents d JOIN labels l USING (doc_id) GROUP BY 1, 2, 3""")
+def label_quality(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    return rounded(d.groupBy("quality", "toxic", "lang").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars")), 4)
