@@ -17,8 +17,8 @@ from tidewire.session import saved
 ONE_TASK = 400_000
 #: Members of a bucket on either side of a block of comparisons, and distinct values that a step of it multiplies.
 CHUNK, WIDE = 256, 4096
-#: Rows of a piece up to which its pairs are listed; values sorted at once.
-SMALL, STEP = 16, 2_000_000
+#: Rows of a piece up to which its pairs are listed; bytes of text and values worked on at once.
+SMALL, STEP = 16, 1 << 17
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,21 +88,23 @@ Items = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], items: Items, least: float) -> DataFrame:
     """Components (see :func:`components`) of the pairs that share a bucket and are similar.
 
-    ``members`` has ``bucket, id, size`` (long, long, int); pairs whose sizes differ by more than the
-    factor ``least`` cannot be similar. ``texts_of`` takes a table of ids (``id``) and returns ``id,
+    ``members`` has ``bucket, id`` (long) and may have ``size`` (int): then pairs whose sizes differ by more
+    than the factor ``least`` cannot be similar. ``texts_of`` takes a table of ids (``id``) and returns ``id,
     text``, of which ``items`` makes sets; similar is a Jaccard of at least ``least``. First all
     members meet their bucket's most central one (that whose buckets hold most). In buckets that
     then hold several components, every member outside the largest one meets all members of others,
     in blocks of chunks. So every pair of a bucket is confirmed, refuted or already connected.
     """
-    bucket = W.partitionBy("bucket")
-    seen = members.withColumn("_n", F.count("*").over(bucket)).withColumn("_a", F.min("id").over(bucket)).withColumn("_z", F.max("id").over(bucket))
-    held = saved(seen.filter("_a < _z").groupBy("bucket", "id").agg(F.max("size").alias("size"), F.max("_n").alias("_n")))
-    score = held.groupBy(F.col("id").alias("_i")).agg(F.sum("_n").alias("_score"))
-    held = saved(held.join(score, F.col("id") == F.col("_i")).select("bucket", "id", "size", "_score"))
-    lead = held.groupBy("bucket").agg(F.max(F.struct("_score", "id", "size")).alias("_lead"), F.count("*").alias("_n"))
+    bucket, keys = W.partitionBy("bucket"), [c for c in ("bucket", "id", "size") if c in members.columns]
+    seen = members.select(*keys).withColumn("_a", F.min("id").over(bucket)).withColumn("_z", F.max("id").over(bucket))
+    held = saved(seen.filter("_a < _z").select(*keys).distinct())
+    size = held.groupBy(F.col("bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    score = held.join(size, F.col("bucket") == F.col("_b")).groupBy(F.col("id").alias("_i")).agg(F.sum("_n").alias("_score"))
+    held = saved(held.join(score, F.col("id") == F.col("_i")).select(*keys, "_score"))
+    lead = held.groupBy("bucket").agg(F.max(F.struct("_score", *keys[1:])).alias("_lead"))
     star = held.join(lead, "bucket").filter(F.col("id") != F.col("_lead.id"))
-    star = star.filter(F.least("size", "_lead.size") >= F.greatest("size", "_lead.size") * F.lit(least))
+    if "size" in keys:
+        star = star.filter(F.least("size", "_lead.size") >= F.greatest("size", "_lead.size") * F.lit(least))
     pairs = saved(star.select(F.least("id", "_lead.id").alias("a"), F.greatest("id", "_lead.id").alias("b")).distinct())
     links = saved(alike(pairs, texts_of(_ends(pairs)), items, least))
     found = components(links)
@@ -135,7 +137,7 @@ def _blocks(members: DataFrame, texts: DataFrame, items: Items, least: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", STEP):
                 if held:
                     # Pieces are whole when compared: rows that go on with the last piece join it.
                     piece, last = np.asarray(batch.column("piece")), held[-1].column("piece")[-1].as_py()
@@ -202,7 +204,7 @@ def intersections(values: np.ndarray, offs: np.ndarray, i: np.ndarray, j: np.nda
             k, n = np.repeat(np.arange(to - at), size[rows]), size[rows]
             pos = np.arange(len(k)) + np.repeat(offs[rows] - (np.cumsum(n) - n), n)
             keys.append((k.astype(np.uint64) << np.uint64(48)) | (values[pos] >> np.uint64(16)))
-        both = np.sort(np.concatenate(keys))
+        both = np.sort(np.concatenate(keys), kind="stable")  # two ascending runs: a merge
         same = both[1:] == both[:-1]
         out[at:to] = np.bincount((both[1:][same] >> np.uint64(48)).astype(np.int64), minlength=to - at)
         at = to
@@ -244,7 +246,7 @@ def alike(pairs: DataFrame, texts: DataFrame, items: Items, least: float) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "x"):
+            for batch in slices(whole, "x", STEP):
                 a, b = np.asarray(batch.column("a")), np.asarray(batch.column("b"))
                 _, at, place = np.unique(np.concatenate((a, b)), return_index=True, return_inverse=True)
                 both = pa.chunked_array([batch.column("x"), batch.column("y")]).combine_chunks()

@@ -15,6 +15,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS = 17
 #: Nine blocks: of two fingerprints within 17 bits some block differs in at most one bit.
 WIDTHS = (7, 7, 7, 7, 7, 7, 7, 7, 8)
+#: Shingle hashes (8 bytes each) of all items up to which they are broadcast.
+LISTED = 2_000_000
 
 
 def normal_words(text: Column) -> Column:
@@ -101,6 +103,7 @@ def leaks(
 def _leaks_of(words: DataFrame, items: DataFrame, k: int, similarity: float) -> DataFrame:
     # Written tables stand where the optimizer would else copy a fingerprint into inferred filters;
     # the outer explode infers none.
+    items = items.withColumn("_key", F.xxhash64("_item", "_w"))
     items = saved(items.withColumn("_sh", shingle_hashes(F.col("_w"), k)).drop("_w"))
     items = saved(items.withColumn("_print", simhash(F.col("_sh"))))
     known = small(items.select(F.col("_size").alias("_L"), F.posexplode("_sh").alias("_q", "_hit")).distinct())
@@ -117,10 +120,12 @@ def _leaks_of(words: DataFrame, items: DataFrame, k: int, similarity: float) ->
         for b, w in zip(blocks(F.col("_print")), WIDTHS, strict=True)
     ]
     probes = items.select("*", F.posexplode(F.array(*near)).alias("_b", "_values")).select(
-        "_item", "_size", "_sh", "_print", "_b", F.explode("_values").alias("_v")
+        "_item", "_key", "_size", "_print", "_b", F.explode("_values").alias("_v")
     )
     met = mine.join(small(probes), (F.col("_L") == F.col("_size")) & (F.col("_block") == F.col("_b")) & (F.col("_value") == F.col("_v")))
     met = met.filter(F.bit_count(F.col("_mine").bitwiseXOR(F.col("_print"))) <= RADIUS)
+    own = small(items.select(F.col("_key").alias("_k"), "_sh"), LISTED, F.size("_sh"))
+    met = met.join(own, F.col("_key") == F.col("_k"))
     met = met.withColumn("_sim", weighted_similarity(F.col("_sh"), F.col("_window")))
     return met.filter(F.col("_sim") >= similarity).select("_d", "_item", "_sim", "_start")
 

@@ -21,6 +21,8 @@ BANDS, ROWS = 10, 4
 BINS = BANDS * ROWS
 #: Rows of a few longs each up to which a counted table is broadcast.
 IDS = 500_000
+#: Line numbers (4 to 16 bytes each) up to which lists of them are broadcast.
+LISTED = 2_000_000
 
 
 def lines_of(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,23 +61,36 @@ def line_items(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct six-character shingles (48-bit hashes, in the top bits) of each text; a shorter text is one shingle."""
     b, offs = text_buffers(column)
     points, starts, ends = _characters(b, offs[:-1], offs[1:])
-    rolled, size, n = mix(_rolled(points)), ends - starts, len(starts)
-    counts = np.where(size >= SHINGLE, size - SHINGLE + 1, np.minimum(size, 1))
-    for r in np.flatnonzero((size > 0) & (size < SHINGLE)):
-        own = (points[starts[r] : ends[r]].astype(U64) + U64(1)) * powers(BASE, SHINGLE)[: size[r]]
-        rolled[starts[r]] = mix(own.sum(dtype=U64, keepdims=True) ^ U64(SHINGLE))[0]
+    size, n = ends - starts, len(starts)
+    keys = mix(_rolled(points)) >> U64(16)
+    # The texts lie end to end: places in their last five characters begin no shingle.
+    begins = np.ones(len(points), bool)
+    for k in range(1, SHINGLE):
+        begins[ends[size >= k] - k] = False
+    short = np.flatnonzero((size > 0) & (size < SHINGLE))
+    keys[starts[short]] = mix(_short(points, starts[short], size[short]) ^ U64(SHINGLE)) >> U64(16)
+    begins[starts[short]] = True
+    row = np.repeat(np.arange(n, dtype=U64), size)
     out, total = [], np.zeros(n, np.int64)
     for at in range(0, n, 65_536):
-        c = counts[at : at + 65_536]
-        row = np.repeat(np.arange(len(c)), c)
-        pos = np.arange(len(row)) + np.repeat(starts[at : at + 65_536] - (np.cumsum(c) - c), c)
-        keys = np.sort((row.astype(U64) << U64(48)) | (rolled[pos] >> U64(16)))
-        keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
-        total[at : at + 65_536] = np.bincount((keys >> U64(48)).astype(np.int64), minlength=len(c))
-        out.append(keys << U64(16))
+        a, b = starts[at], ends[min(at + 65_536, n) - 1]
+        own = begins[a:b]
+        part = np.sort(((row[a:b] - U64(at)) << U64(48) | keys[a:b])[own])
+        part = part[np.append(True, part[1:] != part[:-1])] if len(part) else part
+        total[at : at + 65_536] = np.bincount((part >> U64(48)).astype(np.int64), minlength=min(65_536, n - at))
+        out.append(part << U64(16))
     return np.concatenate([np.zeros(0, U64), *out]), np.concatenate(([0], np.cumsum(total)))
 
 
+def _short(points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of lines of fewer characters than a shingle."""
+    own = np.zeros(len(starts), U64)
+    for j, p in enumerate(powers(BASE, SHINGLE)):
+        inside = size > j
+        own[inside] += (points[starts[inside] + j].astype(U64) + U64(1)) * p
+    return own
+
+
 def band_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Bands of a one-permutation MinHash (BINS bins) of each line's six-character shingles.
 
@@ -84,10 +99,7 @@ def band_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     value = ((_rolled(points) * U64(0x9FB21C651E98DF25)) >> U64(32)).astype(np.uint32)
     size = ends - starts
     short = np.flatnonzero((size > 0) & (size < SHINGLE))
-    own = np.zeros(len(short), U64)
-    for j, p in enumerate(powers(BASE, SHINGLE)):
-        inside = size[short] > j
-        own[inside] += (points[starts[short[inside]] + j].astype(U64) + U64(1)) * p
+    own = _short(points, starts[short], size[short])
     value[starts[short]] = (mix(own ^ U64(SHINGLE)) >> U64(32)).astype(np.uint32)
     counts = np.where(size >= SHINGLE, size - SHINGLE + 1, np.minimum(size, 1))
     # Mark where shingles begin; line bases repeat over their own places only.
@@ -125,8 +137,8 @@ def _blank(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """Per line with ink: ``_id, _t`` (of its document), ``n`` (its number), ``line`` (hash), ``size``
-    (shingles at most) and ``bands``, given once per line and batch, null for its repeats."""
+    """Per line with ink: ``_id, _t`` (of its document), ``n`` (its number), ``line`` (hash),
+    and once per line and batch ``given`` and ``bands``, null for its repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -145,11 +157,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 at = np.concatenate(([0], np.cumsum(np.where(given, BANDS, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at, mask=np.append(~given, False)), pa.array(bands.ravel().view(np.int64)))
                 to = pa.array(row)
-                cols = [batch.column("_id").take(to), batch.column("_t").take(to), pa.array(number, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(e - s, pa.int32()), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["_id", "_t", "n", "line", "size", "bands"])
+                cols = [batch.column("_id").take(to), batch.column("_t").take(to), pa.array(number, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(given), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["_id", "_t", "n", "line", "given", "bands"])
 
     kind = docs.select("_id").dtypes[0][1]
-    return docs.mapInArrow(run, f"_id {kind}, _t long, n int, line long, size int, bands array<long>")
+    return docs.mapInArrow(run, f"_id {kind}, _t long, n int, line long, given boolean, bands array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -170,7 +182,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(raw, pa.string())], names=["id", "text"])
 
     asked = saved(wanted.groupBy("_id", "_t").agg(F.collect_list(F.struct("n", "line")).alias("asked")))
-    a = small(asked.withColumnsRenamed({"_id": "_i", "_t": "_u"}))
+    a = small(asked.withColumnsRenamed({"_id": "_i", "_t": "_u"}), LISTED, F.size("asked"))
     met = docs.join(a, docs["_id"].eqNullSafe(a["_i"]) & (docs["_t"] == a["_u"])).select("_text", "asked")
     return met.mapInArrow(run, "id long, text string")
 
@@ -195,8 +207,8 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     """
     body = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text"), F.xxhash64(docs[text]).alias("_t"))
     drawn = saved(_sketches(body))
-    members = drawn.filter("bands is not null").select(F.explode("bands").alias("bucket"), F.col("line").alias("id"), "size")
-    places = drawn.filter("bands is not null").select("line", "_id", "_t", "n")
+    members = drawn.filter("given").select(F.explode("bands").alias("bucket"), F.col("line").alias("id"))
+    places = drawn.filter("given").select("line", "_id", "_t", "n")
     contents: list[DataFrame] = []
 
     def texts_of(ids: DataFrame) -> DataFrame:
@@ -208,8 +220,8 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
         contents.append(saved(_texts(body, wanted)))
         return reduce(DataFrame.unionByName, contents)
 
-    # Sets may be smaller than lines are long, so sizes do not bound similarity here.
-    found = linked(members.withColumn("size", F.lit(1)), texts_of, line_items, similarity)
+    # Sets may be smaller than lines are long, so lengths would not bound similarity.
+    found = linked(members, texts_of, line_items, similarity)
     f = small(found.select(F.col("id").alias("_k"), "component"), IDS)
     rows = drawn.select("_id", "_t", "n", "line").join(f, F.col("line") == F.col("_k"), "left")
     rows = saved(rows.select("_id", "_t", "n", F.coalesce("component", "line").alias("g")))
@@ -227,7 +239,8 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
 def dedup_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_lines`` (null text: 0), ``n_removed`` and ``removed`` (line numbers)."""
     lost = repeated_lines(docs, doc_id=doc_id, text=text).withColumnsRenamed({"_id": "_i", "_t": "_u"})
-    n = F.when(docs[text].isNull(), 0).otherwise(F.size(F.split(docs[text], "\n")))
+    feeds = F.octet_length(docs[text]) - F.octet_length(F.replace(docs[text], F.lit("\n"), F.lit("")))
+    n = F.coalesce(feeds + 1, F.lit(0))
     own = docs.select(docs[doc_id].alias("_id"), F.xxhash64(docs[text]).alias("_t"), n.alias("n_lines"))
     out = own.join(lost, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_u")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
@@ -236,7 +249,8 @@ def dedup_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` with the repeated lines out of ``text``; a document that loses every line with ink goes."""
-    lost = small(saved(repeated_lines(docs, doc_id=doc_id, text=text).withColumnsRenamed({"_id": "_i", "_t": "_u"})))
+    lost = saved(repeated_lines(docs, doc_id=doc_id, text=text).withColumnsRenamed({"_id": "_i", "_t": "_u"}))
+    lost = small(lost, LISTED, F.size("removed"))
     joined = docs.join(lost, docs[doc_id].eqNullSafe(lost["_i"]) & (F.xxhash64(docs[text]) == lost["_u"]), "left")
     gone = F.col("removed")
     kept = F.array_join(F.filter(F.split(docs[text], "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.components import linked
 from tidewire.llm.tables import fresh, small
-from tidewire.llm.text import U64, joined, mix, powers, shingles, slices, words_of
+from tidewire.llm.text import CHUNK, U64, joined, mix, powers, shingles, slices, words_of
 from tidewire.session import saved
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -87,13 +87,13 @@ def occurrences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_id, class, size, bands`` per row: class is the hash of the words (null without words); bands
-    are given once per class and batch, null on its other rows."""
+    """``_id, class, size, given, bands`` per row: class is the hash of the words (null without words);
+    bands are given once per class and batch, null on its other rows."""
     kind = docs.select(doc_id).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", CHUNK):
                 h, offs = words_of(batch.column("_text"))
                 n = np.diff(offs)
                 cls = _class(h, offs)
@@ -110,10 +110,10 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 at = np.concatenate(([0], np.cumsum(np.where(place >= 0, width, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at, mask=np.append(place < 0, False)), pa.array(bands.ravel().view(np.int64)))
                 size = np.where(n < SHINGLE, np.minimum(n, 1), n - SHINGLE + 1)
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(cls.view(np.int64), mask=n == 0), pa.array(size, pa.int32()), lists], names=["_id", "class", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(cls.view(np.int64), mask=n == 0), pa.array(size, pa.int32()), pa.array(place >= 0), lists], names=["_id", "class", "size", "given", "bands"])
 
     picked = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text"))
-    return picked.mapInArrow(run, f"_id {kind}, class long, size int, bands array<long>")
+    return picked.mapInArrow(run, f"_id {kind}, class long, size int, given boolean, bands array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -142,9 +142,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     has a null group_id and its rows are kept). Repeated rows are one class.
     """
     drawn = saved(sketches(docs, doc_id, text))
-    members = drawn.filter("bands is not null").select(F.explode("bands").alias("bucket"), F.col("class").alias("id"), "size")
+    members = drawn.filter("given").select(F.explode("bands").alias("bucket"), F.col("class").alias("id"), "size")
     contents: list[DataFrame] = []
-    sample = drawn.filter("bands is not null").groupBy("class").agg(F.min("_id").alias("_id"))
+    sample = drawn.filter("given").groupBy("class").agg(F.min("_id").alias("_id"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         new = ids.withColumnRenamed("id", "class")

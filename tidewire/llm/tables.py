@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; every use counts the side first.
@@ -13,9 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if ``df`` is counted to hold at most ``rows`` rows; else leave it to a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """Hint a broadcast if ``df`` is counted to hold at most ``rows`` rows; else leave it to a shuffle join.
+
+    Rows with lists count by ``weight``, the number of a row's elements, and one more."""
+    if weight is None:
+        held = df.limit(rows + 1).count()
+    else:
+        held = df.agg(F.coalesce(F.sum(weight + 1), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= rows else df
 
 
 def fresh(df: DataFrame, stem: str) -> str:

@@ -18,6 +18,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BASE = 0x9E3779B97F4A7C55 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK = 1 << 21
+#: Bytes of text worked on at once: their arrays stay in the cache and are not mapped anew each time.
+SLICE = 1 << 19
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -111,7 +113,7 @@ def shingles(h: np.ndarray, k: int = 5) -> np.ndarray:
     return h[:0] if not len(h) else grams(h, min(k, len(h)))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK * 2) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Cut a batch by rows so that each part holds about ``limit`` bytes of text, at least one row."""
     _, offs = text_buffers(batch.column(column))
     at = 0
