@@ -118,6 +118,31 @@ def test_lm_tells_order_from_disorder(spark):
     assert lm_score.score(frame(spark, []), empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [lm_score.FREQUENT, 20, 0])
+def test_lm_scores_words_by_their_own_counts(spark, monkeypatch, most):
+    monkeypatch.setattr(lm_score, "FREQUENT", most)
+    hashed = lambda ws: words_of(pa.array([" ".join(ws)]))[0]
+    id_of = lambda ws: (hashed(ws) % np.uint64(lm_score.IDS)).astype(int)
+    tried = [f"w{k}" for k in range(100_000)]
+    seldom, unseen = [w for w, i in zip(tried, id_of(tried), strict=True) if i == id_of(["often"])[0]][:2]  # all share an id
+    texts = [" ".join(prose(i, 40) + ["often"] * (20 * i)) for i in range(6)] + [f"once {seldom}"]
+    net = lm_score.train(frame(spark, [(i, t, *(None,) * 7) for i, t in enumerate(texts)]))
+    counts = Counter(w for t in texts for w in words(t))
+    vocabulary = list(counts)
+    kind = dict(zip(vocabulary, net.class_of[id_of(vocabulary)], strict=True))
+    total = [0.5 + sum(n + 0.5 for w, n in counts.items() if kind[w] == c) for c in range(lm_score.CLASSES)]
+    assert net.vocabulary.table.count() == len(counts)
+    docs = [*texts, f"often {unseen} often", f"{unseen} " * 5, "often " * 5]
+    got = {r.doc_id: r for r in lm_score.score(frame(spark, [(i, t, *(None,) * 7) for i, t in enumerate(docs)]), net).collect()}
+    for i, t in enumerate(docs):
+        ws = words(t)
+        ids = id_of(ws)
+        lp = net.log_class(ids, lm_score.windows(ids, np.array([0, len(ws)]), lm_score.IDS))
+        want = sum(p + math.log(counts[w] + 0.5) - math.log(total[net.class_of[k]]) for w, k, p in zip(ws, ids, lp, strict=True))
+        assert got[i].n_words == len(ws) and abs(got[i].log_likelihood - want) < 1e-3
+    assert got[len(docs) - 1].per_word > got[len(docs) - 2].per_word + 5
+
+
 def leak_oracle(docs, items):
     def norm(t):
         return ["".join(c) for c in __import__("regex").findall(r"[\p{L}\p{N}]+", (t or "").lower())]

@@ -3,29 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.tables import fresh
 from tidewire.llm.text import mix, slices, words_of
+from tidewire.session import saved
 
-#: Words are hashed to so many ids; the network's size is fixed by these and does not grow with the data.
+#: Embeddings and classes are those of a word's id, one of so many; the network's size is fixed by these and
+#: does not grow with the data. Counts are kept per word and do.
 IDS, WIDTH, CLASSES, SIDE = 1 << 14, 16, 64, 2
 #: Share of positions masked and predicted in training, over all documents; scoring predicts every one.
 MASKED, ROUNDS, RATE, BATCH = 0.15, 2, 0.15, 2048
 PIECE = 1 << 14
 FANIN = 32
+#: Added to every word's count; each class has one more word of count 0, which stands for the unseen ones.
+SMOOTH = 0.5
+#: The most frequent words, so many at most, are looked up in each task; the others are joined.
+FREQUENT = 1 << 16
+
+
+@dataclass
+class Vocabulary:
+    """Counts of all words (``table``: word, n) and, of each class, log of the sum of n + SMOOTH over its
+    words and the unseen one. ``frequent`` are the sorted words of bin ``least`` on and ``log_n`` their counts."""
+
+    table: DataFrame
+    log_total: np.ndarray
+    frequent: np.ndarray
+    log_n: np.ndarray
+    least: int
 
 
 @dataclass
 class Network:
     """h = tanh(b + sum over window places j of A[j] * E[id at j]); P(class) = softmax(h W + c);
-    P(id | class) follows the corpus counts. Ids IDS stands for places beyond the text."""
+    P(word | class) follows the exact counts in ``vocabulary``, log_within those of ids alone. Ids IDS stands
+    for places beyond the text."""
 
     E: np.ndarray
     A: np.ndarray
@@ -34,6 +51,7 @@ class Network:
     c: np.ndarray
     class_of: np.ndarray
     log_within: np.ndarray
+    vocabulary: Vocabulary | None = None
 
     NAMES = ("E", "A", "b", "W", "c")
 
@@ -46,7 +64,7 @@ class Network:
             old = getattr(self, n)
             parts[n] = v[at : at + old.size].reshape(old.shape).astype(np.float32)
             at += old.size
-        return Network(**parts, class_of=self.class_of, log_within=self.log_within)
+        return Network(**parts, class_of=self.class_of, log_within=self.log_within, vocabulary=self.vocabulary)
 
     def hidden(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = self.E[ctx]
@@ -58,11 +76,15 @@ class Network:
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
     def log_prob(self, ids: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        return self.log_class(ids, ctx) + self.log_within[ids]
+
+    def log_class(self, ids: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        """log P(class of the id | both sides)."""
         out = np.empty(len(ids))
         for at in range(0, len(ids), BATCH):
             i = ids[at : at + BATCH]
             lp = self.log_classes(self.hidden(ctx[at : at + BATCH])[1])
-            out[at : at + BATCH] = lp[np.arange(len(i)), self.class_of[i]] + self.log_within[i]
+            out[at : at + BATCH] = lp[np.arange(len(i)), self.class_of[i]]
         return out
 
     def step(self, ids: np.ndarray, ctx: np.ndarray, rate: float) -> None:
@@ -110,26 +132,45 @@ def windows(ids: np.ndarray, offs: np.ndarray, pad: int) -> np.ndarray:
     return out
 
 
-def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    h, offs = words_of(column)
-    return (h % np.uint64(IDS)).astype(np.int64), offs
+def _ids(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(IDS)).astype(np.int64)
 
 
-def word_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Occurrences of each id over all documents."""
+def word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """``word, n``: occurrences of each word (its 64-bit hash) over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(IDS, np.int64)
         for whole in batches:
             for batch in slices(whole, text):
-                total += np.bincount(_ids(batch.column(text))[0], minlength=IDS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+                word, n = np.unique(words_of(batch.column(text))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    return docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _bin() -> Column:
+    """Quarter octave of a word's count."""
+    return F.floor(F.log2("n") * 4).cast("int")
+
 
-    got = docs.select(text).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(IDS)
-    counts[got["id"].to_numpy(np.int64)] = got["n"].to_numpy()
-    return counts
+def _start(docs: DataFrame, text: str) -> Network:
+    """The untrained network of the corpus, with its vocabulary."""
+    table = saved(word_counts(docs, text))
+    got = table.groupBy(F.col("word").bitwiseAND(F.lit(IDS - 1)).alias("id")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas()
+    counts, words, at = np.zeros(IDS), np.zeros(IDS), got["id"].to_numpy(np.int64)
+    counts[at], words[at] = got["n"].to_numpy(), got["words"].to_numpy()
+    net = initial(counts)
+    total = np.bincount(net.class_of, counts + SMOOTH * words, CLASSES) + SMOOTH
+    least, held = 1 << 30, 0
+    for r in sorted(table.groupBy(_bin().alias("bin")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r["bin"]
+    top = table.filter(_bin() >= least).toPandas()
+    word, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(word)
+    return replace(net, vocabulary=Vocabulary(table, np.log(total), word[order], np.log(n[order] + SMOOTH), least))
 
 
 def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -152,11 +193,11 @@ def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Network:
     """Train over all documents: in each round every task takes gradient steps on its own rows from
     the shared parameters, and their changes are averaged by words seen. What is gathered follows
-    the input; what reaches the driver is one network of fixed size."""
+    the input; what reaches the driver is one network of fixed size and the most frequent words."""
     spark: SparkSession = docs.sparkSession
-    net = initial(word_counts(docs, text))
+    net = _start(docs, text)
     for k in range(rounds):
-        shared, rate = spark.sparkContext.broadcast(net), RATE / (k + 1)
+        shared, rate = spark.sparkContext.broadcast(replace(net, vocabulary=None)), RATE / (k + 1)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate, k=k) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -165,9 +206,10 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Network:
             own, seen = start.with_vector(start.vector()), 0
             for whole in batches:
                 for batch in slices(whole, text):
-                    ids, offs = _ids(batch.column(text))
-                    if not len(ids):
+                    h, offs = words_of(batch.column(text))
+                    if not len(h):
                         continue
+                    ids = _ids(h)
                     ctx = windows(ids, offs, IDS)
                     place = np.arange(len(ids), dtype=np.uint64) + (ids.astype(np.uint64) << np.uint64(32))
                     at = np.flatnonzero(mix(place + np.uint64(k << 60)) < np.uint64(int(MASKED * 2**64)))
@@ -191,20 +233,40 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Network:
 
 def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_words, log_likelihood`` (sum over words of log P(word | both sides)) and
-    ``per_word`` (their mean; null without words). Null and empty texts score 0 words and 0.0;
-    repeated rows get repeated results; other columns are not read."""
-    shared, body = docs.sparkSession.sparkContext.broadcast(net), fresh(docs, "text")
+    ``per_word`` (their mean; null without words). P(word | both sides) = P(class | both sides) times the
+    word's own share of its class. Null and empty texts score 0 words and 0.0; repeated rows get repeated
+    results; other columns are not read."""
+    v = net.vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast((replace(net, vocabulary=None), v.log_total, v.frequent, v.log_n))
     key = docs.select(doc_id).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, log_total, frequent, log_n = shared.value
         for whole in batches:
-            for batch in slices(whole, body):
-                ids, offs = _ids(batch.column(body))
-                lp = shared.value.log_prob(ids, windows(ids, offs, IDS)) if len(ids) else np.zeros(0)
-                n = np.diff(offs)
-                total = np.bincount(np.repeat(np.arange(len(n)), n), lp, len(n)) if len(n) else np.zeros(0)
-                mean = pd.Series(total / np.maximum(n, 1)).where(n > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(n, pa.int64()), pa.array(total), pa.Array.from_pandas(mean, type=pa.float64())], names=[doc_id, "n_words", "log_likelihood", "per_word"])
-
-    picked = docs.select(doc_id, docs[text].alias(body))
-    return picked.mapInArrow(run, f"`{doc_id}` {key}, n_words long, log_likelihood double, per_word double")
+            for batch in slices(whole, "_text"):
+                h, offs = words_of(batch.column("_text"))
+                ids, n = _ids(h), np.diff(offs)
+                lp, rare = np.zeros(0), np.zeros(0, bool)
+                if len(h):
+                    lp = own.log_class(ids, windows(ids, offs, IDS)) - log_total[own.class_of[ids]]
+                    rare = np.ones(len(h), bool)
+                    if len(frequent):
+                        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                        rare = frequent[at] != h
+                        lp += np.where(rare, 0.0, log_n[at])
+                row = np.repeat(np.arange(len(n)), n)
+                total = np.bincount(row, lp, len(n)) if len(n) else np.zeros(0)
+                upto = np.concatenate(([0], np.cumsum(rare)))[offs]
+                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(h[rare].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array(n, pa.int64()), pa.array(total), lists], names=["_row", "_id", "_n", "_lp", "_rare"])
+
+    picked = docs.select(F.monotonically_increasing_id().alias("_row"), docs[doc_id].alias("_id"), docs[text].alias("_text"))
+    # Written once, so that both reads see the same row numbers.
+    part = saved(picked.mapInArrow(run, f"_row long, _id {key}, _n long, _lp double, _rare array<long>"))
+    rare = part.select("_row", F.explode("_rare").alias("_word"))
+    known = v.table.filter(_bin() < v.least)
+    n = F.coalesce(F.col("n"), F.lit(0))
+    rest = rare.join(known, F.col("_word") == F.col("word"), "left").groupBy(F.col("_row").alias("_r")).agg(F.sum(F.log(n + SMOOTH)).alias("_more"))
+    all_ = part.drop("_rare").join(rest, F.col("_row") == F.col("_r"), "left").withColumn("_all", F.col("_lp") + F.coalesce(F.col("_more"), F.lit(0.0)))
+    mean = F.when(F.col("_n") > 0, F.col("_all") / F.col("_n"))
+    return all_.select(F.col("_id").alias(doc_id), F.col("_n").alias("n_words"), F.col("_all").alias("log_likelihood"), mean.alias("per_word"))
