@@ -189,6 +189,16 @@ def test_leaks(spark):
     assert decontamination.leaks(df.limit(0), bench).count() == 0 == decontamination.leaks(df, bench.limit(0)).count()
 
 
+def test_leaks_with_insertion_and_both_ends_trimmed(spark):
+    item, other = prose(70, 200), prose(71, 300)
+    docs = [(0, " ".join(other[:50] + item[6:100] + other[50:62] + item[100:194] + other[62:])), (1, " ".join(item[6:100] + other[:12] + item[100:194]))]
+    items = [(0, " ".join(item))]
+    got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(frame(spark, [(*d, *(None,) * 7) for d in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = leak_oracle(docs, items)
+    assert got.keys() == want.keys() == {(0, 0), (1, 0)}
+    assert all(abs(got[k].similarity - want[k]) < 1e-12 for k in want)
+
+
 def test_words_of_any_batch():
     texts = ["a  b", None, "", "\x0bé\x1f x", "ü" * (CHUNK + 5) + " end", "z"]
     column = pa.array(["skip me", *texts])[1:]

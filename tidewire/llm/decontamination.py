@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.llm.tables import small
@@ -74,8 +75,9 @@ def leaks(
 
     A window of an item's size (the whole document, if that is shorter) holds the item if their
     multisets of five-word shingles are at least ``similarity`` alike; items of fewer words are one
-    shingle. Windows that share no shingle with any item have similarity 0 and are not fingerprinted;
-    the others begin where a shared shingle puts the item's start, moved inside the document. Their
+    shingle. Of the windows the best one, moved as far left as it stays best, ends with a shared shingle
+    or begins the document. So every window that begins or ends with a shared shingle (moved inside the
+    document) is tried, unless it holds too few shared shingles to be ``similarity`` alike. Their
     fingerprints meet those of items of that size in nine blocks, which miss none within the radius;
     Hamming distance and exact similarity then decide. ``start`` is the first word of the best window
     (the earliest on ties). Null, empty or wordless texts hold nothing and are held by nothing;
@@ -106,13 +108,28 @@ def _leaks_of(words: DataFrame, items: DataFrame, k: int, similarity: float) ->
     items = items.withColumn("_key", F.xxhash64("_item", "_w"))
     items = saved(items.withColumn("_sh", shingle_hashes(F.col("_w"), k)).drop("_w"))
     items = saved(items.withColumn("_print", simhash(F.col("_sh"))))
-    known = small(items.select(F.col("_size").alias("_L"), F.posexplode("_sh").alias("_q", "_hit")).distinct())
+    known = small(items.select(F.col("_size").alias("_L"), F.explode("_sh").alias("_hit")).distinct())
     n = F.size("_w")
-    docs = words.withColumn("_sh", shingle_hashes(F.col("_w"), k)).select("_d", "_t", n.alias("_n"), "_sh")
-    hits = docs.select("_d", "_t", "_n", "_sh", F.posexplode_outer("_sh").alias("_p", "_h")).join(known, F.col("_h") == F.col("_hit"))
+    docs = words.withColumn("_sh", shingle_hashes(F.col("_w"), k)).select("_t", n.alias("_n"), F.posexplode_outer("_sh").alias("_p", "_h"))
+    hits = docs.join(known, F.col("_h") == F.col("_hit")).select("_t", "_n", "_L", "_p").distinct()
     size = F.least("_L", "_n")
-    hits = hits.select("_d", "_t", "_sh", "_L", size.alias("_len"), F.greatest(F.least(F.col("_p") - F.col("_q"), F.col("_n") - size), F.lit(0)).alias("_start"))
-    spans = hits.select("_d", "_t", "_L", "_start", F.slice("_sh", F.col("_start") + 1, F.col("_len") - (k - 1)).alias("_window")).distinct()
+    m = size - (k - 1)  # shingles of a window
+    # Places in units of a window, with half a place to spare for rounding, in fixed point.
+    unit = 1 << 30
+    near = W.partitionBy("_t", "_L").orderBy(F.floor(F.col("_p").cast("long") * (2 * unit) / (F.col("_m") * 2 - 1)))
+    after, before = (F.count("*").over(near.rangeBetween(*r)) for r in ((0, unit), (-unit, 0)))
+    counted = hits.withColumn("_m", m).withColumn("_len", size).withColumn("_after", after).withColumn("_before", before)
+    # Shared shingles needed: both >= similarity * (a + b - both).
+    need = F.lit(similarity) * (F.col("_m") + F.col("_L") - (k - 1)) / (1 + similarity) - 1e-6
+    inside = lambda start: F.greatest(F.least(start, F.col("_n") - F.col("_len")), F.lit(0))
+    starts = F.array(
+        F.when(F.col("_after") >= need, inside(F.col("_p"))), F.when(F.col("_before") >= need, inside(F.col("_p") - F.col("_m") + 1))
+    )
+    tried = saved(counted.select("_t", "_L", "_m", F.explode(F.array_compact(starts)).alias("_start")).distinct())
+    held = small(tried.select(F.col("_t").alias("_u")).distinct())
+    texts = words.join(held, F.col("_t") == F.col("_u"), "left_semi").groupBy("_t").agg(F.any_value("_w").alias("_w"))
+    texts = saved(texts.select(F.col("_t").alias("_u"), shingle_hashes(F.col("_w"), k).alias("_sh")))
+    spans = tried.join(texts, F.col("_t") == F.col("_u")).select("_t", "_L", "_start", F.slice("_sh", F.col("_start") + 1, F.col("_m")).alias("_window"))
     prints = saved(saved(spans).withColumn("_mine", simhash(F.col("_window"))))
     mine = prints.select("*", F.posexplode(F.array(*blocks(F.col("_mine")))).alias("_block", "_value"))
     near = [
@@ -127,7 +144,8 @@ def _leaks_of(words: DataFrame, items: DataFrame, k: int, similarity: float) ->
     own = small(items.select(F.col("_key").alias("_k"), "_sh"), LISTED, F.size("_sh"))
     met = met.join(own, F.col("_key") == F.col("_k"))
     met = met.withColumn("_sim", weighted_similarity(F.col("_sh"), F.col("_window")))
-    return met.filter(F.col("_sim") >= similarity).select("_d", "_item", "_sim", "_start")
+    met = saved(met.filter(F.col("_sim") >= similarity).select(F.col("_t").alias("_u"), "_item", "_sim", "_start").distinct())
+    return words.select("_d", "_t").join(small(met), F.col("_t") == F.col("_u")).select("_d", "_item", "_sim", "_start")
 
 
 def without_leaks(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
