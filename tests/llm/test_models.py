@@ -199,6 +199,15 @@ def test_leaks_with_insertion_and_both_ends_trimmed(spark):
     assert all(abs(got[k].similarity - want[k]) < 1e-12 for k in want)
 
 
+def test_leaks_with_one_repeated_word(spark):
+    items = [(i, " ".join(prose(80 + i, 200))) for i in range(5)]
+    docs = [(i, " ".join(t.split()[:179] + ["filler"] * 21)) for i, t in items]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.leaks(frame(spark, [(*d, *(None,) * 7) for d in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = leak_oracle(docs, items)
+    assert got.keys() == want.keys() == {(i, i) for i in range(5)}
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_words_of_any_batch():
     texts = ["a  b", None, "", "\x0bé\x1f x", "ü" * (CHUNK + 5) + " end", "z"]
     column = pa.array(["skip me", *texts])[1:]

@@ -35,8 +35,13 @@ def shingle_hashes(words: Column, k: int) -> Column:
     )
 
 
+def numbered(hashes: Column) -> Column:
+    """A value of its own for the k-th occurrence of each hash in a sorted array column."""
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, i - F.array_position(hashes, h)))
+
+
 def simhash(hashes: Column) -> Column:
-    """Each bit by majority over the hashes of a multiset; weights are the multiplicities."""
+    """Each bit by majority over the hashes of a set; of ``numbered`` ones the angle follows weighted Jaccard."""
     ones = F.transform(
         F.sequence(F.lit(0), F.lit(63)),
         lambda b: F.aggregate(
@@ -106,8 +111,9 @@ def _leaks_of(words: DataFrame, items: DataFrame, k: int, similarity: float) ->
     # Written tables stand where the optimizer would else copy a fingerprint into inferred filters;
     # the outer explode infers none.
     items = items.withColumn("_key", F.xxhash64("_item", "_w"))
-    items = saved(items.withColumn("_sh", shingle_hashes(F.col("_w"), k)).drop("_w"))
-    items = saved(items.withColumn("_print", simhash(F.col("_sh"))))
+    items = saved(items.withColumn("_sh", F.array_sort(shingle_hashes(F.col("_w"), k))).drop("_w"))
+    items = saved(items.withColumn("_tags", numbered(F.col("_sh"))))
+    items = saved(items.withColumn("_print", simhash(F.col("_tags"))).drop("_tags"))
     known = small(items.select(F.col("_size").alias("_L"), F.explode("_sh").alias("_hit")).distinct())
     n = F.size("_w")
     docs = words.withColumn("_sh", shingle_hashes(F.col("_w"), k)).select("_t", n.alias("_n"), F.posexplode_outer("_sh").alias("_p", "_h"))
@@ -129,8 +135,9 @@ def _leaks_of(words: DataFrame, items: DataFrame, k: int, similarity: float) ->
     held = small(tried.select(F.col("_t").alias("_u")).distinct())
     texts = words.join(held, F.col("_t") == F.col("_u"), "left_semi").groupBy("_t").agg(F.any_value("_w").alias("_w"))
     texts = saved(texts.select(F.col("_t").alias("_u"), shingle_hashes(F.col("_w"), k).alias("_sh")))
-    spans = tried.join(texts, F.col("_t") == F.col("_u")).select("_t", "_L", "_start", F.slice("_sh", F.col("_start") + 1, F.col("_m")).alias("_window"))
-    prints = saved(saved(spans).withColumn("_mine", simhash(F.col("_window"))))
+    spans = tried.join(texts, F.col("_t") == F.col("_u")).select("_t", "_L", "_start", F.array_sort(F.slice("_sh", F.col("_start") + 1, F.col("_m"))).alias("_window"))
+    spans = saved(saved(spans).withColumn("_tags", numbered(F.col("_window"))))
+    prints = saved(spans.withColumn("_mine", simhash(F.col("_tags"))).drop("_tags"))
     mine = prints.select("*", F.posexplode(F.array(*blocks(F.col("_mine")))).alias("_block", "_value"))
     near = [
         F.concat(F.array(b), *[F.array(b.bitwiseXOR(F.lit(1 << j))) for j in range(w)])
