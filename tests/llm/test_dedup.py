@@ -53,18 +53,18 @@ def test_repeated_passages(spark, monkeypatch, crowd):
 def test_tree_groups_cut_between_keys():
     import pyarrow as pa
 
-    def row(key, seg, first, last, text, count):
-        return {"key": key, "seg": seg, "off": 0, "count": count, "first": first, "last": last, "text": text.encode()}
+    def row(anchor, seg, first, last, text, count):
+        return {"anchor": anchor, "seg": seg, "count": count, "first": first, "last": last, "text": text.encode()}
 
     same = " ".join(prose(1, 51))
     rows = [row(1, 10, 1, 1, same, 2), row(1, 11, 5, 9, same, 2), row(2, 12, 7, 7, " ".join(prose(2, 50)), 1)]
-    schema = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("off", pa.int32()), ("count", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("text", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("count", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("text", pa.binary())])
     old, substring_dedup.GROUP_WORDS = substring_dedup.GROUP_WORDS, 1
     try:
         out = list(substring_dedup._trees(pa.RecordBatch.from_pylist([r], schema) for r in rows))
     finally:
         substring_dedup.GROUP_WORDS = old
-    assert [r for b in out for r in b.to_pylist()] == [{"seg": 11, "off": 0, "mins": [1, 1]}]
+    assert [r for b in out for r in b.to_pylist()] == [{"anchor": 1, "seg": 11, "off": 0, "mins": [1, 1]}]
 
 
 def bag(text):

@@ -7,7 +7,7 @@ import pytest
 
 from tests.llm.cases import frame, prose, words
 from tidewire.llm import decontamination, lm_score, toxicity
-from tidewire.llm.text import CHUNK, spans, text_buffers, words_of
+from tidewire.llm.text import SLICE, spans, text_buffers, words_of
 
 BAD = ["Idiot!", "scumsome", "scumother", "trash,", "worthless"]
 
@@ -209,7 +209,7 @@ def test_leaks_with_one_repeated_word(spark):
 
 
 def test_words_of_any_batch():
-    texts = ["a  b", None, "", "\x0bé\x1f x", "ü" * (CHUNK + 5) + " end", "z"]
+    texts = ["a  b", None, "", "\x0bé\x1f x", "ü" * (SLICE + 5) + " end", "z"]
     column = pa.array(["skip me", *texts])[1:]
     b, offs = text_buffers(column)
     s, e = spans(b, offs)

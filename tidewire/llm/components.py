@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.llm.tables import in_arrow
 from tidewire.llm.text import slices
 from tidewire.session import saved
 
@@ -52,7 +53,7 @@ def components(links: DataFrame) -> DataFrame:
     neighbour, pointers are followed to their ends, and links are redrawn between those.
     """
     a, b = links.columns
-    edges = saved(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).mapInArrow(_forest, "id long, component long"))
+    edges = saved(in_arrow(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")), _forest, "id long, component long"))
     known = None
     while edges.count() > ONE_TASK:
         both = edges.union(edges.select("component", "id"))
@@ -66,8 +67,8 @@ def components(links: DataFrame) -> DataFrame:
         known = point if known is None else saved(_followed(known, point).drop("_on").unionByName(point))
         a = _followed(edges.select("component", F.col("id").alias("to")), point).select(F.col("to").alias("a"), "component")
         b = _followed(a.select("a", F.col("component").alias("to")), point).select("a", F.col("to").alias("b"))
-        edges = saved(b.filter("a != b").distinct().mapInArrow(_forest, "id long, component long"))
-    last = saved(edges.coalesce(1).mapInArrow(_forest, "id long, component long"))
+        edges = saved(in_arrow(b.filter("a != b").distinct(), _forest, "id long, component long"))
+    last = saved(in_arrow(edges.coalesce(1), _forest, "id long, component long"))
     if known is None:
         return last
     point = last.withColumnRenamed("component", "to")
@@ -151,7 +152,7 @@ def _blocks(members: DataFrame, texts: DataFrame, items: Items, least: float) ->
         if held:
             yield from _forest(_compared(held, items, least))
 
-    return work.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "id long, component long")
+    return in_arrow(work.repartition("piece").sortWithinPartitions("piece"), run, "id long, component long")
 
 
 def _compared(rows: list[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
@@ -258,4 +259,4 @@ def alike(pairs: DataFrame, texts: DataFrame, items: Items, least: float) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return met.mapInArrow(run, "a long, b long")
+    return in_arrow(met, run, "a long, b long")

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.llm.tables import small
+from tidewire.llm.tables import numbered, picked, small
 from tidewire.session import saved
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At weighted similarity 0.8 two 64-bit fingerprints differ in 10 bits on average (deviation 3).
-RADIUS = 17
-#: Nine blocks: of two fingerprints within 17 bits some block differs in at most one bit.
-WIDTHS = (7, 7, 7, 7, 7, 7, 7, 7, 8)
+RADIUS = 21
+#: Eleven blocks: of two fingerprints within 21 bits some block differs in at most one bit.
+WIDTHS = (6, 6, 6, 6, 6, 6, 6, 6, 6, 5, 5)
 #: Shingle hashes (8 bytes each) of all items up to which they are broadcast.
 LISTED = 2_000_000
 
@@ -35,13 +35,13 @@ def shingle_hashes(words: Column, k: int) -> Column:
     )
 
 
-def numbered(hashes: Column) -> Column:
+def occurrence_tags(hashes: Column) -> Column:
     """A value of its own for the k-th occurrence of each hash in a sorted array column."""
     return F.transform(hashes, lambda h, i: F.xxhash64(h, i - F.array_position(hashes, h)))
 
 
 def simhash(hashes: Column) -> Column:
-    """Each bit by majority over the hashes of a set; of ``numbered`` ones the angle follows weighted Jaccard."""
+    """Each bit by majority over the hashes of a set; of ``occurrence_tags`` the angle follows weighted Jaccard."""
     ones = F.transform(
         F.sequence(F.lit(0), F.lit(63)),
         lambda b: F.aggregate(
@@ -83,13 +83,13 @@ def leaks(
     shingle. Of the windows the best one, moved as far left as it stays best, ends with a shared shingle
     or begins the document. So every window that begins or ends with a shared shingle (moved inside the
     document) is tried, unless it holds too few shared shingles to be ``similarity`` alike. Their
-    fingerprints meet those of items of that size in nine blocks, which miss none within the radius;
+    fingerprints meet those of items of that size in eleven blocks, which miss none within the radius;
     Hamming distance and exact similarity then decide. ``start`` is the first word of the best window
     (the earliest on ties). Null, empty or wordless texts hold nothing and are held by nothing;
     repeated rows of either table count once; other columns are not read.
     """
-    words = docs.select(docs[doc_id].alias("_d"), F.xxhash64(docs[text]).alias("_t"), normal_words(docs[text]).alias("_w"))
-    items = benchmark.select(benchmark[item_id].alias("_item"), normal_words(benchmark[item_text]).alias("_w")).distinct()
+    words = picked(docs, _d=doc_id, _text=text).select("_d", F.xxhash64("_text").alias("_t"), normal_words(F.col("_text")).alias("_w"))
+    items = picked(benchmark, _item=item_id, _text=item_text).select("_item", normal_words(F.col("_text")).alias("_w")).distinct()
     items = saved(items.withColumn("_size", F.size("_w")).filter("_size > 0"))
     sizes = [r[0] for r in items.select(F.least("_size", F.lit(SHINGLE))).distinct().collect()]  # at most five
     found = [_leaks_of(words, items.filter(F.least("_size", F.lit(SHINGLE)) == k), k, similarity) for k in sorted(sizes)]
@@ -112,7 +112,7 @@ def _leaks_of(words: DataFrame, items: DataFrame, k: int, similarity: float) ->
     # the outer explode infers none.
     items = items.withColumn("_key", F.xxhash64("_item", "_w"))
     items = saved(items.withColumn("_sh", F.array_sort(shingle_hashes(F.col("_w"), k))).drop("_w"))
-    items = saved(items.withColumn("_tags", numbered(F.col("_sh"))))
+    items = saved(items.withColumn("_tags", occurrence_tags(F.col("_sh"))))
     items = saved(items.withColumn("_print", simhash(F.col("_tags"))).drop("_tags"))
     known = small(items.select(F.col("_size").alias("_L"), F.explode("_sh").alias("_hit")).distinct())
     n = F.size("_w")
@@ -136,7 +136,7 @@ def _leaks_of(words: DataFrame, items: DataFrame, k: int, similarity: float) ->
     texts = words.join(held, F.col("_t") == F.col("_u"), "left_semi").groupBy("_t").agg(F.any_value("_w").alias("_w"))
     texts = saved(texts.select(F.col("_t").alias("_u"), shingle_hashes(F.col("_w"), k).alias("_sh")))
     spans = tried.join(texts, F.col("_t") == F.col("_u")).select("_t", "_L", "_start", F.array_sort(F.slice("_sh", F.col("_start") + 1, F.col("_m"))).alias("_window"))
-    spans = saved(saved(spans).withColumn("_tags", numbered(F.col("_window"))))
+    spans = saved(saved(spans).withColumn("_tags", occurrence_tags(F.col("_window"))))
     prints = saved(spans.withColumn("_mine", simhash(F.col("_tags"))).drop("_tags"))
     mine = prints.select("*", F.posexplode(F.array(*blocks(F.col("_mine")))).alias("_block", "_value"))
     near = [
@@ -156,6 +156,9 @@ def _leaks_of(words: DataFrame, items: DataFrame, k: int, similarity: float) ->
 
 
 def without_leaks(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that hold no item; rows with a null id stay unless a null id was found."""
+    """The rows of ``docs`` that hold no item; rows with a null id stay unless a null id was found.
+
+    Repeated rows go or stay together; columns of any name are kept as they are."""
     ids = found.select(F.col(doc_id).alias("_leak")).distinct()
-    return docs.join(ids, docs[doc_id].eqNullSafe(ids["_leak"]), "left_anti")
+    body, at = numbered(docs)
+    return body.join(ids, F.col(at[doc_id]).eqNullSafe(F.col("_leak")), "left_anti").toDF(*docs.columns)

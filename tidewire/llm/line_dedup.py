@@ -7,12 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.components import linked
-from tidewire.llm.tables import small
-from tidewire.llm.text import BASE, SPACE, U64, hash_spans, mix, powers, slices, text_buffers
+from tidewire.llm.tables import in_arrow, numbered, picked, small
+from tidewire.llm.text import BASE, SPACE, U64, Seen, hash_spans, mix, powers, slices, text_buffers
 from tidewire.session import saved
 
 SHINGLE, SIMILARITY = 6, 0.8
@@ -138,9 +138,10 @@ def _blank(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _sketches(docs: DataFrame) -> DataFrame:
     """Per line with ink: ``_id, _t`` (of its document), ``n`` (its number), ``line`` (hash),
-    and once per line and batch ``given`` and ``bands``, null for its repeats."""
+    and once per line and task (see :class:`Seen`) ``given`` and ``bands``, null for its repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for whole in batches:
             for batch in slices(whole, "_text"):
                 b, offs = text_buffers(batch.column("_text"))
@@ -148,8 +149,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 ink = ~_blank(b, starts, ends)
                 starts, ends, row, number = starts[ink], ends[ink], row[ink], number[ink]
                 hashes = hash_spans(b, starts, ends)
-                _, first = np.unique(hashes, return_index=True)
-                first = np.sort(first)
+                first = seen.new(hashes)
                 points, s, e = _characters(b, starts, ends)
                 bands = band_hashes(points, s[first], e[first])
                 given = np.zeros(len(hashes), bool)
@@ -160,8 +160,8 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 cols = [batch.column("_id").take(to), batch.column("_t").take(to), pa.array(number, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(given), lists]
                 yield pa.RecordBatch.from_arrays(cols, names=["_id", "_t", "n", "line", "given", "bands"])
 
-    kind = docs.select("_id").dtypes[0][1]
-    return docs.mapInArrow(run, f"_id {kind}, _t long, n int, line long, given boolean, bands array<long>")
+    kind = dict(docs.dtypes)["_id"]
+    return in_arrow(docs, run, f"_id {kind}, _t long, n int, line long, given boolean, bands array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -177,22 +177,14 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 item = asked.flatten()
                 places = np.repeat(head, np.diff(np.asarray(asked.offsets))) + np.asarray(item.field("n"))
                 ids = np.asarray(item.field("line"))
-                keep = hash_spans_any(b, starts[places], ends[places]).view(np.int64) == ids
+                keep = hash_spans(b, starts[places], ends[places]).view(np.int64) == ids
                 raw = [b[p:q].tobytes().decode("utf-8") for p, q in zip(starts[places[keep]], ends[places[keep]], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(raw, pa.string())], names=["id", "text"])
 
     asked = saved(wanted.groupBy("_id", "_t").agg(F.collect_list(F.struct("n", "line")).alias("asked")))
     a = small(asked.withColumnsRenamed({"_id": "_i", "_t": "_u"}), LISTED, F.size("asked"))
     met = docs.join(a, docs["_id"].eqNullSafe(a["_i"]) & (docs["_t"] == a["_u"])).select("_text", "asked")
-    return met.mapInArrow(run, "id long, text string")
-
-
-def hash_spans_any(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """:func:`hash_spans` for spans in any order."""
-    order = np.argsort(starts, kind="stable")
-    out = np.empty(len(starts), U64)
-    out[order] = hash_spans(b, starts[order], ends[order])
-    return out
+    return in_arrow(met, run, "id long, text string")
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,7 +197,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     left alone. Documents that are equal in id and text lose the same lines, those that repeat
     between them included only if an earlier document has them.
     """
-    body = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text"), F.xxhash64(docs[text]).alias("_t"))
+    body = picked(docs, _id=doc_id, _text=text).withColumn("_t", F.xxhash64("_text"))
     drawn = saved(_sketches(body))
     members = drawn.filter("given").select(F.explode("bands").alias("bucket"), F.col("line").alias("id"))
     places = drawn.filter("given").select("line", "_id", "_t", "n")
@@ -239,21 +231,38 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
 def dedup_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_lines`` (null text: 0), ``n_removed`` and ``removed`` (line numbers)."""
     lost = repeated_lines(docs, doc_id=doc_id, text=text).withColumnsRenamed({"_id": "_i", "_t": "_u"})
-    feeds = F.octet_length(docs[text]) - F.octet_length(F.replace(docs[text], F.lit("\n"), F.lit("")))
+    feeds = F.octet_length("_text") - F.octet_length(F.replace(F.col("_text"), F.lit("\n"), F.lit("")))
     n = F.coalesce(feeds + 1, F.lit(0))
-    own = docs.select(docs[doc_id].alias("_id"), F.xxhash64(docs[text]).alias("_t"), n.alias("n_lines"))
+    own = picked(docs, _id=doc_id, _text=text).select("_id", F.xxhash64("_text").alias("_t"), n.alias("n_lines"))
     out = own.join(lost, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_u")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select(F.col("_id").alias(doc_id), "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
 
 
+def _without(lines: Column, numbers: Column) -> Column:
+    """``lines`` without those of the given numbers (ascending, from 0): the runs between them, in linear time."""
+    before = lambda i: F.when(i == 0, 0).otherwise(F.get(numbers, i - 1) + 1)
+    upto = lambda i, n: F.when(i == F.size(numbers), n).otherwise(F.get(numbers, i))
+    # The outer transform gives the array a name, so that it is made once.
+    runs = F.transform(
+        F.array(lines),
+        lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.size(numbers)), lambda i: F.slice(x, before(i) + 1, upto(i, F.size(x)) - before(i)))),
+    )
+    return F.get(runs, F.lit(0))
+
+
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the repeated lines out of ``text``; a document that loses every line with ink goes."""
+    """All columns of ``docs`` with the repeated lines out of ``text``; a document that loses every line with ink goes.
+
+    Null and blank texts stay as they are. Repeated rows lose the same lines (see :func:`repeated_lines`).
+    Columns of any name are kept as they are.
+    """
     lost = saved(repeated_lines(docs, doc_id=doc_id, text=text).withColumnsRenamed({"_id": "_i", "_t": "_u"}))
     lost = small(lost, LISTED, F.size("removed"))
-    joined = docs.join(lost, docs[doc_id].eqNullSafe(lost["_i"]) & (F.xxhash64(docs[text]) == lost["_u"]), "left")
-    gone = F.col("removed")
-    kept = F.array_join(F.filter(F.split(docs[text], "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    changed = F.when(gone.isNull(), docs[text]).otherwise(kept)
-    out = joined.select(*[changed.alias(c) if c == text else docs[c] for c in docs.columns], gone.isNull().alias("_whole"))
-    return out.filter(F.col("_whole") | F.col(text).rlike(r"[^\x20\x09-\x0D]")).drop("_whole")
+    body, at = numbered(docs)
+    own = F.col(at[text])
+    joined = body.join(lost, F.col(at[doc_id]).eqNullSafe(F.col("_i")) & (F.xxhash64(own) == F.col("_u")), "left")
+    kept = F.array_join(_without(F.split(own, "\n"), F.col("removed")), "\n")
+    changed = F.when(F.col("removed").isNull(), own).otherwise(kept)
+    out = joined.withColumn(at[text], changed).filter(F.col("removed").isNull() | own.rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*body.columns).toDF(*docs.columns)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.llm.tables import in_arrow, picked
 from tidewire.llm.text import mix, slices, words_of
 from tidewire.session import saved
 
@@ -141,11 +142,11 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text):
-                word, n = np.unique(words_of(batch.column(text))[0], return_counts=True)
+            for batch in slices(whole, "_text"):
+                word, n = np.unique(words_of(batch.column("_text"))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    return docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return in_arrow(picked(docs, _text=text), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _bin() -> Column:
@@ -187,7 +188,7 @@ def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
         for k, s, n, v in out:
             yield pa.RecordBatch.from_pylist([{"piece": k, "salt": s, "n": n, "v": v}], pa.schema([("piece", pa.int32()), ("salt", pa.int32()), ("n", pa.int64()), ("v", pa.binary())]))
 
-    return rows.repartition(*by).mapInArrow(run, "piece int, salt int, n long, v binary")
+    return in_arrow(rows.repartition(*by), run, "piece int, salt int, n long, v binary")
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Network:
@@ -205,8 +206,8 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Network:
             start = shared.value
             own, seen = start.with_vector(start.vector()), 0
             for whole in batches:
-                for batch in slices(whole, text):
-                    h, offs = words_of(batch.column(text))
+                for batch in slices(whole, "_text"):
+                    h, offs = words_of(batch.column("_text"))
                     if not len(h):
                         continue
                     ids = _ids(h)
@@ -222,7 +223,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Network:
             for i, lo in enumerate(range(0, len(change), PIECE)):
                 yield pa.RecordBatch.from_pylist([{"piece": i, "salt": salt, "n": seen, "v": change[lo : lo + PIECE].tobytes()}], pa.schema([("piece", pa.int32()), ("salt", pa.int32()), ("n", pa.int64()), ("v", pa.binary())]))
 
-        parts = docs.select(text).mapInArrow(run, "piece int, salt int, n long, v binary")
+        parts = in_arrow(picked(docs, _text=text), run, "piece int, salt int, n long, v binary")
         got = _summed(_summed(parts, ["piece", "salt"]), ["piece"]).toPandas().sort_values("piece")
         if len(got) and got["n"].iloc[0]:
             v = np.concatenate([np.frombuffer(x, np.float64) for x in got["v"]]) / got["n"].iloc[0]
@@ -238,7 +239,7 @@ def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "te
     results; other columns are not read."""
     v = net.vocabulary
     shared = docs.sparkSession.sparkContext.broadcast((replace(net, vocabulary=None), v.log_total, v.frequent, v.log_n))
-    key = docs.select(doc_id).dtypes[0][1]
+    key = dict(docs.dtypes)[doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, log_total, frequent, log_n = shared.value
@@ -255,14 +256,14 @@ def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "te
                         rare = frequent[at] != h
                         lp += np.where(rare, 0.0, log_n[at])
                 row = np.repeat(np.arange(len(n)), n)
-                total = np.bincount(row, lp, len(n)) if len(n) else np.zeros(0)
+                total = np.bincount(row, lp, len(n)).astype(float)
                 upto = np.concatenate(([0], np.cumsum(rare)))[offs]
                 lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(h[rare].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array(n, pa.int64()), pa.array(total), lists], names=["_row", "_id", "_n", "_lp", "_rare"])
 
-    picked = docs.select(F.monotonically_increasing_id().alias("_row"), docs[doc_id].alias("_id"), docs[text].alias("_text"))
+    body = picked(docs, _id=doc_id, _text=text).withColumn("_row", F.monotonically_increasing_id())
     # Written once, so that both reads see the same row numbers.
-    part = saved(picked.mapInArrow(run, f"_row long, _id {key}, _n long, _lp double, _rare array<long>"))
+    part = saved(in_arrow(body, run, f"_row long, _id {key}, _n long, _lp double, _rare array<long>"))
     rare = part.select("_row", F.explode("_rare").alias("_word"))
     known = v.table.filter(_bin() < v.least)
     n = F.coalesce(F.col("n"), F.lit(0))

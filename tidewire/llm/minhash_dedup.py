@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.components import linked
-from tidewire.llm.tables import fresh, small
-from tidewire.llm.text import CHUNK, U64, joined, mix, powers, shingles, slices, words_of
+from tidewire.llm.tables import in_arrow, numbered, picked, small
+from tidewire.llm.text import U64, Seen, joined, mix, powers, ragged, salts, shingles, slices, words_of
 from tidewire.session import saved
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -63,16 +63,15 @@ def band_hashes(registers: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _class(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A hash of each row's whole word sequence."""
-    p = powers(0xBF58476D1CE4E5B9, 1 << 16)
-    out = np.empty(len(offs) - 1, U64)
-    for i in range(len(out)):
-        w, x = h[offs[i] : offs[i + 1]], U64(0)
-        for at in range(0, len(w), 1 << 16):
-            part = w[at : at + (1 << 16)]
-            x = mix(np.array([x + np.sum(part * p[: len(part)], dtype=U64) + U64(len(part))]))[0]
-        out[i] = x
-    return out
+    """A hash of each row's whole word sequence: each word mixed with its place, added up. Different texts
+    share one by chance only, n of them about n**2 / 2**65 times."""
+    n = np.diff(offs)
+    out = n.astype(U64)
+    some = np.flatnonzero(n)
+    if len(some):
+        _, k = ragged(n)
+        out[some] += np.add.reduceat(mix(h ^ salts(int(n.max()), 5)[k]), offs[:-1][some])
+    return mix(out)
 
 
 def occurrences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,17 +87,17 @@ def occurrences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``_id, class, size, given, bands`` per row: class is the hash of the words (null without words);
-    bands are given once per class and batch, null on its other rows."""
-    kind = docs.select(doc_id).dtypes[0][1]
+    bands are given once per class and task (see :class:`Seen`), null on its other rows."""
+    kind = dict(docs.dtypes)[doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for whole in batches:
-            for batch in slices(whole, "_text", CHUNK):
+            for batch in slices(whole, "_text"):
                 h, offs = words_of(batch.column("_text"))
                 n = np.diff(offs)
                 cls = _class(h, offs)
-                _, first = np.unique(cls, return_index=True)
-                first = np.sort(first[n[first] > 0])
+                first = seen.new(cls, n > 0)
                 bags = [np.unique(shingles(h[offs[i] : offs[i + 1]], SHINGLE), return_counts=True) for i in first]
                 bands = np.zeros((0, REGISTERS // ROWS), U64)
                 if bags:
@@ -112,8 +111,8 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 size = np.where(n < SHINGLE, np.minimum(n, 1), n - SHINGLE + 1)
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(cls.view(np.int64), mask=n == 0), pa.array(size, pa.int32()), pa.array(place >= 0), lists], names=["_id", "class", "size", "given", "bands"])
 
-    picked = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text"))
-    return picked.mapInArrow(run, f"_id {kind}, class long, size int, given boolean, bands array<long>")
+    body = picked(docs, _id=doc_id, _text=text)
+    return in_arrow(body, run, f"_id {kind}, class long, size int, given boolean, bands array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -126,9 +125,9 @@ def _texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFr
                 at = pa.array(np.flatnonzero(same))
                 yield pa.RecordBatch.from_arrays([batch.column("class").take(at), batch.column("_text").take(at)], names=["id", "text"])
 
-    body = docs.select(docs[doc_id].alias("_doc"), docs[text].alias("_text"))
-    picked = body.join(small(wanted), body["_doc"].eqNullSafe(wanted["_id"])).select("class", "_text")
-    return picked.mapInArrow(run, "id long, text string")
+    body = picked(docs, _doc=doc_id, _text=text)
+    asked = body.join(small(wanted), F.col("_doc").eqNullSafe(F.col("_id"))).select("class", "_text")
+    return in_arrow(asked, run, "id long, text string")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,23 +168,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose group keeps another: one row of each group stays."""
-    names = docs.columns
+    """The rows of ``docs`` without those whose group keeps another: one row of each group stays.
+
+    Null, empty and wordless texts stay. Of repeated rows, and of rows of a group that hold its smallest
+    id together, one stays. Columns of any name are kept as they are.
+    """
     judged = saved(near_duplicates(docs, doc_id=doc_id, text=text).filter("group_rows > 1"))
-    cls = fresh(docs, "class")
+    body, at = numbered(docs)
+    key, words = at[doc_id], list(body.columns).index(at[text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, offs = words_of(batch.column(text))
-            c = pa.array(_class(h, offs).view(np.int64), mask=np.diff(offs) == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, c], names=[*batch.schema.names, cls])
-
-    marked = docs.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + f", `{cls}` long")
-    out = judged.filter(~F.col("kept")).select(F.col(doc_id).alias("_i"), F.col("_class").alias("_c")).distinct()
-    stay = marked.join(small(out), marked[doc_id].eqNullSafe(out["_i"]) & marked[cls].eqNullSafe(out["_c"]), "left_anti")
+        for whole in batches:
+            for batch in slices(whole, at[text]):
+                h, offs = words_of(batch.column(words))
+                c = pa.array(_class(h, offs).view(np.int64), mask=np.diff(offs) == 0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, c], names=[*batch.schema.names, "_class"])
+
+    marked = in_arrow(body, run, ", ".join(f"`{c}` {k}" for c, k in body.dtypes) + ", `_class` long")
+    out = judged.filter(~F.col("kept")).select(F.col(doc_id).alias("_id"), F.col("_class").alias("_out")).distinct()
+    stay = marked.join(small(out), F.col(key).eqNullSafe(F.col("_id")) & F.col("_class").eqNullSafe(F.col("_out")), "left_anti")
     # Several rows of a group can hold its smallest id; of those one stays.
-    twice = judged.filter("kept").groupBy(F.col(doc_id).alias("_i"), F.col("_group").alias("_g")).agg(F.count("*").alias("n"), F.collect_set("_class").alias("cs"))
-    twice = small(saved(twice.filter("n > 1").select("_i", "_g", F.explode("cs").alias("_c"))))
-    tied = stay.join(twice, stay[doc_id].eqNullSafe(twice["_i"]) & (stay[cls] == twice["_c"]), "left")
-    alone = tied.filter("_g is null").select(*names)
-    return alone.unionByName(tied.filter("_g is not null").dropDuplicates(["_g", "_i"]).select(*names))
+    twice = judged.filter("kept").groupBy(F.col(doc_id).alias("_id"), F.col("_group").alias("_g")).agg(F.count("*").alias("n"), F.collect_set("_class").alias("_classes"))
+    twice = small(saved(twice.filter("n > 1").select("_id", "_g", F.explode("_classes").alias("_again"))))
+    tied = stay.join(twice, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_again")), "left")
+    alone = tied.filter("_g is null").select(*body.columns)
+    return alone.unionByName(tied.filter("_g is not null").dropDuplicates(["_g", "_id"]).select(*body.columns)).toDF(*docs.columns)

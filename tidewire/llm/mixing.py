@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.llm.tables import picked
 from tidewire.session import saved
 
 WEIGHTS = (5, 2, 1)
@@ -114,11 +115,8 @@ def mix_sources(
     at most ``cap`` times its size; an empty or null text has size 0 and takes 0. A null source is a
     source. Repeated rows are separate documents. Reruns agree, whatever the partitioning.
     """
-    rows = docs.select(
-        docs[doc_id].alias("_id"),
-        docs[source].alias("source"),
-        text_size(docs[text]).alias("size"),
-        F.xxhash64(F.lit(seed), docs[doc_id], docs[text]).alias("_h"),
+    rows = picked(docs, _id=doc_id, source=source, _text=text).select(
+        "_id", "source", text_size(F.col("_text")).alias("size"), F.xxhash64(F.lit(seed), "_id", "_text").alias("_h")
     )
     rows = saved(rows.withColumn("_cell", F.pmod("_h", F.lit(CELLS)).cast("int")))
     lengths = saved(rows.groupBy("source", "size").agg(F.count("*").alias("n")))

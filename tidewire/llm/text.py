@@ -16,28 +16,33 @@ U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BASE = 0x9E3779B97F4A7C55 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK = 1 << 21
 #: Bytes of text worked on at once: their arrays stay in the cache and are not mapped anew each time.
 SLICE = 1 << 19
-_POWERS: dict[int, np.ndarray] = {}
+#: The low 0 to 8 bytes of a little-endian block.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit finaliser."""
+    x = x ^ (x >> U64(30))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        out = np.full(max(n, 1024), U64(base))
-        out[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(out)
-    return have[:n]
+    out = np.full(n, U64(base))
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finaliser."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+def salts(at: np.ndarray | int, seed: int = 0) -> np.ndarray:
+    """A random-looking value for each place; an int stands for the places below it."""
+    at = np.arange(at, dtype=U64) if isinstance(at, int) else at.astype(U64)
+    return mix((at + U64(1)) * U64(BASE) + U64(seed * 0xD1B54A32D192ED03 % (1 << 64)))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,29 +73,62 @@ def spans(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(word & (~before | edge[:-1])), np.flatnonzero(word & (~after | edge[1:])) + 1
 
 
-def _pieces(n: int, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Index ranges of words, each covering about CHUNK bytes."""
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, "right")))
-        yield at, to
-        at = to
+def _blocks(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place (zeros beyond the end), one row a place."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate((b, np.zeros(8, np.uint8))), 8)
 
 
-def hash_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans ascend and do not overlap."""
-    out = np.empty(len(starts), U64)
-    for at, to in _pieces(len(b), starts, ends):
-        lo, hi = int(starts[at]), int(ends[to - 1])
-        part = b[lo:hi].astype(U64)
-        part += U64(1)
-        part *= powers(BASE, hi - lo)
-        total = np.concatenate((np.zeros(1, U64), np.cumsum(part, dtype=U64)))
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        out[at:to] = (total[e] - total[s]) * powers(INVERSE, hi - lo)[s]
+def hash_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span, in any order; another ``seed`` is another function.
+
+    Every block of eight bytes is mixed with its place before blocks are added up, so there is no
+    polynomial whose terms structured texts could cancel; spans of up to eight bytes of one length
+    never collide. Others collide by chance, n different spans about n**2 / 2**65 times.
+    """
+    if not len(starts):
+        return np.zeros(0, U64)
+    blocks, n = _blocks(b), ends - starts
+    load = lambda at, left: blocks[at].view("<u8").ravel() & _LOW[np.minimum(left, 8)]
+    out = load(starts, n)
+    out ^= salts(1, seed)
+    out = mix(out)
+    more = np.flatnonzero(n > 8)
+    if len(more):
+        extra = (n[more] - 1) >> 3
+        group, k = ragged(extra)
+        k += 1
+        x = load(starts[more][group] + 8 * k, n[more][group] - 8 * k)
+        x ^= salts(int(extra.max()) + 1, seed)[k]
+        out[more] += np.add.reduceat(mix(x), np.cumsum(extra) - extra)
+    out += n.astype(U64) * U64(BASE)
     return mix(out)
 
 
+def same_spans(b: np.ndarray, s: np.ndarray, e: np.ndarray, t: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``s`` to ``e`` are those from ``t`` to ``f``."""
+    blocks, n = _blocks(b), e - s
+    load = lambda at, left: blocks[at].view("<u8").ravel() & _LOW[np.minimum(left, 8)]
+    out = (n == f - t) & (load(s, n) == load(t, f - t))
+    more = np.flatnonzero(out & (n > 8))
+    if len(more):
+        group, k = ragged((n[more] - 1) >> 3)
+        at, left = 8 * (k + 1), n[more][group] - 8 * (k + 1)
+        out[more[group[load(s[more][group] + at, left) != load(t[more][group] + at, left)]]] = False
+    return out
+
+
+def word_numbers(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number from 0 for each span; equal numbers exactly for equal bytes, whatever their hashes."""
+    h = hash_spans(b, starts, ends)
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    rep = first[number]
+    odd = np.flatnonzero(~same_spans(b, starts, ends, starts[rep], ends[rep]))
+    if len(odd):
+        raw, own = b.tobytes(), {}
+        number[odd] = [len(first) + own.setdefault(raw[p:q], len(own)) for p, q in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
+    return number
+
+
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all rows and each row's offsets into them (n + 1)."""
     b, offs = text_buffers(column)
@@ -103,7 +141,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     if len(h) < k:
         return np.zeros(0, U64)
     out = np.zeros(len(h) - k + 1, U64)
-    for j, p in enumerate(powers(BASE, k)):
+    for j, p in enumerate(salts(k, 1) | U64(1)):
         out += h[j : len(h) - k + 1 + j] * p
     return mix(out)
 
@@ -133,3 +171,25 @@ def ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Arrays end to end, and their offsets."""
     return np.concatenate([np.zeros(0, U64), *sets]), np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64)
+
+
+class Seen:
+    """The values that a task has met, at most ``LIMIT``; then it forgets them and starts anew.
+
+    A value is new once a task, or a few times in a long one, so that a frequent value yields few rows."""
+
+    LIMIT = 1 << 18
+
+    def __init__(self) -> None:
+        self.values = np.zeros(0, U64)
+
+    def new(self, values: np.ndarray, use: np.ndarray | None = None) -> np.ndarray:
+        """Places, ascending, where a value (of those to ``use``) occurs for the first time."""
+        at = np.arange(len(values)) if use is None else np.flatnonzero(use)
+        own, first = np.unique(values[at], return_index=True)
+        if len(self.values):
+            known = self.values[np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)] == own
+            own, first = own[~known], first[~known]
+        held = len(self.values) + len(own) <= self.LIMIT
+        self.values = np.sort(np.concatenate((self.values, own)), kind="stable") if held else own
+        return np.sort(at[first])

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewire.llm.tables import fresh
+from tidewire.llm.tables import in_arrow, picked
 from tidewire.llm.text import slices
 
 #: Marks a word's start, as in the vocabulary file.
@@ -93,14 +93,14 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, doc_id: str = "doc_id"
     read. The automaton's size depends on the vocabulary alone.
     """
     automaton = docs.sparkSession.sparkContext.broadcast(Automaton(read_pieces(path)))
-    key, body = docs.select(doc_id).dtypes[0][1], fresh(docs, "text")
+    key = dict(docs.dtypes)[doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, memo = automaton.value.count, {}
         for whole in batches:
-            for batch in slices(whole, body):
+            for batch in slices(whole, "_text"):
                 n_words, n_tokens, n_unknown = [], [], []
-                for value in batch.column(body):
+                for value in batch.column("_text"):
                     words = (value.as_py() or "").translate(BLANKS).split(" ")
                     n = tokens = unknown = 0
                     for w in words:
@@ -121,11 +121,10 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, doc_id: str = "doc_id"
                     n_words.append(n)
                     n_tokens.append(tokens)
                     n_unknown.append(unknown)
-                cols = [batch.column(doc_id), *(pa.array(x, pa.int64()) for x in (n_words, n_tokens, n_unknown))]
+                cols = [batch.column("_id"), *(pa.array(x, pa.int64()) for x in (n_words, n_tokens, n_unknown))]
                 yield pa.RecordBatch.from_arrays(cols, names=[doc_id, "n_words", "n_tokens", "n_unknown"])
 
-    picked = docs.select(doc_id, docs[text].alias(body))
-    return picked.mapInArrow(run, f"`{doc_id}` {key}, n_words long, n_tokens long, n_unknown long")
+    return in_arrow(picked(docs, _id=doc_id, _text=text), run, f"`{doc_id}` {key}, n_words long, n_tokens long, n_unknown long")
 
 
 BLANKS = {c: " " for c in range(0x09, 0x0E)}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.tables import fresh
+from tidewire.llm.tables import in_arrow, numbered, picked
 from tidewire.llm.text import hash_spans, mix, slices, spans, text_buffers
 from tidewire.session import saved
 
@@ -18,8 +18,8 @@ from tidewire.session import saved
 SAMPLE = 12_000
 GRADES = 4
 PREFIXES = (4, 5, 6)
-#: A feature enters the model if its rates in toxic and other documents differ by so many standard errors.
-LEAST_Z, LEAST_DOCS, MOST_FEATURES = 4.0, 4, 4096
+#: A feature enters the model if it is in so many documents and its rates in toxic and other ones differ by so many standard errors.
+LEAST_Z, LEAST_DOCS = 4.0, 4
 _FOLD = np.full(256, 0x20, np.uint8)
 for _c in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
     _FOLD[_c] = _c
@@ -105,15 +105,21 @@ def _distinct(h: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
     return [np.unique(x) for x in each]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_z: float = LEAST_Z, least_docs: int = LEAST_DOCS,
+    doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
+) -> Model:
     """Fit on at most ``sample`` labelled documents, whole texts; labels repeated for an id count as toxic if any is.
 
-    Executors count each feature's documents per class; the features that differ most (MOST_FEATURES at
-    most) reach the driver, then the places of those in each sampled document: both bounded."""
-    picked = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
-    picked = picked.groupBy(F.col(doc_id).alias("_id")).agg((F.max(label) > 0).alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    picked = F.broadcast(saved(picked))
-    body = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text")).join(picked, "_id")
+    Executors count each feature's documents per class; features in ``least_docs`` documents or more
+    whose classes differ by ``least_z`` standard errors reach the driver, then their places in each
+    document. Both are bounded by the sample: of documents that share an id the least text counts, so
+    an id is one row. Null ids and null labels are left out; no labelled document: all are graded 0."""
+    marks = picked(labels, _id=doc_id, _label=label).filter("_id is not null and _label is not null")
+    marks = marks.groupBy("_id").agg((F.max("_label") > 0).alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    marks = F.broadcast(saved(marks.withColumnRenamed("_id", "_k")))
+    body = picked(docs, _id=doc_id, _text=text).join(marks, F.col("_id") == F.col("_k"))
+    body = saved(body.groupBy("_id").agg(F.min("_text").alias("_text"), F.any_value("_y").alias("_y")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -126,15 +132,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
                 df = np.bincount(at, minlength=len(key))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pos), pa.array(df)], names=["key", "pos", "df"])
 
-    sizes = {r._y: r.n for r in docs.select(docs[doc_id].alias("_id")).join(picked, "_id").groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    sizes = {r._y: r.n for r in body.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
         return fit(np.zeros(0, np.uint64), np.zeros(0), [], np.zeros(0), np.zeros(0, bool))
-    total = body.mapInArrow(count, "key long, pos long, df long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("df").alias("df"))
+    total = in_arrow(body, count, "key long, pos long, df long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("df").alias("df"))
     rate = F.col("df") / (n1 + n0)
     z = (F.col("pos") / n1 - (F.col("df") - F.col("pos")) / n0) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0) + 1e-12)
-    kept = total.filter((F.col("df") >= LEAST_DOCS) & (rate < 0.5)).withColumn("z", z).filter(F.abs("z") >= LEAST_Z)
-    got = kept.orderBy(F.desc(F.abs("z")), "key").limit(MOST_FEATURES).select("key", "z").toPandas()
+    got = total.filter(F.col("df") >= least_docs).withColumn("z", z).filter(F.abs("z") >= least_z).select("key", "z").toPandas()
     keys = got["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys, z = keys[order], got["z"].to_numpy(float)[order]
@@ -150,29 +155,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(words, pa.int64()), packed], names=["_id", "_y", "words", "packed"])
 
     kind = dict(body.dtypes)["_id"]
-    rows = body.mapInArrow(place, f"_id {kind}, _y boolean, words long, packed binary").toPandas().sort_values(["_id", "packed"], kind="stable")
+    rows = in_arrow(body, place, f"_id {kind}, _y boolean, words long, packed binary").toPandas().sort_values(["_id", "packed"], kind="stable")
     return fit(keys, z, [np.frombuffer(x, np.int32).astype(np.int64) for x in rows["packed"]], rows["words"].to_numpy(), rows["_y"].to_numpy(bool))
 
 
 def severity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``severity`` (expected grade), ``p_toxic`` (P(grade >= 1)), ``grade``
-    (most probable) and ``toxic`` (p_toxic >= 0.5); input columns so named give way.
+    (most probable) and ``toxic`` (p_toxic >= 0.5); input columns so named give way, others may have any name.
 
-    A feature counts once per document. Null and empty texts have no features. Repeated rows get
-    repeated results.
+    A feature counts once per document. Null and empty texts have no features. Whole texts are read,
+    however long. Repeated rows get repeated results.
     """
     names = ["severity", "p_toxic", "grade", "toxic"]
-    docs = docs.select(*[docs[c] for c in docs.columns if c.lower() not in names])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    body, columns = fresh(docs, "text"), docs.columns
+    body, at = numbered(docs)
+    words = body.columns.index(at[text])
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         maybe = np.zeros(1 << 16, bool)
         maybe[m.keys & np.uint64(0xFFFF)] = True
         for whole in batches:
-            for batch in slices(whole, body):
-                h, row, _ = features(batch.column(body))
+            for batch in slices(whole, f"_{words}"):
+                h, row, _ = features(batch.column(words))
                 at = np.flatnonzero(maybe[h & np.uint64(0xFFFF)])
                 place = np.searchsorted(m.keys, h[at])
                 hit = np.append(m.keys, np.uint64(0))[place] == h[at]
@@ -182,8 +188,8 @@ def severity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                 p = m.grade_probabilities(np.bincount(r, m.weights[c] if len(c) else None, batch.num_rows).astype(float))
                 e = p @ np.arange(p.shape[1])
                 cols = [pa.array(e), pa.array(1 - p[:, 0]), pa.array(p.argmax(1).astype(np.int32)), pa.array(1 - p[:, 0] >= 0.5)]
-                kept = [batch.column(n) for n in batch.schema.names if n != body]
-                yield pa.RecordBatch.from_arrays([*kept, *cols], names=[*columns, *names])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *cols], names=[*(f"_{i}" for i in kept), *names])
 
-    kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    return docs.withColumn(body, docs[text]).mapInArrow(run, f"{kinds}, severity double, p_toxic double, grade int, toxic boolean")
+    kinds = "".join(f"`_{i}` {body.dtypes[i][1]}, " for i in kept)
+    graded = in_arrow(body, run, f"{kinds}severity double, p_toxic double, grade int, toxic boolean")
+    return graded.toDF(*(docs.columns[i] for i in kept), *names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.tables import small
+from tidewire.llm.tables import numbered, small
 
 RULES = [
     ("com", "/en/", "block"),
@@ -101,12 +101,12 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """All rows of ``pages`` with ``host, path, rule, verdict``; see :func:`judge_urls`.
 
-    Repeated rows stay repeated; columns of the input named like a result give way to it.
+    Repeated rows stay repeated; columns of the input named like a result give way to it, others may
+    have any name.
     """
     result = ["host", "path", "rule", "verdict"]
-    judged = judge_urls(pages, rules, url, default)
-    judged = judged.select(F.col("url").alias("_judged_url"), *result)
-    kept = [c for c in pages.columns if c.lower() not in result]
-    left = pages.select(*kept)
-    hit = left.join(judged, left[url].eqNullSafe(judged["_judged_url"]))
-    return hit.select(*[left[c] for c in kept], *[judged[c] for c in result])
+    left, at = numbered(pages)
+    judged = judge_urls(left, rules, at[url], default).withColumnRenamed("url", "_judged")
+    hit = left.join(judged, F.col(at[url]).eqNullSafe(F.col("_judged")))
+    kept = [(n, c) for n, c in zip(left.columns, pages.columns, strict=True) if c.lower() not in result]
+    return hit.select(*[n for n, _ in kept], *result).toDF(*[c for _, c in kept], *result)
