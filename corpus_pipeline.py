@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import decontamination, line_dedup, minhash_dedup, mixing, toxicity
-from tidewire.llm.tables import table
+from tidewire.llm.tables import numbered, table
 from tidewire.session import saved
 
 
@@ -14,11 +14,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted chance of grade 1 or more is below 0.5, fitted on labels of ``docs``."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     # Graded beside the documents, so that columns named like a grade's stay as they are.
-    names = [f"_{i}" for i in range(len(docs.columns))]
-    body = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)])
-    at = dict(zip(docs.columns, names, strict=True))
+    body, at = numbered(docs)
     graded = toxicity.severity(body, model, doc_id=at["doc_id"], text=at["text"])
-    return graded.filter(~F.col("toxic")).select(*[F.col(n).alias(c) for c, n in at.items()])
+    return graded.filter(~F.col("toxic")).select(*body.columns).toDF(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

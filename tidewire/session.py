@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,10 +28,13 @@ def session(app: str = "tidewire", cpus: str = "*", shuffle_partitions: int = 8)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a single machine, as in tests) a temporary folder is made.
+    Only on a single machine (a local master, as in tests) may the setting be absent: then a temporary
+    folder is made. A cluster without it is refused, since each executor would write to its own disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidewire-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -41,4 +45,14 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewire-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what :func:`saved` wrote for ``tables``; only what no later result reads may be forgotten."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
