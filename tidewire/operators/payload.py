@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -121,11 +122,55 @@ def pattern_positions(df: DataFrame, keys: Keys, text: str, pattern: str) -> Dat
 
 
 def multi_pattern_search(df: DataFrame, patterns: DataFrame, keys: Keys, text: str, pattern_id: str, pattern: str) -> DataFrame:
-    """Occurrences of many literal patterns of eight characters or more: texts and patterns meet on their
-    first eight characters, so the work follows the texts and not texts times patterns."""
-    long_ = patterns.filter(F.length(pattern) >= 8).select(F.col(pattern_id), F.col(pattern).alias("_p"), F.substring(pattern, 1, 8).alias("_k"))
-    near = gram_rows(df.withColumn("_text", F.col(text)), [*keys, "_text"], text, 8).join(long_, F.col("gram") == F.col("_k"))
-    return near.filter(F.expr("substring(_text, pos + 1, length(_p)) = _p")).select(*keys, pattern_id, "pos")
+    """Every (overlapping) occurrence of many literal patterns, from 0; empty and null patterns occur nowhere.
+
+    An Aho-Corasick automaton of the distinct patterns, whose text in all is counted to be small, goes to
+    every task, which reads each text once. A larger set is cut by hash into such parts; each part reads
+    the texts anew, so memory stays bounded and no pattern is left out.
+    """
+    known = patterns.select(F.col(pattern_id).alias("_i"), F.col(pattern).alias("_p")).filter(F.length("_p") > 0)
+    total = known.agg(F.coalesce(F.sum(F.octet_length("_p")), F.lit(0))).first()[0]
+    parts = max(1, -(-total // PATTERN_BYTES))
+    own = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(text).alias("_text"))
+    out = None
+    for n in range(parts):
+        some = known.filter(F.pmod(F.xxhash64("_p"), F.lit(parts)) == n)
+        found = _occurrences(own, some.select("_p").distinct())
+        found = found.join(some, "_p").select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("_i").alias(pattern_id), "pos")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+#: UTF-8 bytes of patterns that one automaton holds.
+PATTERN_BYTES = 8 << 20
+
+
+def _occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Each occurrence (``_p, pos``) beside the other columns of ``texts`` (``_text``)."""
+    words = [r[0] for r in patterns.collect()]  # at most PATTERN_BYTES in all
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+    kept = [c for c in texts.columns if c != "_text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        own = ahocorasick.Automaton()
+        for w in shared.value:
+            own.add_word(w, w)
+        if shared.value:
+            own.make_automaton()
+        for batch in batches:
+            rows, hit, pos = [], [], []
+            for i, t in enumerate(batch.column("_text").to_pylist() if shared.value else ()):
+                for end, w in own.iter(t or ""):
+                    rows.append(i)
+                    hit.append(w)
+                    pos.append(end - len(w) + 1)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), pa.array(hit, pa.string()), pa.array(pos, pa.int32())], names=[*kept, "_p", "pos"])
+
+    types = "".join(f"`{c}` {t}, " for c, t in texts.dtypes if c != "_text")
+    return texts.mapInArrow(run, f"{types}_p string, pos int")
 
 
 def classify(df: DataFrame, keys: Keys, data: str) -> DataFrame:
@@ -150,9 +195,9 @@ def sliding_entropy(df: DataFrame, keys: Keys, data: str, window: int = 256, ste
     return _entropy(put.groupBy(*keys, "window", "byte").agg(F.count("*").alias("n")), [*keys, "window"])
 
 
-def column_stats(df: DataFrame, data: str, length: int) -> DataFrame:
-    """Per byte position of messages: entropy, extremes, mean, deviation, distinct values and mode."""
-    rows = byte_rows(df.select(F.substring(data, 1, length).alias(data)), [], data)
+def column_stats(df: DataFrame, data: str) -> DataFrame:
+    """Per byte position of messages, up to the longest: entropy, extremes, mean, deviation, distinct values and mode."""
+    rows = byte_rows(df, [], data)
     counts = rows.groupBy("pos", "byte").agg(F.count("*").alias("n"))
     stats = rows.groupBy("pos").agg(
         F.min("byte").alias("min"), F.max("byte").alias("max"), F.avg("byte").alias("mean"), F.stddev_pop("byte").alias("std"), F.count_distinct("byte").alias("unique")

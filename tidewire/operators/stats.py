@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,9 +27,68 @@ def basic_stats(df: DataFrame, keys: Keys, value: str, ddof: int = 0) -> DataFra
     )
 
 
+#: Relative rank error of the sketch that brackets exact percentiles is one in so many.
+SKETCH = 10_000
+
+
+def met(df: DataFrame, side: DataFrame, keys: Keys) -> DataFrame:
+    """``df`` with the columns of ``side`` (one row per group) beside each row; null keys are a group. The
+    optimizer broadcasts ``side`` by its size; without keys it has one row."""
+    if not keys:
+        return df.crossJoin(F.broadcast(side))
+    own = side.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in side.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(own, reduce(Column.__and__, on)).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def percentiles(df: DataFrame, keys: Keys, value: str, at: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Exact, linearly interpolated percentiles, named p05 and so on."""
-    return df.groupBy(*keys).agg(*[F.percentile(clean(value), q).alias(f"p{round(q * 100):02d}") for q in at])
+    """Exact, linearly interpolated percentiles, named p05 and so on; null for groups without values.
+
+    A mergeable sketch brackets each percentile between two values a few ten-thousandths of the ranks
+    apart. One combining count by value then covers what lies below a bracket as a whole and the values
+    inside it singly, so that no group is held or sorted in one task. Groups too small for the sketch's
+    error to matter are counted value by value.
+    """
+    v, eps = clean(value), 3 / SKETCH
+    names = [f"p{round(q * 100):02d}" for q in at]
+    probes = sorted({min(max(q + e, 0.0), 1.0) for q in at for e in (-eps, eps)})
+    place = {p: i for i, p in enumerate(probes)}
+    sketch = df.groupBy(*keys).agg(
+        F.count(v).alias("_n"), F.percentile_approx(v, probes, SKETCH).alias("_p"), F.min(v).alias("_least"), F.max(v).alias("_most")
+    )
+    few = F.col("_n") < 2 * SKETCH
+    probe = lambda p: F.get("_p", F.lit(place[min(max(p, 0.0), 1.0)])).cast("double")
+    brackets = [
+        F.struct(
+            F.lit(i).alias("i"), F.when(few | F.lit(q <= eps), F.col("_least")).otherwise(probe(q - eps)).cast("double").alias("lo"),
+            F.when(few | F.lit(q >= 1 - eps), F.col("_most")).otherwise(probe(q + eps)).cast("double").alias("hi"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("rank"),
+        )
+        for i, q in enumerate(at)
+    ]
+    side = sketch.filter("_n > 0").select(*keys, F.array(*brackets).alias("_b"))
+    rows = met(df.select(*keys, v.cast("double").alias("_v")).filter("_v is not null"), side, keys)
+    inside = F.transform("_b", lambda b: F.when(F.col("_v") <= b.hi, F.struct(b.i.alias("i"), b["rank"].alias("rank"), F.when(F.col("_v") >= b.lo, F.col("_v")).alias("x"))))
+    counts = rows.select(*keys, F.explode(F.array_compact(inside)).alias("_c")).groupBy(*keys, "_c.i", "_c.rank", "_c.x").agg(F.count("*").alias("_m"))
+    upto = F.sum("_m").over(W.partitionBy(*keys, "i").orderBy(F.col("x").asc_nulls_first()))
+    k = F.floor("rank")
+    ends = counts.withColumn("_upto", upto).groupBy(*keys, "i").agg(
+        F.min(F.when(F.col("_upto") > k, F.col("x"))).alias("_a"), F.min(F.when(F.col("_upto") > F.ceil("rank"), F.col("x"))).alias("_z"), F.first("rank").alias("_r")
+    )
+    part = F.col("_r") - F.floor("_r")
+    found = ends.select(*keys, "i", F.when(part == 0, F.col("_a")).otherwise((1 - part) * F.col("_a") + part * F.col("_z")).alias("_q"))
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+    if not keys:
+        return wide
+    own = wide.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)], *names)
+    on = reduce(Column.__and__, [F.col(x).eqNullSafe(F.col(f"_k{i}")) for i, x in enumerate(keys)])
+    return sketch.select(*keys).join(own, on, "left").select(*keys, *names)
+
+
+def inventory(df: DataFrame, keys: Keys, at: str, value: str, q: float = 0.95) -> DataFrame:
+    """Rows, first and last time (microseconds), rows a second and a percentile per group."""
+    dur = (F.max(at) - F.min(at)) / 1e6
+    seen = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(at).alias("first_us"), F.max(at).alias("last_us"), ((F.count("*") - 1) / dur).alias("frequency"))
+    return met(seen, percentiles(df, keys, value, (q,)), keys)
 
 
 def quartiles(df: DataFrame, keys: Keys, value: str, k: float = 1.5) -> DataFrame:
@@ -64,9 +124,11 @@ def distribution(df: DataFrame, keys: Keys, value: str) -> DataFrame:
 
 
 def moment(df: DataFrame, keys: Keys, value: str, order: int, central: bool = True) -> DataFrame:
-    """k-th central or raw moment, by a mean joined back as a window."""
-    mean = F.avg(value).over(W.partitionBy(*keys)) if central else F.lit(0.0)
-    return df.select(*keys, ((F.col(value) - mean) ** order).alias("_p")).groupBy(*keys).agg(F.avg("_p").alias("moment"))
+    """k-th central or raw moment; the means are aggregated first and met by each row."""
+    if not central:
+        return df.groupBy(*keys).agg(F.avg(F.col(value) ** order).alias("moment"))
+    rows = met(df.select(*keys, value), df.groupBy(*keys).agg(F.avg(value).alias("_mean")), keys)
+    return rows.groupBy(*keys).agg(F.avg((F.col(value) - F.col("_mean")) ** order).alias("moment"))
 
 
 def histogram(df: DataFrame, keys: Keys, value: str, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -75,7 +137,7 @@ def histogram(df: DataFrame, keys: Keys, value: str, bins: int, low: float | Non
         (F.lit(low) if low is not None else F.min(value)).cast("double").alias("_lo"),
         (F.lit(high) if high is not None else F.max(value)).cast("double").alias("_hi"),
     )
-    joined = df.join(span, list(keys)) if keys else df.crossJoin(F.broadcast(span))  # one row of bounds
+    joined = met(df, span, keys)
     width = (F.col("_hi") - F.col("_lo")) / bins
     at = F.when(F.col(value) == F.col("_hi"), bins - 1).otherwise(F.floor((F.col(value) - F.col("_lo")) / width))
     inside = joined.filter((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi")))
@@ -100,25 +162,20 @@ def regression(df: DataFrame, keys: Keys, x: str, y: str) -> DataFrame:
 
 def zscore_outliers(df: DataFrame, keys: Keys, value: str, threshold: float = 3.0) -> DataFrame:
     """Rows with |x - mean| / s (n - 1) above the threshold; groups under 3 rows or without spread have none."""
-    w = W.partitionBy(*keys)
-    s = F.stddev_samp(value).over(w)
-    z = (F.col(value) - F.avg(value).over(w)) / s
-    out = df.withColumn("zscore", F.when((F.count(value).over(w) >= 3) & (s >= 1e-12), z))
-    return out.filter(F.abs("zscore") > threshold)
-
-
-def _joined(df: DataFrame, side: DataFrame, keys: Keys) -> DataFrame:
-    return df.join(side, list(keys)) if keys else df.crossJoin(F.broadcast(side))  # ``side`` has one row
+    side = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    rows = met(df, side.filter("_n >= 3 and _s >= 1e-12"), keys)
+    return rows.withColumn("zscore", (F.col(value) - F.col("_m")) / F.col("_s")).filter(F.abs("zscore") > threshold).drop("_n", "_m", "_s")
 
 
 def modified_zscore_outliers(df: DataFrame, keys: Keys, value: str, threshold: float = 3.5) -> DataFrame:
     """Rows with 0.6745 |x - median| / MAD above the threshold; a vanishing MAD is replaced by max deviation / (2 threshold)."""
-    med = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("_m"))
-    dev = _joined(df, med, keys).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    mad = dev.groupBy(*keys).agg(F.percentile("_d", 0.5).alias("_mad"), F.max("_d").alias("_top"), F.count("*").alias("_n"))
+    med = percentiles(df, keys, value, (0.5,)).withColumnRenamed("p50", "_m")
+    dev = met(df, med, keys).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
+    tops = dev.groupBy(*keys).agg(F.max("_d").alias("_top"), F.count("*").alias("_n"))
+    mad = met(tops, percentiles(dev, keys, "_d", (0.5,)).withColumnRenamed("p50", "_mad"), keys)
     scale = F.when(F.col("_mad") < 1e-12, F.col("_top") / (2 * threshold)).otherwise(F.col("_mad") / 0.6745)
     z = (F.col(value) - F.col("_m")) / scale
-    out = _joined(dev, mad, keys).withColumn("modified_zscore", F.when((F.col("_n") >= 3) & (scale > 0), z))
+    out = met(dev, mad, keys).withColumn("modified_zscore", F.when((F.col("_n") >= 3) & (scale > 0), z))
     return out.filter(F.abs("modified_zscore") > threshold).drop("_m", "_d", "_mad", "_top", "_n")
 
 
@@ -126,13 +183,13 @@ def iqr_outliers(df: DataFrame, keys: Keys, value: str, k: float = 1.5) -> DataF
     """Rows outside the Tukey fences of their group (4 rows at least)."""
     fences = quartiles(df, keys, value, k).select(*keys, "lower_fence", "upper_fence")
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    out = _joined(_joined(df, fences, keys), n, keys).filter("_n >= 4").drop("_n")
+    out = met(df, met(fences, n, keys), keys).filter("_n >= 4").drop("_n")
     return out.filter((F.col(value) < F.col("lower_fence")) | (F.col(value) > F.col("upper_fence")))
 
 
 def clip_outliers(df: DataFrame, keys: Keys, value: str, k: float = 1.5) -> DataFrame:
     """Values moved to their group's nearest Tukey fence."""
-    out = _joined(df, quartiles(df, keys, value, k).select(*keys, "lower_fence", "upper_fence"), keys)
+    out = met(df, quartiles(df, keys, value, k).select(*keys, "lower_fence", "upper_fence"), keys)
     return out.withColumn(value, F.greatest(F.least(F.col(value), "upper_fence"), "lower_fence")).drop("lower_fence", "upper_fence")
 
 
@@ -140,9 +197,10 @@ def aggregate_results(df: DataFrame, metrics: Sequence[str], outlier_threshold:
     """Per metric column: count, mean, sample deviation, extremes, quartiles and outliers beyond (threshold / 3) * 1.5 IQR."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("m")).select("m.*")
     stats = long.groupBy("metric").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
-        *[F.percentile("v", q).alias(a) for q, a in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))],
-    )
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
+    middle = percentiles(long, ["metric"], "v", (0.25, 0.5, 0.75)).withColumnsRenamed({"p25": "q25", "p50": "median", "p75": "q75"})
+    stats = met(stats, middle, ["metric"])
     k = outlier_threshold / 3 * 1.5
     f = F.broadcast(stats.select("metric", "q25", "q75", "n"))
     iqr = F.col("q75") - F.col("q25")
@@ -162,17 +220,13 @@ def check_limits(df: DataFrame, keys: Keys, value: str, low: float, high: float)
 
 def normalize(df: DataFrame, keys: Keys, value: str, method: str = "minmax") -> DataFrame:
     """``normalized``: minmax to [0, 1], zscore (population) or by the absolute peak; 0 without spread."""
-    w = W.partitionBy(*keys)
     v = F.col(value)
-    if method == "minmax":
-        low, size = F.min(v).over(w), F.max(v).over(w) - F.min(v).over(w)
-    elif method == "zscore":
-        low, size = F.avg(v).over(w), F.stddev_pop(v).over(w)
-    elif method == "peak":
-        low, size = F.lit(0.0), F.max(F.abs(v)).over(w)
-    else:
+    scale = {"minmax": (F.min(v), F.max(v) - F.min(v)), "zscore": (F.avg(v), F.stddev_pop(v)), "peak": (F.lit(0.0), F.max(F.abs(v)))}
+    if method not in scale:
         raise ValueError(f"unknown method {method!r}")
-    return df.withColumn("normalized", F.when(size > 0, (v - low) / size).otherwise(0.0))
+    low, size = scale[method]
+    rows = met(df, df.groupBy(*keys).agg(low.alias("_low"), size.alias("_size")), keys)
+    return rows.withColumn("normalized", F.when(F.col("_size") > 0, (v - F.col("_low")) / F.col("_size")).otherwise(0.0)).drop("_low", "_size")
 
 
 def drift_segments(df: DataFrame, keys: Keys, order: Sequence[str], x: str, value: str, size: int) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions import signal as S
+from tidewire.operators.stats import met
 
 Keys = Sequence[str]
 
@@ -201,8 +202,7 @@ def power_statistics(df: DataFrame, keys: Keys, order: Keys, v: str, i: str, dt:
 
 def ripple(df: DataFrame, keys: Keys, value: str) -> DataFrame:
     """DC level, peak-to-peak and RMS of what is left, their percentages and the crest factor."""
-    w = W.partitionBy(*keys)
-    x = df.withColumn("_dc", F.avg(value).over(w)).withColumn("_ac", F.col(value) - F.col("_dc"))
+    x = met(df, df.groupBy(*keys).agg(F.avg(value).alias("_dc")), keys).withColumn("_ac", F.col(value) - F.col("_dc"))
     g = x.groupBy(*keys).agg(F.first("_dc").alias("dc"), (F.max("_ac") - F.min("_ac")).alias("pp"), F.sqrt(F.avg(F.col("_ac") ** 2)).alias("rms"), F.max(F.abs("_ac")).alias("_pk"))
     pct = lambda c: F.when(F.col("dc") != 0, F.abs(F.col(c) / F.col("dc")) * 100)
     return g.select(*keys, "dc", "pp", "rms", pct("pp").alias("pp_percent"), pct("rms").alias("rms_percent"), F.when(F.col("rms") > 0, F.col("_pk") / F.col("rms")).alias("crest"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.operators.stats import met, percentiles
+
 Keys = Sequence[str]
 
 
@@ -89,9 +91,8 @@ def gaps_by_time(df: DataFrame, keys: Keys, order: Keys, at: str, tolerance: flo
     """Intervals above median * (1 + tolerance), with the rows that they miss (rounded half to even)."""
     by = W.partitionBy(*keys).orderBy(*order)
     iat = df.withColumn("gap", F.col(at) - F.lag(at).over(by)).withColumn("gap_start", F.lag(at).over(by)).filter("gap is not null")
-    usual = iat.groupBy(*keys).agg(F.percentile("gap", 0.5).alias("expected"))
-    out = iat.join(usual, list(keys)) if keys else iat.crossJoin(F.broadcast(usual))  # one row
-    out = out.filter((F.col("expected") > 0) & (F.col("gap") > F.col("expected") * (1 + tolerance)))
+    usual = percentiles(iat.withColumn("gap", F.col("gap").cast("double")), keys, "gap", (0.5,)).withColumnRenamed("p50", "expected")
+    out = met(iat, usual, keys).filter((F.col("expected") > 0) & (F.col("gap") > F.col("expected") * (1 + tolerance)))
     return out.withColumn("missing", (F.bround(F.col("gap") / F.col("expected")) - 1).cast("long"))
 
 
@@ -153,9 +154,8 @@ def rate_anomalies(df: DataFrame, keys: Keys, order: Keys, at: str, size: int, t
     by = W.partitionBy(*keys).orderBy(*order)
     span = F.lead(at, size - 1).over(by) - F.col(at)
     rated = df.withColumn("rate", F.when(span > 0, size / span)).filter("rate is not null")
-    all_ = W.partitionBy(*keys)
-    s = F.stddev_pop("rate").over(all_)
-    return rated.withColumn("z", F.when(s > 0, (F.col("rate") - F.avg("rate").over(all_)) / s)).filter(F.abs("z") > threshold)
+    all_ = rated.groupBy(*keys).agg(F.avg("rate").alias("_m"), F.stddev_pop("rate").alias("_s")).filter("_s > 0")
+    return met(rated, all_, keys).withColumn("z", (F.col("rate") - F.col("_m")) / F.col("_s")).filter(F.abs("z") > threshold).drop("_m", "_s")
 
 
 def cycle_jitter(df: DataFrame, keys: Keys, order: Keys, period: str) -> DataFrame:
@@ -170,10 +170,10 @@ def cycle_jitter(df: DataFrame, keys: Keys, order: Keys, period: str) -> DataFra
 
 def time_interval_error(df: DataFrame, keys: Keys, order: Keys, at: str, period: float | None = None) -> DataFrame:
     """Edge time less the ideal (first + n * period); the mean period by default; 3 edges at least."""
-    by, all_ = W.partitionBy(*keys).orderBy(*order), W.partitionBy(*keys)
-    n, first, last, count = F.row_number().over(by) - 1, F.min(at).over(all_), F.max(at).over(all_), F.count("*").over(all_)
-    t = F.lit(period) if period else (last - first) / (count - 1)
-    return df.withColumns({"_count": count, "tie": F.col(at) - (first + n * t)}).filter("_count >= 3").drop("_count")
+    span = df.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_z"), F.count("*").alias("_count")).filter("_count >= 3")
+    t = F.lit(period) if period else (F.col("_z") - F.col("_a")) / (F.col("_count") - 1)
+    rows = met(df.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1), span, keys)
+    return rows.withColumn("tie", F.col(at) - (F.col("_a") + F.col("_i") * t)).drop("_a", "_z", "_count", "_i")
 
 
 def transitions(df: DataFrame, keys: Keys, order: Keys, state: str) -> DataFrame:
@@ -181,7 +181,8 @@ def transitions(df: DataFrame, keys: Keys, order: Keys, state: str) -> DataFrame
     by = W.partitionBy(*keys).orderBy(*order)
     pairs = df.withColumn("next_state", F.lead(state).over(by)).filter("next_state is not null")
     counts = pairs.groupBy(state, "next_state").agg(F.count("*").alias("n"))
-    return counts.withColumn("probability", F.col("n") / F.sum("n").over(W.partitionBy(state)))
+    total = counts.groupBy(state).agg(F.sum("n").alias("_all"))
+    return met(counts, total, [state]).withColumn("probability", F.col("n") / F.col("_all")).drop("_all")
 
 
 def sequences(df: DataFrame, keys: Keys, order: Keys, state: str, length: int, at: str | None = None, within: float | None = None) -> DataFrame:
@@ -196,8 +197,8 @@ def sequences(df: DataFrame, keys: Keys, order: Keys, state: str, length: int, a
 
 def autocorrelation(df: DataFrame, keys: Keys, order: Keys, value: str, lags: int) -> DataFrame:
     """Mean-removed autocorrelation for lags 0..lags, normalised by lag 0."""
-    all_, by = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(*order)
-    x = df.withColumn("_x", F.col(value) - F.avg(value).over(all_))
+    by = W.partitionBy(*keys).orderBy(*order)
+    x = met(df, df.groupBy(*keys).agg(F.avg(value).alias("_m")), keys).withColumn("_x", F.col(value) - F.col("_m"))
     prod = x.select(*keys, *[(F.col("_x") * F.lead("_x", k).over(by)).alias(f"_l{k}") for k in range(lags + 1)])
     sums = prod.groupBy(*keys).agg(*[F.sum(f"_l{k}").alias(f"_l{k}") for k in range(lags + 1)])
     rows = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_l{k}") / F.col("_l0")).alias("acf")) for k in range(lags + 1)])

@@ -44,11 +44,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
  round((count(*) - 1) / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6), 6) AS frequency, round(quantile_cont(value, 0.95), 6) AS p95
  FROM events GROUP BY 1""")
 def inventory(spark, sf_dir):
-    e = events(spark, sf_dir)
-    dur = (F.max("t") - F.min("t")) / 1e6
-    return rounded(e.groupBy("event_type").agg(
-        F.count("*").alias("n"), F.min("t").alias("first_us"), F.max("t").alias("last_us"), ((F.count("*") - 1) / dur).alias("frequency"), F.percentile("value", 0.95).alias("p95"),
-    ))
+    return rounded(stats.inventory(events(spark, sf_dir), ["event_type"], "t", "value"))
 
 
 @query("""SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS variance, round(stddev_pop(value), 6) AS std,
@@ -484,9 +480,9 @@ def pattern_positions(spark, sf_dir):
     return payload.pattern_positions(pages(spark, sf_dir), ["page_id"], "url", "th")
 
 
-@query("""SELECT doc_id, item_id, i AS pos FROM (SELECT doc_id, text, item_id, p, unnest(range(0, greatest(length(text) - length(p) + 1, 0)))::INT AS i FROM documents, (SELECT item_id, substr(text, 1, 24) AS p FROM benchmark) WHERE contains(text, p)) WHERE substr(text, i + 1, length(p)) = p""")
+@query("""SELECT doc_id, item_id, i AS pos FROM (SELECT doc_id, text, item_id, p, unnest(range(0, greatest(length(text) - length(p) + 1, 0)))::INT AS i FROM documents, (SELECT item_id, text AS p FROM benchmark) WHERE contains(text, p)) WHERE substr(text, i + 1, length(p)) = p""")
 def multi_pattern_search(spark, sf_dir):
-    p = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 24).alias("p"))
+    p = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("p"))
     return payload.multi_pattern_search(table(spark, sf_dir, "documents"), p, ["doc_id"], "text", "item_id", "p")
 
 
@@ -502,10 +498,10 @@ def sliding_entropy(spark, sf_dir):
     return rounded(payload.sliding_entropy(pages(spark, sf_dir), ["page_id"], "data", 32, 8))
 
 
-@query(f"""WITH b AS (SELECT * FROM {BYTES} WHERE pos < 16), c AS (SELECT pos, byte, count(*)::DOUBLE AS n FROM b GROUP BY 1, 2), h AS (SELECT pos, sum(n)::BIGINT AS n, abs(log2(sum(n)) - sum(n * log2(n)) / sum(n)) AS e, arg_max(byte, n * 1000 - byte) AS mode FROM c GROUP BY 1),
+@query(f"""WITH b AS (SELECT * FROM {BYTES}), c AS (SELECT pos, byte, count(*)::DOUBLE AS n FROM b GROUP BY 1, 2), h AS (SELECT pos, sum(n)::BIGINT AS n, abs(log2(sum(n)) - sum(n * log2(n)) / sum(n)) AS e, arg_max(byte, n * 1000 - byte) AS mode FROM c GROUP BY 1),
  s AS (SELECT pos, min(byte) AS min, max(byte) AS max, avg(byte) AS mean, stddev_pop(byte) AS std, count(DISTINCT byte) AS "unique" FROM b GROUP BY 1) SELECT pos::INT AS pos, n, round(e, 5) AS entropy, min, max, round(mean, 5) AS mean, round(std, 5) AS std, "unique", mode FROM h JOIN s USING (pos)""")
 def message_columns(spark, sf_dir):
-    return rounded(payload.column_stats(pages(spark, sf_dir), "data", 16), 5)
+    return rounded(payload.column_stats(pages(spark, sf_dir), "data"), 5)
 
 
 @query("SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INT AS part, message FROM (SELECT page_id, unnest(string_split(url, '/')) AS message, unnest(range(0, len(string_split(url, '/')))) AS k FROM pages) WHERE message <> ''")
@@ -619,10 +615,10 @@ def golden_average(spark, sf_dir):
     return rounded(x.groupBy("dim").agg(F.count("*").alias("n"), F.avg(F.col("v").cast("double")).alias("mean"), F.stddev_pop(F.col("v").cast("double")).alias("std")))
 
 
-@query("""WITH x AS (SELECT label % 256 AS b, unnest(range(0, 4)) AS s, unnest(embedding[1:4])::DOUBLE AS v FROM embeddings), h AS (SELECT g, s, bit_count(xor(b, g))::DOUBLE AS h, v FROM x, range(0, 256) r(g))
+@query("""WITH x AS (SELECT label % 256 AS b, unnest(range(0, len(embedding))) AS s, unnest(embedding)::DOUBLE AS v FROM embeddings), h AS (SELECT g, s, bit_count(xor(b, g))::DOUBLE AS h, v FROM x, range(0, 256) r(g))
  SELECT g::INT AS guess, s::INT AS sample, round(coalesce(CASE WHEN isnan(corr(h, v)) THEN 0 ELSE corr(h, v) END, 0), 6) AS r FROM h GROUP BY 1, 2""")
 def correlation_power_analysis(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select((F.col("label") % 256).alias("b"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("s"))
+    e = table(spark, sf_dir, "embeddings").select((F.col("label") % 256).alias("b"), F.transform("embedding", lambda x: x.cast("double")).alias("s"))
     return rounded(traces.correlation_attack(e, "s", "b", range(256)))
 
 
