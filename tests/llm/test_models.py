@@ -86,13 +86,13 @@ def test_model_likelihood_is_that_of_the_formula():
 def test_gradient_step_is_the_gradient():
     rng = np.random.default_rng(7)
     net = lm_score.initial(rng.integers(0, 50, lm_score.IDS).astype(float))
-    net = net.with_vector(net.vector().astype(np.float64))
+    net.V = rng.normal(0, 0.3, net.V.shape).astype(np.float32)
     ids, ctx = rng.integers(0, 300, 8), rng.integers(0, 300, (8, 4))
-    loss = lambda n: -np.mean(n.log_classes(n.hidden(ctx)[1])[np.arange(8), n.class_of[ids]])
+    loss = lambda n: -np.mean(n.log_prob(ids, ctx))
     before = {k: getattr(net, k).copy() for k in net.NAMES}
     moved = net.with_vector(net.vector())
     moved.step(ids, ctx, 1.0)
-    for name, scale in (("W", 1), ("A", 1), ("b", 1), ("c", 1), ("E", math.sqrt(8))):
+    for name, scale in (("W", 1), ("A", 1), ("b", 1), ("c", 1), ("E", math.sqrt(8)), ("V", math.sqrt(8))):
         step = before[name] - getattr(moved, name)
         at = np.unravel_index(np.abs(step).argmax(), step.shape)
         eps, probe = 1e-2, net.with_vector(net.vector())
@@ -118,6 +118,40 @@ def test_lm_tells_order_from_disorder(spark):
     assert lm_score.score(frame(spark, []), empty).count() == 0
 
 
+def brute_log_prob(net, ids, ctx):
+    """The formula, a position at a time."""
+    out = []
+    for i, c in zip(ids, ctx, strict=True):
+        h = np.tanh(sum(net.A[j].astype(float) * net.E[c[j]] for j in range(len(c))) + net.b)
+        z = h @ net.W + net.c
+        own = np.flatnonzero(net.class_of == net.class_of[i])
+        y = net.V[own] @ h + net.log_within[own]
+        out.append(z[net.class_of[i]] - np.log(np.exp(z).sum()) + net.V[i] @ h + net.log_within[i] - np.log(np.exp(y).sum()))
+    return out
+
+
+def test_lm_beats_the_unigram_on_held_out_text(spark):
+    """Words that follow from their neighbours: both sides must reach the word itself, not only its class."""
+    rng = np.random.default_rng(12)
+    vocabulary = prose(33, 60)
+    nxt = rng.permutation(60)
+
+    def text():
+        out = [int(rng.integers(60))]
+        for _ in range(70):
+            out.append(int(nxt[out[-1]]) if rng.random() < 0.9 else int(rng.integers(60)))
+        return " ".join(vocabulary[k] for k in out)
+
+    rows = [(i, text(), *(None,) * 7) for i in range(1500)]
+    held = [(5000 + i, text(), *(None,) * 7) for i in range(60)]
+    net = lm_score.train(frame(spark, rows).repartition(2), rounds=6)
+    got = lm_score.score(frame(spark, held), net).toPandas()
+    counts = Counter(w for r in rows for w in words(r[1]))
+    total = sum(counts.values())
+    unigram = np.mean([np.log(counts[w] / total) for r in held for w in words(r[1])])
+    assert got.log_likelihood.sum() / got.n_words.sum() > unigram + 0.2
+
+
 @pytest.mark.parametrize("most", [lm_score.FREQUENT, 20, 0])
 def test_lm_scores_words_by_their_own_counts(spark, monkeypatch, most):
     monkeypatch.setattr(lm_score, "FREQUENT", most)
@@ -129,16 +163,18 @@ def test_lm_scores_words_by_their_own_counts(spark, monkeypatch, most):
     net = lm_score.train(frame(spark, [(i, t, *(None,) * 7) for i, t in enumerate(texts)]))
     counts = Counter(w for t in texts for w in words(t))
     vocabulary = list(counts)
-    kind = dict(zip(vocabulary, net.class_of[id_of(vocabulary)], strict=True))
-    total = [0.5 + sum(n + 0.5 for w, n in counts.items() if kind[w] == c) for c in range(lm_score.CLASSES)]
+    kind = dict(zip(vocabulary, id_of(vocabulary).tolist(), strict=True))
+    total = Counter()
+    for w, n in counts.items():
+        total[kind[w]] += n + 0.5
     assert net.vocabulary.table.count() == len(counts)
     docs = [*texts, f"often {unseen} often", f"{unseen} " * 5, "often " * 5]
     got = {r.doc_id: r for r in lm_score.score(frame(spark, [(i, t, *(None,) * 7) for i, t in enumerate(docs)]), net).collect()}
     for i, t in enumerate(docs):
         ws = words(t)
         ids = id_of(ws)
-        lp = net.log_class(ids, lm_score.windows(ids, np.array([0, len(ws)]), lm_score.IDS))
-        want = sum(p + math.log(counts[w] + 0.5) - math.log(total[net.class_of[k]]) for w, k, p in zip(ws, ids, lp, strict=True))
+        lp = brute_log_prob(net, ids, lm_score.windows(ids, np.array([0, len(ws)]), lm_score.IDS))
+        want = sum(p + math.log(counts[w] + 0.5) - math.log(total[k] + 0.5) for w, k, p in zip(ws, ids, lp, strict=True))
         assert got[i].n_words == len(ws) and abs(got[i].log_likelihood - want) < 1e-3
     assert got[len(docs) - 1].per_word > got[len(docs) - 2].per_word + 5
 

@@ -14,14 +14,16 @@ from tidewire.llm.tables import in_arrow, picked
 from tidewire.llm.text import mix, slices, words_of
 from tidewire.session import saved
 
-#: Embeddings and classes are those of a word's id, one of so many; the network's size is fixed by these and
-#: does not grow with the data. Counts are kept per word and do.
-IDS, WIDTH, CLASSES, SIDE = 1 << 14, 16, 64, 2
+#: The network predicts a word's id, one of so many, in two steps: its class, then the id among the class's.
+#: Its size is fixed by these and does not grow with the data. Counts are kept per word and do.
+IDS, WIDTH, CLASSES, SIDE = 1 << 14, 16, 128, 2
 #: Share of positions masked and predicted in training, over all documents; scoring predicts every one.
 MASKED, ROUNDS, RATE, BATCH = 0.15, 2, 0.15, 2048
+#: Positions of one class scored at once: their arrays stay in the cache. Training moves the ids of one class in TURN per batch.
+SCORED, TURN = 768, 4
 PIECE = 1 << 14
 FANIN = 32
-#: Added to every word's count; each class has one more word of count 0, which stands for the unseen ones.
+#: Added to every word's count; each id has one more word of count 0, which stands for the unseen ones.
 SMOOTH = 0.5
 #: The most frequent words, so many at most, are looked up in each task; the others are joined.
 FREQUENT = 1 << 16
@@ -29,7 +31,7 @@ FREQUENT = 1 << 16
 
 @dataclass
 class Vocabulary:
-    """Counts of all words (``table``: word, n) and, of each class, log of the sum of n + SMOOTH over its
+    """Counts of all words (``table``: word, n) and, of each id, log of the sum of n + SMOOTH over its
     words and the unseen one. ``frequent`` are the sorted words of bin ``least`` on and ``log_n`` their counts."""
 
     table: DataFrame
@@ -42,19 +44,21 @@ class Vocabulary:
 @dataclass
 class Network:
     """h = tanh(b + sum over window places j of A[j] * E[id at j]); P(class) = softmax(h W + c);
-    P(word | class) follows the exact counts in ``vocabulary``, log_within those of ids alone. Ids IDS stands
-    for places beyond the text."""
+    P(id | class) = softmax over the class's ids of h V[id] + log_within[id]; P(word | id) follows the exact
+    counts in ``vocabulary``. So both sides reach the id, and words of one id differ by their counts.
+    Id IDS stands for places beyond the text."""
 
     E: np.ndarray
     A: np.ndarray
     b: np.ndarray
     W: np.ndarray
     c: np.ndarray
+    V: np.ndarray
     class_of: np.ndarray
     log_within: np.ndarray
     vocabulary: Vocabulary | None = None
 
-    NAMES = ("E", "A", "b", "W", "c")
+    NAMES = ("E", "A", "b", "W", "c", "V")
 
     def vector(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -76,35 +80,77 @@ class Network:
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
-    def log_prob(self, ids: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        return self.log_class(ids, ctx) + self.log_within[ids]
-
-    def log_class(self, ids: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        """log P(class of the id | both sides)."""
-        out = np.empty(len(ids))
-        for at in range(0, len(ids), BATCH):
-            i = ids[at : at + BATCH]
-            lp = self.log_classes(self.hidden(ctx[at : at + BATCH])[1])
-            out[at : at + BATCH] = lp[np.arange(len(i)), self.class_of[i]]
+    def members(self) -> list[np.ndarray]:
+        """Ids of each class, ascending."""
+        order = np.argsort(self.class_of, kind="stable")
+        return np.split(order, np.cumsum(np.bincount(self.class_of, minlength=CLASSES))[:-1])
+
+    def by_class(self, ids: np.ndarray, members: list[np.ndarray], turn: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each class that occurs (of those whose turn it is), the positions of ``ids`` in it, and their places among its ids."""
+        cls = self.class_of[ids]
+        order = np.argsort(cls, kind="stable")
+        ends = np.cumsum(np.bincount(cls, minlength=CLASSES))
+        for k in np.flatnonzero(np.diff(ends, prepend=0)):
+            if turn is None or (k - turn) % TURN == 0:
+                at = order[ends[k - 1] if k else 0 : ends[k]]
+                yield k, at, np.searchsorted(members[k], ids[at])
+
+    def scores(self, h: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Scores of the ids ``own`` of one class, up to a constant a row: log P(id | class, both sides)."""
+        z = h @ self.V[own].T
+        z += self.log_within[own].astype(np.float32)
+        return z
+
+    def log_prob(self, ids: np.ndarray, ctx: np.ndarray, members: list[np.ndarray] | None = None) -> np.ndarray:
+        """log P(id | both sides)."""
+        out, members = np.empty(len(ids)), members or self.members()
+        for k, all_, places in self.by_class(ids, members):
+            own = members[k]
+            for lo in range(0, len(all_), SCORED):
+                at, place = all_[lo : lo + SCORED], places[lo : lo + SCORED]
+                h = self.hidden(ctx[at])[1]
+                z = h @ self.W
+                z += self.c
+                y = self.scores(h, own)
+                out[at] = z[:, k] + y[np.arange(len(at)), place] - _log_sum(z) - _log_sum(y)
         return out
 
-    def step(self, ids: np.ndarray, ctx: np.ndarray, rate: float) -> None:
-        """One gradient step on the mean of -log P(class | both sides)."""
+    def step(self, ids: np.ndarray, ctx: np.ndarray, rate: float, members: list[np.ndarray] | None = None, turn: int | None = None) -> None:
+        """One gradient step on the mean of -log P(id | both sides); ids of a class move when its turn comes."""
         n = np.float32(len(ids))
         x, h = self.hidden(ctx)
         g = np.exp(self.log_classes(h))
         g[np.arange(len(ids)), self.class_of[ids]] -= 1
-        gh = (g @ self.W.T) * (1 - h * h)
+        back = g @ self.W.T
+        # An id, like a word in a window, is rare in a batch: its rows take the summed gradient over sqrt(n).
+        members = members or self.members()
+        for k, at, place in self.by_class(ids, members, turn):
+            own = members[k]
+            q = self.scores(h[at], own)
+            q -= q.max(1, keepdims=True)
+            np.exp(q, out=q)
+            q /= q.sum(1, keepdims=True)
+            q[np.arange(len(at)), place] -= 1
+            back[at] += q @ self.V[own]
+            self.V[own] -= np.float32(rate / np.sqrt(n)) * (q.T @ h[at])
+        gh = back * (1 - h * h)
         self.W -= np.float32(rate) * (h.T @ g) / n
         self.c -= np.float32(rate) * g.sum(0) / n
         gx = gh[:, None, :] * self.A[None]
         self.A -= np.float32(rate) * np.einsum("njd,nd->jd", x, gh) / n
         self.b -= np.float32(rate) * gh.sum(0) / n
-        # A word occurs in few windows of a batch, so its row takes the summed gradient over sqrt(n).
         flat = (ctx.reshape(-1, 1) * self.E.shape[1] + np.arange(self.E.shape[1])).ravel()
         np.add.at(self.E.reshape(-1), flat, (gx * np.float32(-rate / np.sqrt(n))).ravel())
 
 
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    """log of the sum of exp along rows; ``z`` is used up."""
+    top = z.max(1)
+    z -= top[:, None]
+    np.exp(z, out=z)
+    return top + np.log(z.sum(1))
+
+
 def initial(counts: np.ndarray, seed: int = 10) -> Network:
     """Classes of about equal mass over ids by falling count, and a seeded start."""
     rng = np.random.default_rng(seed)
@@ -117,7 +163,7 @@ def initial(counts: np.ndarray, seed: int = 10) -> Network:
     draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
     return Network(
         E=draw(len(counts) + 1, WIDTH), A=1 + draw(2 * SIDE, WIDTH), b=np.zeros(WIDTH, np.float32), W=draw(WIDTH, CLASSES),
-        c=np.log((total + 1) / (total + 1).sum()).astype(np.float32), class_of=class_of,
+        c=np.log((total + 1) / (total + 1).sum()).astype(np.float32), V=np.zeros((len(counts), WIDTH), np.float32), class_of=class_of,
         log_within=np.log(mass / total[class_of]),
     )
 
@@ -161,7 +207,7 @@ def _start(docs: DataFrame, text: str) -> Network:
     counts, words, at = np.zeros(IDS), np.zeros(IDS), got["id"].to_numpy(np.int64)
     counts[at], words[at] = got["n"].to_numpy(), got["words"].to_numpy()
     net = initial(counts)
-    total = np.bincount(net.class_of, counts + SMOOTH * words, CLASSES) + SMOOTH
+    total = counts + SMOOTH * words + SMOOTH
     least, held = 1 << 30, 0
     for r in sorted(table.groupBy(_bin().alias("bin")).count().collect(), reverse=True):
         held += r["count"]
@@ -204,7 +250,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Network:
             from pyspark import TaskContext
 
             start = shared.value
-            own, seen = start.with_vector(start.vector()), 0
+            own, seen, members = start.with_vector(start.vector()), 0, start.members()
             for whole in batches:
                 for batch in slices(whole, "_text"):
                     h, offs = words_of(batch.column("_text"))
@@ -216,7 +262,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Network:
                     at = np.flatnonzero(mix(place + np.uint64(k << 60)) < np.uint64(int(MASKED * 2**64)))
                     for lo in range(0, len(at), BATCH):
                         p = at[lo : lo + BATCH]
-                        own.step(ids[p], ctx[p], rate * len(p) / BATCH)
+                        own.step(ids[p], ctx[p], rate * len(p) / BATCH, members, lo // BATCH + seen)
                     seen += len(at)
             change = (own.vector().astype(np.float64) - start.vector()) * seen
             salt = TaskContext.get().partitionId() % FANIN
@@ -234,8 +280,8 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Network:
 
 def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_words, log_likelihood`` (sum over words of log P(word | both sides)) and
-    ``per_word`` (their mean; null without words). P(word | both sides) = P(class | both sides) times the
-    word's own share of its class. Null and empty texts score 0 words and 0.0; repeated rows get repeated
+    ``per_word`` (their mean; null without words). P(word | both sides) = P(id | both sides) times the
+    word's own share of its id. Null and empty texts score 0 words and 0.0; repeated rows get repeated
     results; other columns are not read."""
     v = net.vocabulary
     shared = docs.sparkSession.sparkContext.broadcast((replace(net, vocabulary=None), v.log_total, v.frequent, v.log_n))
@@ -243,13 +289,14 @@ def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, log_total, frequent, log_n = shared.value
+        members = own.members()
         for whole in batches:
             for batch in slices(whole, "_text"):
                 h, offs = words_of(batch.column("_text"))
                 ids, n = _ids(h), np.diff(offs)
                 lp, rare = np.zeros(0), np.zeros(0, bool)
                 if len(h):
-                    lp = own.log_class(ids, windows(ids, offs, IDS)) - log_total[own.class_of[ids]]
+                    lp = own.log_prob(ids, windows(ids, offs, IDS), members) - log_total[ids]
                     rare = np.ones(len(h), bool)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
