@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -114,18 +116,39 @@ SIZES = {n: (f.width // 8 if isinstance(f, Crc) else {"sum8": 1, "xor8": 1}.get(
 
 
 def checksum(data: Column, name: str) -> Column:
-    """A checksum of a binary column; CRC-32 is native, the others run in Arrow batches."""
+    """A checksum of a binary column; CRC-32 is native, the others run in Arrow batches, CRCs a byte
+    position at a time over all rows."""
     if name == "crc32":
         return F.crc32(data)
     f = ALGORITHMS[name]
 
     @F.pandas_udf("long")
     def run(x: pd.Series) -> pd.Series:
+        if isinstance(f, Crc):
+            known, values = x.notna().to_numpy(), np.zeros(len(x), np.int64)
+            values[known] = crc_of_rows(f, [bytes(b) for b in x[known]])
+            return pd.Series(pd.arrays.IntegerArray(values, ~known))
         return x.map(lambda b: None if b is None else f(bytes(b))).astype("Int64")
 
     return run(data)
 
 
+def crc_of_rows(f: Crc, rows: list[bytes]) -> np.ndarray:
+    """The CRC of each row: rows sorted by length, so that each position is one table lookup over those that have it."""
+    table = np.array(f.table(), np.int64)
+    size = np.array([len(r) for r in rows], np.int64)
+    order = np.argsort(-size, kind="stable")
+    flat, start = np.frombuffer(b"".join(rows), np.uint8).astype(np.int64), (np.cumsum(size) - size)[order]
+    mask, c = (1 << f.width) - 1, np.full(len(rows), _mirror(f.init, f.width) if f.reflect else f.init, np.int64)
+    upto = np.searchsorted(-size[order], -np.arange(1, (size.max() if len(size) else 0) + 1), "right")
+    for at, n in enumerate(upto.tolist()):
+        b = flat[start[:n] + at]
+        c[:n] = (c[:n] >> 8) ^ table[(c[:n] ^ b) & 0xFF] if f.reflect else ((c[:n] << 8) & mask) ^ table[((c[:n] >> (f.width - 8)) ^ b) & 0xFF]
+    out = np.empty(len(rows), np.int64)
+    out[order] = c ^ f.xor_out
+    return out
+
+
 def identify(payloads: list[bytes], big: bool = True) -> dict:
     """Which algorithm, held in the last bytes, fits most messages; the first best wins."""
     best = {"algorithm": None, "match_rate": 0.0}

@@ -109,3 +109,17 @@ def request_response(requests: DataFrame, responses: DataFrame, keys: Keys, at:
         return pdf.loc[keep]
 
     return met.groupBy(*keys).applyInPandas(match, met.schema).withColumn("latency", F.col("t1") - F.col("t0"))
+
+
+def content_pairs(left: DataFrame, right: DataFrame, lt: str, rt: str, window: float, keys: Sequence[tuple[str, str]], a: str, b: str, least: float) -> DataFrame:
+    """Pairs of a band join whose sets of characters are more than ``least`` alike (Jaccard)."""
+    x, y = (F.array_distinct(F.regexp_extract_all(F.col(c), F.lit("(?s)."), F.lit(0))) for c in (a, b))
+    met = band_join(left.withColumn("_x", x), right.withColumn("_y", y), lt, rt, window, keys)
+    s = F.size(F.array_intersect("_x", "_y")) / F.size(F.array_union("_x", "_y"))
+    return met.withColumn("similarity", s).filter(F.col("similarity") > least).drop("_x", "_y")
+
+
+def without_partner(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows of the left that no row of the right answers."""
+    on = [F.col(f"_l.{a}") == F.col(f"_r.{b}") for a, b in keys]
+    return left.alias("_l").join(right.alias("_r"), on, "left_anti")

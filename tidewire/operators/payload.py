@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -257,3 +258,96 @@ def similarity(a: Column, b: Column) -> Column:
     """1 - Levenshtein distance / longer length."""
     longer = F.greatest(F.length(a), F.length(b))
     return F.when(longer > 0, 1 - F.levenshtein(a, b) / longer).otherwise(1.0)
+
+
+def entropy_transitions(df: DataFrame, keys: Keys, data: str, window: int, step: int, threshold: float) -> DataFrame:
+    """Windows whose entropy differs from the one before by more than ``threshold`` (to nine digits)."""
+    by = W.partitionBy(*keys).orderBy("window")
+    h = sliding_entropy(df, keys, data, window, step).withColumn("change", F.col("entropy") - F.lag("entropy").over(by))
+    return h.filter(F.round(F.abs("change"), 9) > threshold).select(*keys, "window", "change")
+
+
+def sliding_byte_count(df: DataFrame, keys: Keys, data: str, byte: int, window: int = 256, step: int = 64) -> DataFrame:
+    """Occurrences of one byte value in each full window."""
+    rows = byte_rows(df.select(*keys, F.length(data).alias("_len"), data), [*keys, "_len"], data)
+    low = F.greatest(F.ceil((F.col("pos") - window + 1) / step), F.lit(0)).cast("int")
+    high = F.least(F.floor(F.col("pos") / step), F.floor((F.col("_len") - window) / step)).cast("int")
+    put = rows.filter(low <= high).select(*keys, F.explode(F.sequence(low, high)).alias("window"), "byte")
+    return put.groupBy(*keys, "window").agg(F.count_if(F.col("byte") == byte).alias("n"))
+
+
+def byte_pairs(df: DataFrame, data: str) -> DataFrame:
+    """Counts of neighbouring byte values: the cells of a bigram heat map that are not empty."""
+    grams = gram_rows(df.select(F.hex(data).alias("_h")), [], "_h", 4, 2)
+    byte = lambda a: F.conv(F.substring("gram", a, 2), 16, 10).cast("int")
+    return grams.groupBy("gram").agg(F.count("*").alias("n")).select(byte(1).alias("first"), byte(3).alias("second"), "n")
+
+
+def frequent_patterns(df: DataFrame, keys: Keys, text: str, lengths: Sequence[int], least: float) -> DataFrame:
+    """n-grams of the given lengths that at least that share of messages hold."""
+    total = F.broadcast(df.agg(F.count("*").alias("_t")))  # one row
+    grams = None
+    for n in lengths:
+        g = gram_rows(df, keys, text, n).select(*keys, "gram").distinct()
+        grams = g if grams is None else grams.unionByName(g)
+    c = grams.groupBy("gram").agg(F.count("*").alias("n")).crossJoin(total).filter(F.col("n") >= F.col("_t") * least)
+    return c.select("gram", "n", (F.col("n") / F.col("_t")).alias("support"))
+
+
+def repeated_sequences(df: DataFrame, keys: Keys, text: str, lengths: Sequence[int], least: int) -> DataFrame:
+    """n-grams of the given lengths that occur at least so often in one message."""
+    out = None
+    for n in lengths:
+        g = ngram_counts(df, keys, text, n).filter(F.col("n") >= least)
+        out = g if out is None else out.unionByName(g)
+    return out.select(*keys, F.col("gram").alias("sequence"), "n")
+
+
+def fuzzy_search(df: DataFrame, patterns: DataFrame, keys: Keys, text: str, pattern_id: str, pattern: str, errors: int) -> DataFrame:
+    """Per text and pattern the nearest approximate occurrence, anywhere in the text, within ``errors`` edits:
+    ``distance`` and ``stop`` (the first end of an occurrence at that distance).
+
+    An occurrence within k edits holds one of k + 1 pieces of the pattern unchanged, so pieces are
+    searched for literally and Sellers' recurrence decides around each hit. A pattern of at most
+    ``errors`` characters has no such pieces and is not searched for: it would occur everywhere.
+    """
+    n, k = F.length("_p"), errors + 1
+    known = patterns.select(F.col(pattern_id).alias("_i"), F.col(pattern).alias("_p")).filter(n > errors)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(errors)), lambda i: F.struct((i * n / k).cast("int").alias("at"), F.substring("_p", (i * n / k).cast("int") + 1, ((i + 1) * n / k).cast("int") - (i * n / k).cast("int")).alias("piece")))
+    pieces = known.select("_i", "_p", F.explode(cut).alias("c")).select("_i", "_p", "c.at", "c.piece")
+    own = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
+    hits = multi_pattern_search(own.select("*"), pieces.select("piece").distinct().withColumn("_id", F.col("piece")), [*[f"_k{i}" for i in range(len(keys))], "_text"], "_text", "_id", "piece")
+    near = hits.join(pieces, F.col("_id") == F.col("piece")).select(*[f"_k{i}" for i in range(len(keys))], "_text", "_i", "_p", (F.col("pos") - F.col("at")).alias("_from"))
+    kept = [f"_k{i}" for i in range(len(keys))] + ["_i"]
+    start = F.greatest(F.col("_from") - errors, F.lit(0))
+    spans = near.select(*kept, "_p", start.alias("_start"), F.substring("_text", start + 1, F.length("_p") + 2 * errors + F.least(F.col("_from") - start, F.lit(0))).alias("_part")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for i, (p, s, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_p", "_start", "_part")), strict=True)):
+                best = nearest_occurrence(part, p)
+                if best[0] <= errors:
+                    rows.append(i)
+                    found.append((best[0], s + best[1]))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), pa.array([d for d, _ in found], pa.int32()), pa.array([e for _, e in found], pa.int32())], names=[*kept, "distance", "stop"])
+
+    types = "".join(f"`{c}` {t}, " for c, t in spans.dtypes if c in kept)
+    each = spans.mapInArrow(run, f"{types}distance int, stop int")
+    best = each.groupBy(*kept).agg(F.min(F.struct("distance", "stop")).alias("_b"))
+    return best.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keys)], F.col("_i").alias(pattern_id), F.col("_b.distance").alias("distance"), F.col("_b.stop").alias("stop"))
+
+
+def nearest_occurrence(text: str, pattern: str) -> tuple[int, int]:
+    """Least edit distance of the pattern to any part of the text, and the first end of such a part
+    (Sellers' recurrence, a row of the pattern at a time)."""
+    t = np.array([ord(c) for c in text], np.int64)
+    place = np.arange(len(t) + 1)
+    row = np.zeros(len(t) + 1, np.int64)
+    for j, c in enumerate(pattern, 1):
+        new = np.empty_like(row)
+        new[0] = j
+        new[1:] = np.minimum(row[:-1] + (t != ord(c)), row[1:] + 1)
+        row = np.minimum.accumulate(new - place) + place
+    return int(row.min()), int(row.argmin())

@@ -329,21 +329,20 @@ def can_signal(data: Column, start: int, length: int, big: bool = False, signed:
     return value * scale + offset
 
 
-#: OBD-II mode 1 formulas (A, B: data bytes).
+#: OBD-II mode 1 formulas: name, factor of byte A, factor of byte B, offset.
 OBD = {
-    0x04: ("engine_load", "A * 100 / 255"), 0x05: ("coolant_temperature", "A - 40"), 0x0A: ("fuel_pressure", "A * 3"), 0x0B: ("intake_pressure", "A"),
-    0x0C: ("engine_rpm", "(A * 256 + B) / 4"), 0x0D: ("speed", "A"), 0x0E: ("timing_advance", "A / 2 - 64"), 0x0F: ("intake_temperature", "A - 40"),
-    0x10: ("maf", "(A * 256 + B) / 100"), 0x11: ("throttle", "A * 100 / 255"), 0x1F: ("run_time", "A * 256 + B"), 0x2F: ("fuel_level", "A * 100 / 255"),
-    0x42: ("module_voltage", "(A * 256 + B) / 1000"), 0x46: ("ambient_temperature", "A - 40"), 0x5C: ("oil_temperature", "A - 40"),
+    0x04: ("engine_load", 100 / 255, 0, 0), 0x05: ("coolant_temperature", 1, 0, -40), 0x0A: ("fuel_pressure", 3, 0, 0), 0x0B: ("intake_pressure", 1, 0, 0),
+    0x0C: ("engine_rpm", 64, 1 / 4, 0), 0x0D: ("speed", 1, 0, 0), 0x0E: ("timing_advance", 1 / 2, 0, -64), 0x0F: ("intake_temperature", 1, 0, -40),
+    0x10: ("maf", 256 / 100, 1 / 100, 0), 0x11: ("throttle", 100 / 255, 0, 0), 0x1F: ("run_time", 256, 1, 0), 0x2F: ("fuel_level", 100 / 255, 0, 0),
+    0x42: ("module_voltage", 256 / 1000, 1 / 1000, 0), 0x46: ("ambient_temperature", 1, 0, -40), 0x5C: ("oil_temperature", 1, 0, -40),
 }
 
 
 def obd_value(pid: Column, a: Column, b: Column) -> Column:
     """Name and value of a mode 1 answer; null for unknown ids."""
     name, value = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for p, (n, formula) in OBD.items():
-        parts = eval(formula, {"__builtins__": {}}, {"A": a.cast("double"), "B": b.cast("double")})  # noqa: S307 - the fixed table above
-        name, value = F.when(pid == p, n).otherwise(name), F.when(pid == p, parts).otherwise(value)
+    for p, (n, x, y, z) in OBD.items():
+        name, value = F.when(pid == p, n).otherwise(name), F.when(pid == p, a * float(x) + b * float(y) + float(z)).otherwise(value)
     return F.struct(name.alias("name"), value.alias("value"))
 
 
@@ -367,3 +366,98 @@ def tcp_streams(packets: DataFrame, keys: Sequence[str], seq: str, data: str, or
         return pd.DataFrame([[*key, bytes(out), len(gaps), gaps, again]], columns=[*keys, "stream", "n_gaps", "gaps", "retransmits"])
 
     return packets.groupBy(*keys).applyInPandas(run, f"{types}, stream binary, n_gaps int, gaps array<string>, retransmits int")
+
+
+# ---- decoders over traces held as arrays -----------------------------------------------------
+# A row is one capture: the levels of each line are an array column, so decoding needs no shuffle.
+# ``sampled`` makes such rows of samples that are rows.
+
+#: Payload sizes of the CAN FD length code.
+FD_SIZES = (0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 20, 24, 32, 48, 64)
+
+
+def sampled(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row per capture with each value column as an array, in order."""
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias("_s"))
+    return rows.select(*keys, *[F.transform("_s", lambda x, v=v: x[v]).alias(v) for v in values])
+
+
+def can_fd(bits: np.ndarray) -> Frame | None:
+    """Id, bit-rate switch and data of the unstuffed fields of a base-format frame."""
+    b = np.asarray(bits).astype(int).tolist()
+    if len(b) < 22 or b[0] != 0 or b[14] != 1:
+        return None
+    number = lambda x: int("".join(map(str, x)) or "0", 2)
+    size = FD_SIZES[number(b[18:22])]
+    if len(b) < 22 + 8 * size:
+        return None
+    return {"id": number(b[1:12]), "brs": bool(b[16]), "size": size, "data": bytes(number(b[22 + 8 * k : 30 + 8 * k]) for k in range(size))}
+
+
+def swd(bits: np.ndarray) -> Iterator[Frame]:
+    """Transfers of a serial wire line: request with parity, acknowledge, data with parity."""
+    b, at = np.asarray(bits).astype(int).tolist(), 0
+    number = lambda x: sum(v << k for k, v in enumerate(x))
+    while at + 46 <= len(b):
+        head = b[at : at + 8]
+        if head[0] != 1 or head[6] != 0 or head[7] != 1 or sum(head[1:5]) % 2 != head[5]:
+            at += 1
+            continue
+        read, ack = bool(head[2]), number(b[at + 9 : at + 12])
+        start = at + 12 + (not read)
+        data, parity = b[start : start + 32], b[start + 32]
+        yield {"port": "AP" if head[1] else "DP", "read": read, "address": head[3] << 2 | head[4] << 3, "ack": ack, "value": number(data), "parity_ok": sum(data) % 2 == parity}
+        at = start + 33 + read
+
+
+def lin_frames(data: bytes) -> Frame | None:
+    """Id, data and the checks of a frame of bytes after the break: sync, protected id, data, checksum."""
+    if len(data) < 4 or data[0] != 0x55:
+        return None
+    ident, parity = lin_id(data[1])
+    return {"id": ident, "parity_ok": parity, "data": data[2:-1], "checksum_ok": data[-1] in (lin_checksum(data[2:-1], data[1]), lin_checksum(data[2:-1]))}
+
+
+def flexray_header(bits: np.ndarray) -> Frame | None:
+    """Indicators, frame id, payload words, header CRC and cycle of the five header bytes."""
+    b = np.asarray(bits).astype(int).tolist()
+    if len(b) < 40:
+        return None
+    number = lambda x: int("".join(map(str, x)), 2)
+    return {"sync": bool(b[3]), "startup": bool(b[4]), "id": number(b[5:16]), "words": number(b[16:23]), "crc": number(b[23:34]), "cycle": number(b[34:40])}
+
+
+def decode(df: DataFrame, keys: Sequence[str], protocol: str, lines: Sequence[str], **options) -> DataFrame:
+    """Frames of each capture, in order: ``protocol`` names the decoder, ``lines`` its array columns.
+
+    uart (level; fs, baud), spi (clock, data[, select]), i2c (clock, data), can (level; fs, bitrate),
+    can_fd (bits), lin (binary), hdlc (bits), i2s (bit clock, word select, data), jtag (TMS), swd (bits),
+    manchester (level; per), onewire (level; fs), usb (levels), flexray (bits)."""
+    from tidewire.operators.messages import records
+
+    f, schema = DECODERS[protocol]
+    number = lambda rows: ({"frame": i, **r} for i, r in enumerate(rows))
+    return records(df, keys, lines, lambda *x: number(f(*x, **options)), f"frame int, {schema}")
+
+
+def _maybe(f):
+    return lambda *x: [] if (r := f(*x)) is None else [r]
+
+
+#: Decoder of each protocol, as rows, and the columns that it gives.
+DECODERS = {
+    "uart": (lambda x, **o: uart(x, **o), "start double, stop double, value int, errors array<string>"),
+    "spi": (lambda *x, **o: ({"word": w} for w in spi(*x, **o)), "word long"),
+    "i2c": (lambda c, d: i2c(c, d), "address int, read boolean, data array<int>, acks array<boolean>"),
+    "can": (lambda x, **o: can(x, **o), "start double, id long, extended boolean, data binary, crc_ok boolean"),
+    "can_fd": (_maybe(can_fd), "id long, brs boolean, size int, data binary"),
+    "lin": (_maybe(lin_frames), "id int, parity_ok boolean, data binary, checksum_ok boolean"),
+    "hdlc": (lambda x: hdlc(x.astype(int).tolist()), "data binary, fcs_ok boolean"),
+    "i2s": (lambda *x, **o: ({"left": a, "right": b} for a, b in i2s(*x, **o)), "`left` int, `right` int"),
+    "jtag": (lambda x: ({"state": s} for s in jtag_states(x.astype(int).tolist())), "state string"),
+    "swd": (swd, "port string, read boolean, address int, ack int, value long, parity_ok boolean"),
+    "manchester": (lambda x, **o: ({"bit": b} for b in manchester(x, **o)), "bit int"),
+    "onewire": (lambda x, **o: [{"resets": (r := onewire(x, **o))[0], "bits": r[1]}], "resets int, bits array<int>"),
+    "usb": (lambda x: ({"bit": b} for b in nrzi(x.astype(int).tolist())), "bit int"),
+    "flexray": (_maybe(flexray_header), "sync boolean, startup boolean, id int, words int, crc int, cycle int"),
+}

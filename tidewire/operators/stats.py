@@ -245,3 +245,24 @@ def difference_of_means(df: DataFrame, keys: Keys, selector: Column, value: str)
     se = F.sqrt(F.col("v1") / F.col("n1") + F.col("v0") / F.col("n0"))
     d = F.col("m1") - F.col("m0")
     return g.select(*keys, d.alias("difference"), F.when(se > 0, d / se).alias("t"), "n1", "n0")
+
+
+def numbered(df: DataFrame, keys: Keys, order: Keys, name: str) -> DataFrame:
+    """``name``: each row's place, from 0, in its group's order.
+
+    Rows are dealt by ranges of (keys, order) and numbered within each range; the rows of a group in
+    earlier ranges are added from one count per group and range. So a long group spreads over tasks.
+    """
+    spread = df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id())
+    own = spread.withColumn("_i", F.row_number().over(W.partitionBy("_p", *keys).orderBy(*order)) - 1)
+    counts = own.groupBy(*keys, "_p").agg(F.count("*").alias("_c"))
+    by = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # a row per range of a group
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(by), F.lit(0))).drop("_c")
+    return met(own, before, [*keys, "_p"]).withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
+
+
+def latency(df: DataFrame, keys: Keys, delay: str) -> DataFrame:
+    """Count, mean, population deviation, extremes and percentiles 50, 95 and 99 of delays of 0 or more."""
+    d = df.filter(F.col(delay) >= 0)
+    g = d.groupBy(*keys).agg(F.count(delay).alias("n"), F.avg(delay).alias("mean"), F.stddev_pop(delay).alias("std"), F.min(delay).alias("min"), F.max(delay).alias("max"))
+    return met(g, percentiles(d, keys, delay, (0.5, 0.95, 0.99)), keys)

@@ -203,3 +203,19 @@ def autocorrelation(df: DataFrame, keys: Keys, order: Keys, value: str, lags: in
     sums = prod.groupBy(*keys).agg(*[F.sum(f"_l{k}").alias(f"_l{k}") for k in range(lags + 1)])
     rows = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_l{k}") / F.col("_l0")).alias("acf")) for k in range(lags + 1)])
     return sums.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.lag", "r.acf")
+
+
+def timing_anomalies(df: DataFrame, keys: Keys, order: Keys, at: str, threshold: float = 3.0) -> DataFrame:
+    """Rows whose time since the one before lies beyond ``threshold`` population deviations of all such times."""
+    gaps = df.withColumn("gap", F.col(at) - F.lag(at).over(W.partitionBy(*keys).orderBy(*order))).filter("gap is not null")
+    side = gaps.agg(F.avg("gap").alias("_m"), F.stddev_pop("gap").alias("_s")).filter("_s > 0")
+    return met(gaps, side, []).withColumn("z", (F.col("gap") - F.col("_m")) / F.col("_s")).filter(F.abs("z") > threshold).drop("_m", "_s")
+
+
+def smoothed_jitter(df: DataFrame, keys: Keys, order: Keys, at: str) -> DataFrame:
+    """Interarrival jitter j += (|change of interval| - j) / 16 from j = 0, as a window of the weights that matter."""
+    by = W.partitionBy(*keys).orderBy(*order)
+    d = df.withColumn("_g", F.col(at) - F.lag(at).over(by)).withColumn("_d", F.abs(F.col("_g") - F.lag("_g").over(by)).cast("double")).filter("_d is not null")
+    back = math.ceil(math.log(1e-12) / math.log(15 / 16))
+    held = F.collect_list("_d").over(by.rowsBetween(-back, 0))
+    return d.withColumn("_h", held).withColumn("jitter", F.aggregate("_h", F.lit(0.0), lambda j, x: j + (x - j) / 16)).drop("_g", "_d", "_h")

@@ -356,10 +356,11 @@ def device_lookup(spark, sf_dir):
     return rounded(c.groupBy("n_name", "r_name").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("balance")), 2)
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey % 3 = l_linenumber % 3)")
 def unanswered_ids(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 3).alias("a"))
+    li = table(spark, sf_dir, "lineitem").withColumn("b", F.col("l_linenumber") % 3)
+    return joins.without_partner(li, o, [("l_orderkey", "o_orderkey"), ("b", "a")]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query()
@@ -519,15 +520,10 @@ def crc32_checksums(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.crc32("data").alias("crc32"))
 
 
-@query("SELECT doc_id, item_id FROM (SELECT doc_id, substr(text, 1, 40) AS a FROM documents), (SELECT item_id, substr(text, 1, 40) AS b FROM benchmark) WHERE levenshtein(a, b) <= 12")
+@query()
 def fuzzy_search(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("a"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("b"))
-    # Distance 12 of 40 leaves, of 13 pieces of three characters, one untouched within 12 places.
-    pieces = b.select("item_id", "b", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.substring("b", k * 3 + 1, F.lit(3)))).alias("k", "piece")).filter(F.length("piece") == 3)
-    grams = payload.gram_rows(d, ["doc_id", "a"], "a", 3)
-    met = grams.join(pieces, (F.col("gram") == F.col("piece")) & (F.abs(F.col("pos") - F.col("k") * 3) <= 12)).select("doc_id", "item_id", "a", "b").distinct()
-    return met.filter(F.levenshtein("a", "b") <= 12).select("doc_id", "item_id")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("p"))
+    return payload.fuzzy_search(table(spark, sf_dir, "documents"), items, ["doc_id"], "text", "item_id", "p", 4)
 
 
 LINES = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
@@ -634,10 +630,7 @@ def amplitude_spectrum(spark, sf_dir):
 
 @query()
 def welch_density(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    e = events(spark, sf_dir)
-    e = e.withColumn("idx", F.row_number().over(W.partitionBy("event_type").orderBy("t", "event_id")) - 1)
+    e = stats.numbered(events(spark, sf_dir), ["event_type"], ["t", "event_id"], "idx")
     return traces.psd(e, ["event_type"], "idx", "value", 1.0, 128)
 
 
