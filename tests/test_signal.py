@@ -158,3 +158,34 @@ def test_golden(spark):
 
 
 assert pd
+
+
+def test_coherence_phase_locking_peaks_and_clock():
+    rng = np.random.default_rng(4)
+    t = np.arange(4096) / 1000
+    x = np.sin(2 * np.pi * 50 * t) + 0.1 * rng.normal(size=len(t))
+    y = 2 * np.sin(2 * np.pi * 50 * t + 0.7) + rng.normal(size=len(t))
+    f, c = S.coherence(x, y, 1000.0, 256)
+    assert c[np.abs(f - 50).argmin()] > 0.9 and np.median(c[f > 100]) < 0.3 and (c <= 1 + 1e-9).all()
+    assert S.phase_locking(x, x) > 0.999 and S.phase_locking(x, rng.normal(size=len(t))) < 0.2
+    peaks = S.spectral_peaks(np.sin(2 * np.pi * 50 * t) + 0.5 * np.sin(2 * np.pi * 120 * t), 1000.0, -40, 20, 2)
+    assert [round(p["frequency"]) for p in peaks] == [50, 120]
+    clock, errors = S.recovered_clock(np.sign(np.sin(2 * np.pi * 51 * t)), 1000.0, 100.0)
+    assert abs(clock - 102) < 1.5 and abs(errors[-1]) < 2e-3
+
+
+def test_character_quality_and_anomalies():
+    rng = np.random.default_rng(5)
+    t = np.arange(1000) / 1000
+    assert S.character(np.sign(np.sin(2 * np.pi * 5 * t)))["kind"] == "digital"
+    assert S.character(np.sin(2 * np.pi * 5 * t))["kind"] == "periodic"
+    assert S.character(rng.normal(size=1000))["kind"] == "noise" and S.character(np.ones(50))["kind"] == "constant"
+    x = np.sin(2 * np.pi * 5 * t)
+    assert S.quality(np.clip(x, -0.5, 0.5))["clipped"] > 0.5 > S.quality(x)["clipped"]
+    y = x + 0.001 * rng.normal(size=1000)
+    y[300] += 5
+    y[600:640] = y[600]
+    kinds = {(a["kind"], a["start"]) for a in S.glitches_and_dropouts(y)}
+    assert ("glitch", 299) in kinds and ("dropout", 600) in kinds
+    z = np.r_[np.zeros(50), -0.2 * np.ones(5), np.ones(50)]
+    assert 15 < S.preshoot(z) < 25

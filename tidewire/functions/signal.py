@@ -455,3 +455,110 @@ def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: i
             left = x[rows, f] < cut
             todo += [(own[x[own, f] < cut], rows[left], depth + 1), (own[x[own, f] >= cut], rows[~left], depth + 1)]
     return 2 ** (-total / trees / max(norm(sample), 1e-9))
+
+
+# ---- further spectra and comparisons ---------------------------------------------------------
+
+
+def periodogram(x: np.ndarray, fs: float, name: str = "hann") -> tuple[np.ndarray, np.ndarray]:
+    """One-sided power density of the whole, mean-removed trace."""
+    return welch(x, fs, len(x), 0.0, name)
+
+
+def bartlett(x: np.ndarray, fs: float, segments: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Mean periodogram of equal segments that do not overlap, rectangular window."""
+    return welch(x[: len(x) // segments * segments], fs, len(x) // segments, 0.0, "rectangular")
+
+
+def spectral_peaks(x: np.ndarray, fs: float, threshold_db: float = -60.0, distance: int = 5, most: int | None = None) -> list[dict[str, float]]:
+    """Local maxima of the amplitude spectrum above ``threshold_db`` of the largest, strongest first, ``distance`` bins apart."""
+    f, mag = spectrum(x, fs)
+    db = 20 * np.log10(np.maximum(mag, 1e-20))
+    top = db.max() if len(db) else 0.0
+    at = np.flatnonzero((mag[1:-1] > mag[:-2]) & (mag[1:-1] >= mag[2:]) & (db[1:-1] > top + threshold_db)) + 1
+    kept: list[int] = []
+    for k in at[np.argsort(-mag[at], kind="stable")]:
+        if all(abs(k - j) >= distance for j in kept):
+            kept.append(int(k))
+    return [{"frequency": float(f[k]), "magnitude": float(mag[k]), "db": float(db[k])} for k in kept[:most]]
+
+
+def coherence(x: np.ndarray, y: np.ndarray, fs: float, nperseg: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Magnitude-squared coherence over half-overlapping, mean-removed Hann segments."""
+    n = min(len(x), len(y))
+    size = min(nperseg, n)
+    w = window("hann", size, periodic=True)
+    cut = lambda v: np.lib.stride_tricks.sliding_window_view(v[:n], size)[:: max(1, size // 2)]
+    a, b = (np.fft.rfft((s - s.mean(1, keepdims=True)) * w, axis=1) for s in (cut(x), cut(y)))
+    cross = (np.conj(a) * b).mean(0)
+    power = (np.abs(a) ** 2).mean(0) * (np.abs(b) ** 2).mean(0)
+    return np.fft.rfftfreq(size, 1 / fs), np.where(power > 0, np.abs(cross) ** 2 / np.where(power > 0, power, 1), 0.0)
+
+
+def phase_locking(x: np.ndarray, y: np.ndarray) -> float:
+    """Length of the mean phase difference vector: 1 for a constant difference."""
+    n = min(len(x), len(y))
+    a, b = analytic(x[:n] - x[:n].mean()), analytic(y[:n] - y[:n].mean())
+    return float(abs(np.exp(1j * (np.angle(a) - np.angle(b))).mean()))
+
+
+def preshoot(x: np.ndarray) -> float:
+    """Largest dip below the low level within ten samples before a rising passage of the middle, in percent of the amplitude."""
+    low, high = levels(x)
+    amp, mid = high - low, (high + low) / 2
+    at = np.flatnonzero((x[:-1] < mid) & (x[1:] >= mid)) + 1
+    if amp <= 0 or not len(at):
+        return math.nan
+    return float(max(max(0.0, low - x[max(0, k - 10) : k].min()) for k in at) / amp * 100)
+
+
+def recovered_clock(x: np.ndarray, fs: float, nominal: float, bandwidth: float = 0.01, damping: float = 0.707) -> tuple[float, np.ndarray]:
+    """Frequency and phase error per edge of a second-order loop that follows both edges of a signal."""
+    mid = (x.max() + x.min()) / 2
+    edges = np.sort(np.concatenate((crossings(x, mid, fs), crossings(x, mid, fs, False))))
+    period, kp, ki = 1 / nominal, 2 * damping * bandwidth * 2 * np.pi, (bandwidth * 2 * np.pi) ** 2
+    at, errors = edges[0] if len(edges) else 0.0, []
+    for e in edges.tolist():
+        n = max(0, round((e - at) / period))
+        err = e - (at + n * period)
+        at += n * period + kp * err
+        period += ki * err / max(n, 1)
+        errors.append(err)
+    return 1 / period, np.array(errors)
+
+
+def quality(x: np.ndarray) -> dict[str, float]:
+    """Share of clipped samples, of repeated samples, level of noise (from second differences) and signal-to-noise ratio."""
+    span = float(x.max() - x.min())
+    flat = float((np.abs(np.diff(x)) <= 1e-12).mean()) if len(x) > 1 else 0.0
+    clipped = float(((x >= x.max() - 1e-3 * span) | (x <= x.min() + 1e-3 * span)).mean()) if span > 0 else 1.0
+    noise = float(np.sqrt((np.diff(x, 2) ** 2).mean() / 6)) if len(x) > 2 else 0.0
+    return {"clipped": clipped, "flat": flat, "noise": noise, "snr": 10 * math.log10(x.var() / noise**2) if noise > 0 and x.var() > 0 else math.inf}
+
+
+def character(x: np.ndarray) -> dict[str, object]:
+    """Digital, periodic, constant or noise, with the features that decide."""
+    span = float(x.max() - x.min())
+    if span < 1e-12:
+        return {"kind": "constant", "two_level": 1.0, "periodicity": 0.0, "confidence": 1.0}
+    two = float(((x < x.min() + 0.2 * span) | (x > x.max() - 0.2 * span)).mean())
+    y = x - x.mean()
+    f = np.fft.rfft(y, 2 * len(y))
+    acf = np.fft.irfft(np.abs(f) ** 2)[: len(y) // 2]
+    acf = acf / acf[0]
+    drop = np.flatnonzero(acf < 0)
+    periodic = float(acf[drop[0] :].max()) if len(drop) and drop[0] < len(acf) else 0.0
+    kind = "digital" if two > 0.9 else "periodic" if periodic > 0.5 else "noise"
+    return {"kind": kind, "two_level": two, "periodicity": periodic, "confidence": max(two if kind == "digital" else periodic, 1 - periodic if kind == "noise" else 0.0)}
+
+
+def glitches_and_dropouts(x: np.ndarray, threshold: float = 6.0, flat: int = 10) -> list[dict[str, object]]:
+    """Steps beyond ``threshold`` robust deviations, and runs of ``flat`` equal samples or more."""
+    d = np.diff(x)
+    scale = np.median(np.abs(d - np.median(d))) / 0.6745 if len(d) else 0.0
+    out = [{"kind": "glitch", "start": int(k), "stop": int(k + 1), "size": float(d[k])} for k in np.flatnonzero(np.abs(d - np.median(d)) > threshold * scale)] if scale > 0 else []
+    same = np.concatenate(([0], (np.abs(d) <= 1e-12).astype(int), [0]))
+    for a, b in zip(np.flatnonzero(np.diff(same) == 1), np.flatnonzero(np.diff(same) == -1), strict=True):
+        if b - a + 1 >= flat:
+            out.append({"kind": "dropout", "start": int(a), "stop": int(b), "size": float(b - a + 1)})
+    return out

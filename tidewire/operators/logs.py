@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.session import saved
+
 
 def query(df: DataFrame, at: str, start=None, stop=None, among: Mapping[str, Sequence] | None = None, like: Mapping[str, str] | None = None) -> DataFrame:
     """Inclusive time range, columns among values and columns like patterns, all pushed to the scan."""
@@ -48,7 +50,8 @@ def error_trend(df: DataFrame, order: Sequence[str], is_error: Column, change: f
     row index that is counted per range partition, so no task holds all rows."""
     marked = df.select(*order, is_error.cast("int").alias("_e"))
     parts = marked.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    own = parts.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
+    # Written once: ranges are drawn from a sample, and both reads must see the same ones.
+    own = saved(parts.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(*order))))
     sizes = own.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
     total = F.broadcast(sizes.agg(F.sum("_n").alias("_N")))  # one row

@@ -248,8 +248,9 @@ def common_prefix(df: DataFrame, data: str, most: int = 64) -> DataFrame:
 
 
 def normalize_log(message: Column) -> Column:
-    """Numbers, hex words and quoted strings replaced by placeholders."""
-    out = F.regexp_replace(message, r"0x[0-9a-fA-F]+", "<HEX>")
+    """UUIDs, hex words, quoted strings and numbers, in this order, replaced by placeholders."""
+    out = F.regexp_replace(message, r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", "<UUID>")
+    out = F.regexp_replace(out, r"0x[0-9a-fA-F]+", "<HEX>")
     out = F.regexp_replace(out, r"'[^']*'|\"[^\"]*\"", "<STR>")
     return F.regexp_replace(out, r"\d+", "<NUM>")
 

@@ -379,7 +379,7 @@ FD_SIZES = (0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 20, 24, 32, 48, 64)
 def sampled(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """One row per capture with each value column as an array, in order."""
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias("_s"))
-    return rows.select(*keys, *[F.transform("_s", lambda x, v=v: x[v]).alias(v) for v in values])
+    return rows.select(*keys, *[F.col("_s")[v].alias(v) for v in values])
 
 
 def can_fd(bits: np.ndarray) -> Frame | None:

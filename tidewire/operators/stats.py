@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.session import saved
+
 Keys = Sequence[str]
 
 
@@ -254,7 +256,8 @@ def numbered(df: DataFrame, keys: Keys, order: Keys, name: str) -> DataFrame:
     earlier ranges are added from one count per group and range. So a long group spreads over tasks.
     """
     spread = df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id())
-    own = spread.withColumn("_i", F.row_number().over(W.partitionBy("_p", *keys).orderBy(*order)) - 1)
+    # Written once: ranges are drawn from a sample, and both reads must see the same ones.
+    own = saved(spread.withColumn("_i", F.row_number().over(W.partitionBy("_p", *keys).orderBy(*order)) - 1))
     counts = own.groupBy(*keys, "_p").agg(F.count("*").alias("_c"))
     by = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # a row per range of a group
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(by), F.lit(0))).drop("_c")

@@ -238,3 +238,87 @@ def correlation_attack(traces: DataFrame, samples: str, byte: str, model: Sequen
     cov = F.col("N") * F.col("shv") - F.col("sh") * F.col("sv")
     var = (F.col("N") * F.col("shh") - F.col("sh") ** 2) * (F.col("N") * F.col("svv") - F.col("sv") ** 2)
     return g.select("guess", "sample", F.when(var > 0, cov / F.sqrt(var)).otherwise(0.0).alias("r"))
+
+
+# ---- analyses of traces held as arrays -------------------------------------------------------
+# A row is one trace, its samples an array column (``protocols.sampled`` makes such rows of samples that
+# are rows), so that an analysis needs no shuffle and its memory is that of a few rows.
+
+
+def _rows_of(**columns: np.ndarray) -> list[dict]:
+    names = list(columns)
+    return [dict(zip(names, r, strict=True)) for r in zip(*(np.asarray(c).tolist() for c in columns.values()), strict=True)]
+
+
+def _envelope(x: np.ndarray, fs: float = 1.0) -> list[dict]:
+    z = S.analytic(x)
+    phase = np.unwrap(np.angle(z))
+    return _rows_of(idx=np.arange(len(x)), value=z.real, envelope=np.abs(z), phase=phase, frequency=np.gradient(phase) * fs / (2 * np.pi) if len(x) > 1 else np.zeros(len(x)))
+
+
+def _bins(pair: tuple[np.ndarray, np.ndarray], name: str) -> list[dict]:
+    return _rows_of(bin=np.arange(len(pair[0])), frequency=pair[0], **{name: pair[1]})
+
+
+def _wavelet(x: np.ndarray, levels: int = 3) -> list[dict]:
+    return [{"level": k, "coefficients": c.tolist()} for k, c in enumerate(S.haar(x, levels))]
+
+
+def _scales(x: np.ndarray, scales: tuple[float, ...] = (2.0, 4.0, 8.0)) -> list[dict]:
+    return [{"scale": s, "power": np.abs(r).tolist()} for s, r in zip(scales, S.morlet(x, np.array(scales)), strict=True)]
+
+
+#: Analysis of arrays by name: a function of the array columns that gives rows, and their columns.
+ANALYSES = {
+    "hilbert": (_envelope, "idx long, value double, envelope double, phase double, frequency double"),
+    "dwt": (_wavelet, "level int, coefficients array<double>"),
+    "cwt": (_scales, "scale double, power array<double>"),
+    "mfcc": (lambda x, fs=16000.0, **o: [{"frame": i, "coefficients": r.tolist()} for i, r in enumerate(S.mel_cepstrum(x, fs, **o))], "frame int, coefficients array<double>"),
+    "spectrum": (lambda x, fs=1.0, **o: _bins(S.spectrum(x, fs, **o), "magnitude"), "bin long, frequency double, magnitude double"),
+    "periodogram": (lambda x, fs=1.0, **o: _bins(S.periodogram(x, fs, **o), "density"), "bin long, frequency double, density double"),
+    "bartlett": (lambda x, fs=1.0, **o: _bins(S.bartlett(x, fs, **o), "density"), "bin long, frequency double, density double"),
+    "welch": (lambda x, fs=1.0, **o: _bins(S.welch(x, fs, **o), "density"), "bin long, frequency double, density double"),
+    "peaks": (lambda x, fs=1.0, **o: S.spectral_peaks(x, fs, **o), "frequency double, magnitude double, db double"),
+    "harmonics": (lambda x, fs=1.0, **o: [S.harmonics(x, fs, **o)], "fundamental double, thd double, snr double, sinad double, enob double, sfdr double"),
+    "coherence": (lambda x, y, fs=1.0, **o: _bins(S.coherence(x, y, fs, **o), "coherence"), "bin long, frequency double, coherence double"),
+    "phase_locking": (lambda x, y: [{"plv": S.phase_locking(x, y)}], "plv double"),
+    "runts": (lambda x, low, high: [dict(zip(("start", "stop", "extreme", "polarity"), r, strict=True)) for r in S.runts(x, low, high)], "start int, stop int, extreme double, polarity int"),
+    "seasonal": (lambda x, period: _rows_of(idx=np.arange(len(x)), **dict(zip(("trend", "season", "rest"), S.seasonal(x, period), strict=True))), "idx long, trend double, season double, rest double"),
+    "change_points": (lambda x, **o: [{"at": k} for k in S.change_points(x, **o)], "at long"),
+    "dfe": (lambda x, taps, **o: _rows_of(idx=np.arange(len(x)), **dict(zip(("value", "bit"), S.dfe(x, list(taps), **o), strict=True))), "idx long, value double, bit double"),
+    "bathtub": (lambda x, ui, **o: _rows_of(**dict(zip(("time", "ber"), S.bathtub(*[S.decompose_jitter(x)[k] for k in ("rj", "dj")], ui, **o), strict=True))), "time double, ber double"),
+    "measure": (lambda x, fs=1.0: [{"name": n, "value": v if np.isfinite(v) else None} for n, v in {**S.measure(x, fs), "preshoot": S.preshoot(x)}.items()], "name string, value double"),
+    "clock": (lambda x, fs, nominal, **o: [{"frequency": (r := S.recovered_clock(x, fs, nominal, **o))[0], "edges": len(r[1]), "rms_error": float(np.sqrt((r[1] ** 2).mean())) if len(r[1]) else None}], "frequency double, edges int, rms_error double"),
+    "quality": (lambda x: [S.quality(x)], "clipped double, flat double, noise double, snr double"),
+    "character": (lambda x: [S.character(x)], "kind string, two_level double, periodicity double, confidence double"),
+    "anomalies": (lambda x, **o: S.glitches_and_dropouts(x, **o), "kind string, start int, stop int, size double"),
+}
+
+
+def analyze(df: DataFrame, keys: Keys, kind: str, columns: Sequence[str], **options) -> DataFrame:
+    """Rows of an analysis (a name in ``ANALYSES``) of each row's array columns; a null array gives none."""
+    from tidewire.operators.messages import records
+
+    f, schema = ANALYSES[kind]
+    return records(df, keys, columns, lambda *x: f(*(np.asarray(v, float) for v in x), **options), schema)
+
+
+def inverse_dwt(df: DataFrame, keys: Keys) -> DataFrame:
+    """Samples of wavelet rows (``level, coefficients``)."""
+    from tidewire.operators.messages import records
+
+    parts = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("level", "coefficients"))).alias("_p"))
+    flat = parts.select(*keys, F.flatten(F.transform("_p", lambda p: p.coefficients)).alias("_c"), F.transform("_p", lambda p: F.size(p.coefficients)).alias("_n"))
+
+    def f(c: np.ndarray, n: np.ndarray) -> list[dict]:
+        return _rows_of(idx=np.arange(len(y := S.inverse_haar(np.split(np.asarray(c, float), np.cumsum(n)[:-1])))), value=y)
+
+    return records(flat, keys, ["_c", "_n"], f, "idx long, value double")
+
+
+def row_outliers(df: DataFrame, keys: Keys, order: Keys, features: str, method: str = "lof", **options) -> DataFrame:
+    """Local outlier factor or isolation score of each row (array of features) among its group's rows."""
+    from tidewire.operators.messages import grouped
+
+    score = {"lof": S.local_outlier_factor, "isolation": S.isolation_scores}[method]
+    return grouped(df, keys, order, [features], lambda x: [{"row": i, "score": float(s)} for i, s in enumerate(score(np.array(x, float), **options))], "row int, score double")

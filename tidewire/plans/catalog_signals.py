@@ -209,12 +209,12 @@ def sequential_posterior(spark, sf_dir):
 # ---- power and limits ------------------------------------------------------------------------
 
 
-@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_suppkey, l_quantity * l_extendedprice / 1000 AS p FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, round(p, 7) AS power, round(sum(p) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 7) AS average, round(sum(p) OVER (w ROWS UNBOUNDED PRECEDING) * 0.001, 7) AS energy
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_suppkey, l_quantity * l_extendedprice / 1000 AS p FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, round(p, 8) AS power, round(sum(p) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 8) AS average, round(sum(p) OVER (w ROWS UNBOUNDED PRECEDING) * 0.001, 8) AS energy
  FROM p WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice)""")
 def power_profile(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("i", F.col("l_extendedprice") / 1000)
     p = signals.power_profile(li, ["l_suppkey"], LINES, "l_quantity", "i", 0.001, 5)
-    return rounded(p.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "power", "average", "energy"), 7)
+    return rounded(p.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "power", "average", "energy"), 8)
 
 
 @query("""WITH g AS (SELECT l_suppkey, avg(l_quantity * l_tax) + avg(l_quantity * l_discount) + avg(l_tax * l_discount) AS p, sqrt(avg(l_quantity * l_quantity)) * sqrt(avg(l_tax * l_tax)) + sqrt(avg(l_quantity * l_quantity)) * sqrt(avg(l_discount * l_discount)) + sqrt(avg(l_tax * l_tax)) * sqrt(avg(l_discount * l_discount)) AS s FROM lineitem GROUP BY 1)
@@ -359,3 +359,65 @@ def latency_statistics(spark, sf_dir):
     left, right = e.filter("event_type = 'view'").select("user_id", "event_id", "t"), e.filter("event_type = 'purchase'").select("user_id", "t")
     d = joins.asof_merge(left, right, ["user_id"], "t", "t", [], forward=True).filter("asof_t is not null").select(((F.col("asof_t") - F.col("t")) / 1e6).alias("d"))
     return rounded(stats.latency(d, [], "d"), 3)
+
+
+# ---- traces held as arrays: 64 samples of an embedding ---------------------------------------
+
+_E = "x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS k FROM embeddings)"
+
+
+@query(f"WITH {_E} SELECT vec_id, k AS idx, round(x, 5) AS value FROM x")
+def wavelet_round_trip(spark, sf_dir):
+    w = traces.analyze(table(spark, sf_dir, "embeddings"), ["vec_id"], "dwt", ["embedding"], levels=4)
+    return rounded(traces.inverse_dwt(w, ["vec_id"]), 5)
+
+
+@query(f"WITH {_E} SELECT vec_id, k // 2 AS idx, round(sum(CASE WHEN k % 2 = 0 THEN x ELSE -x END) / sqrt(2), 5) AS detail FROM x GROUP BY 1, 2")
+def wavelet_details(spark, sf_dir):
+    w = traces.analyze(table(spark, sf_dir, "embeddings"), ["vec_id"], "dwt", ["embedding"], levels=1).filter("level = 1")
+    return w.select("vec_id", F.posexplode("coefficients").alias("idx", "detail")).select("vec_id", F.col("idx").cast("long").alias("idx"), F.round("detail", 5).alias("detail"))
+
+
+@query(f"""WITH {_E}, d AS (SELECT vec_id, b, sum(x * cos(2 * pi() * ((b * k) % 64) / 64)) AS re, -sum(x * sin(2 * pi() * ((b * k) % 64) / 64)) AS im FROM x, range(0, 33) r(b) GROUP BY 1, 2), g AS (SELECT *, CASE WHEN b IN (0, 32) THEN 1 ELSE 2 END / 64.0::DOUBLE AS w FROM d),
+ z AS (SELECT vec_id, k, sum(w * (re * cos(2 * pi() * ((b * k) % 64) / 64) - im * sin(2 * pi() * ((b * k) % 64) / 64))) AS re, sum(w * (re * sin(2 * pi() * ((b * k) % 64) / 64) + im * cos(2 * pi() * ((b * k) % 64) / 64))) AS im FROM g, range(0, 64) r(k) WHERE vec_id % 100 = 0 GROUP BY 1, 2)
+ SELECT vec_id, k AS idx, round(sqrt(re * re + im * im), 5) AS envelope FROM z""".replace(" WHERE vec_id % 100 = 0", ""))
+def hilbert_envelope(spark, sf_dir):
+    return rounded(traces.analyze(table(spark, sf_dir, "embeddings"), ["vec_id"], "hilbert", ["embedding"]).select("vec_id", "idx", "envelope"), 5)
+
+
+@query(f"""WITH {_E}, w AS (SELECT vec_id, k, (x - avg(x) OVER (PARTITION BY vec_id)) * (0.5 - 0.5 * cos(2 * pi() * k / 64)) AS y FROM x), d AS (SELECT vec_id, b, sum(y * cos(2 * pi() * ((b * k) % 64) / 64)) AS re, sum(y * sin(2 * pi() * ((b * k) % 64) / 64)) AS im FROM w, range(0, 33) r(b) GROUP BY 1, 2)
+ SELECT vec_id, b AS bin, round((re * re + im * im) / 24 * CASE WHEN b IN (0, 32) THEN 1 ELSE 2 END, 5) AS density FROM d""")
+def periodogram(spark, sf_dir):
+    return rounded(traces.analyze(table(spark, sf_dir, "embeddings"), ["vec_id"], "periodogram", ["embedding"]).select("vec_id", "bin", "density"), 5)
+
+
+@query(f"""WITH {_E}, w AS (SELECT vec_id, k // 8 AS g, k % 8 AS j, x - avg(x) OVER (PARTITION BY vec_id, k // 8) AS y FROM x), d AS (SELECT vec_id, g, b, sum(y * cos(2 * pi() * ((b * j) % 8) / 8)) AS re, sum(y * sin(2 * pi() * ((b * j) % 8) / 8)) AS im FROM w, range(0, 5) r(b) GROUP BY 1, 2, 3)
+ SELECT vec_id, b AS bin, round(avg(re * re + im * im) / 8 * CASE WHEN b IN (0, 4) THEN 1 ELSE 2 END, 5) AS density FROM d GROUP BY 1, 2""")
+def bartlett_density(spark, sf_dir):
+    return rounded(traces.analyze(table(spark, sf_dir, "embeddings"), ["vec_id"], "bartlett", ["embedding"], segments=8).select("vec_id", "bin", "density"), 5)
+
+
+@query(f"""WITH {_E}, s AS (SELECT vec_id, k, avg(x) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS t, x, row_number() OVER (PARTITION BY vec_id ORDER BY k) AS n FROM x) SELECT vec_id, k AS idx, round(t, 5) AS trend FROM s WHERE k BETWEEN 2 AND 61""")
+def seasonal_trend(spark, sf_dir):
+    s = traces.analyze(table(spark, sf_dir, "embeddings"), ["vec_id"], "seasonal", ["embedding"], period=5)
+    return rounded(s.filter("idx between 2 and 61").select("vec_id", "idx", "trend"), 5)
+
+
+@query()
+def signal_character(spark, sf_dir):
+    return traces.analyze(table(spark, sf_dir, "embeddings"), ["vec_id"], "character", ["embedding"])
+
+
+@query()
+def data_quality(spark, sf_dir):
+    return traces.analyze(table(spark, sf_dir, "embeddings"), ["vec_id"], "quality", ["embedding"])
+
+
+@query()
+def spectral_peaks(spark, sf_dir):
+    return traces.analyze(table(spark, sf_dir, "embeddings"), ["vec_id"], "peaks", ["embedding"], distance=3, most=3)
+
+
+@query()
+def vector_outliers(spark, sf_dir):
+    return traces.row_outliers(table(spark, sf_dir, "embeddings").withColumn("g", F.pmod("vec_id", F.lit(20))), ["g"], ["vec_id"], "embedding", "lof", k=5)
