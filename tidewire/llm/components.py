@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.llm.tables import in_arrow
 from tidewire.llm.text import slices
-from tidewire.session import saved
+from tidewire.session import forget, saved
 
 #: Contracted edges up to which one task (16 bytes an edge) ends the work; above, rounds over all tasks.
 ONE_TASK = 400_000
@@ -86,37 +86,53 @@ def _followed(rows: DataFrame, point: DataFrame) -> DataFrame:
 Items = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], items: Items, least: float) -> DataFrame:
+def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], items: Items, least: float, chunk: int | None = None) -> DataFrame:
     """Components (see :func:`components`) of the pairs that share a bucket and are similar.
 
     ``members`` has ``bucket, id`` (long) and may have ``size`` (int): then pairs whose sizes differ by more
-    than the factor ``least`` cannot be similar. ``texts_of`` takes a table of ids (``id``) and returns ``id,
+    than the factor ``least`` cannot be similar, and a member whose neighbours by size in its bucket do
+    meets no one there. ``texts_of`` takes a table of ids (``id``) and returns ``id,
     text``, of which ``items`` makes sets; similar is a Jaccard of at least ``least``. First all
     members meet their bucket's most central one (that whose buckets hold most). In buckets that
     then hold several components, every member outside the largest one meets all members of others,
-    in blocks of chunks. So every pair of a bucket is confirmed, refuted or already connected.
+    in blocks of chunks (of ``chunk`` members or so). So every pair of a bucket is confirmed, refuted or already connected.
     """
-    bucket, keys = W.partitionBy("bucket"), [c for c in ("bucket", "id", "size") if c in members.columns]
-    seen = members.select(*keys).withColumn("_a", F.min("id").over(bucket)).withColumn("_z", F.max("id").over(bucket))
-    held = saved(seen.filter("_a < _z").select(*keys).distinct())
+    keys = [c for c in ("bucket", "id", "size") if c in members.columns]
+    order = keys[:0:-1]
+    by = W.partitionBy("bucket").orderBy(*order)
+    partner = lambda far: (F.lag if far < 0 else F.lead)(F.struct(*order)).over(by)
+    seen = members.select(*keys).withColumn("_a", partner(-1)).withColumn("_z", partner(1))
+
+    def fits(c: str) -> Column:
+        other = F.col(f"{c}.id") != F.col("id")
+        if "size" not in keys:
+            return F.coalesce(other, F.lit(False))
+        return F.coalesce(other & (F.least("size", f"{c}.size") >= F.greatest("size", f"{c}.size") * F.lit(least)), F.lit(False))
+
+    # Repeated rows lie next to each other; the last of them sees the next member, the first the one before.
+    held = saved(seen.filter(fits("_a") | fits("_z")).select(*keys).distinct())
     size = held.groupBy(F.col("bucket").alias("_b")).agg(F.count("*").alias("_n"))
     score = held.join(size, F.col("bucket") == F.col("_b")).groupBy(F.col("id").alias("_i")).agg(F.sum("_n").alias("_score"))
-    held = saved(held.join(score, F.col("id") == F.col("_i")).select(*keys, "_score"))
+    first, held = held, saved(held.join(score, F.col("id") == F.col("_i")).select(*keys, "_score"))
+    forget(first)
     lead = held.groupBy("bucket").agg(F.max(F.struct("_score", *keys[1:])).alias("_lead"))
     star = held.join(lead, "bucket").filter(F.col("id") != F.col("_lead.id"))
     if "size" in keys:
         star = star.filter(F.least("size", "_lead.size") >= F.greatest("size", "_lead.size") * F.lit(least))
     pairs = saved(star.select(F.least("id", "_lead.id").alias("a"), F.greatest("id", "_lead.id").alias("b")).distinct())
     links = saved(alike(pairs, texts_of(_ends(pairs)), items, least))
+    forget(pairs)
     found = components(links)
     now = held.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     parts = now.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("_main"), F.count("*").alias("_k"), F.sum("n").alias("_all"))
     main = main.filter("_k > 1 and _all > 2").select("bucket", F.col("_main.c").alias("_main"), "_all", (F.col("_all") - F.col("_main.n")).alias("_odd"))
     now = saved(now.join(main, "bucket"))
+    forget(held)
     if not now.limit(1).count():
         return found
-    more = saved(_blocks(now, texts_of(now.select("id").distinct()), items, least))
+    more = saved(_blocks(now, texts_of(now.select("id").distinct()), items, least, chunk or CHUNK))
+    forget(now)
     return components(links.select("a", "b").union(more))
 
 
@@ -124,9 +140,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
-def _blocks(members: DataFrame, texts: DataFrame, items: Items, least: float) -> DataFrame:
+def _blocks(members: DataFrame, texts: DataFrame, items: Items, least: float, chunk: int) -> DataFrame:
     """Links between members outside the largest component of a bucket and members of other components."""
-    rows, odds = F.ceil(F.col("_all") / CHUNK), F.ceil(F.col("_odd") / CHUNK)
+    rows, odds = F.ceil(F.col("_all") / chunk), F.ceil(F.col("_odd") / chunk)
     put = lambda i, j, left: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(left).alias("left"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     right = F.transform(upto(odds), lambda i: put(i, F.pmod(F.xxhash64("id"), rows), False))

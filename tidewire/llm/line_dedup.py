@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.components import linked
 from tidewire.llm.tables import in_arrow, numbered, picked, small
-from tidewire.llm.text import BASE, SPACE, U64, Seen, hash_spans, mix, powers, slices, text_buffers
-from tidewire.session import saved
+from tidewire.llm.text import BASE, SPACE, U64, Seen, hash_spans, mix, powers, ragged, slices, text_buffers
+from tidewire.session import forget, saved
 
 SHINGLE, SIMILARITY = 6, 0.8
 #: 10 bands of 4 bins: lines at 0.8 share a band with probability 0.995.
@@ -21,6 +21,8 @@ BANDS, ROWS = 10, 4
 BINS = BANDS * ROWS
 #: Rows of a few longs each up to which a counted table is broadcast.
 IDS = 500_000
+#: Lines on either side of a block of comparisons.
+CHUNK = 1024
 #: Line numbers (4 to 16 bytes each) up to which lists of them are broadcast.
 LISTED = 2_000_000
 
@@ -82,6 +84,22 @@ def line_items(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, U64), *out]), np.concatenate(([0], np.cumsum(total)))
 
 
+def set_sizes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Distinct six-character shingles of each line (a shorter line is one), as :func:`line_items` counts them."""
+    n = np.maximum(ends - starts - SHINGLE + 1, (ends > starts).astype(np.int64))
+    out = n.copy()
+    long_ = np.flatnonzero(n > 1)
+    if len(long_):
+        group, k = ragged(n[long_])
+        keys = mix(_rolled(points))[starts[long_][group] + k] >> U64(16)
+        for lo in range(0, len(long_), 65_536):
+            at = slice(*np.searchsorted(group, (lo, lo + 65_536)))
+            part = np.sort((group[at] - lo).astype(U64) << U64(48) | keys[at])
+            new = np.append(True, part[1:] != part[:-1])
+            out[long_[lo : lo + 65_536]] = np.bincount((part[new] >> U64(48)).astype(np.int64), minlength=len(long_[lo : lo + 65_536]))
+    return out
+
+
 def _short(points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hash of lines of fewer characters than a shingle."""
     own = np.zeros(len(starts), U64)
@@ -138,7 +156,7 @@ def _blank(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _sketches(docs: DataFrame) -> DataFrame:
     """Per line with ink: ``_id, _t`` (of its document), ``n`` (its number), ``line`` (hash),
-    and once per line and task (see :class:`Seen`) ``given`` and ``bands``, null for its repeats."""
+    and once per line and task (see :class:`Seen`) ``given``, ``size`` (distinct shingles) and ``bands``, null for its repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
@@ -152,16 +170,18 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 first = seen.new(hashes)
                 points, s, e = _characters(b, starts, ends)
                 bands = band_hashes(points, s[first], e[first])
+                sizes = np.zeros(len(hashes), np.int32)
+                sizes[first] = set_sizes(points, s[first], e[first])
                 given = np.zeros(len(hashes), bool)
                 given[first] = True
                 at = np.concatenate(([0], np.cumsum(np.where(given, BANDS, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at, mask=np.append(~given, False)), pa.array(bands.ravel().view(np.int64)))
                 to = pa.array(row)
-                cols = [batch.column("_id").take(to), batch.column("_t").take(to), pa.array(number, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(given), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["_id", "_t", "n", "line", "given", "bands"])
+                cols = [batch.column("_id").take(to), batch.column("_t").take(to), pa.array(number, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(given), pa.array(sizes, mask=~given), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["_id", "_t", "n", "line", "given", "size", "bands"])
 
     kind = dict(docs.dtypes)["_id"]
-    return in_arrow(docs, run, f"_id {kind}, _t long, n int, line long, given boolean, bands array<long>")
+    return in_arrow(docs, run, f"_id {kind}, _t long, n int, line long, given boolean, size int, bands array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -199,7 +219,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     """
     body = picked(docs, _id=doc_id, _text=text).withColumn("_t", F.xxhash64("_text"))
     drawn = saved(_sketches(body))
-    members = drawn.filter("given").select(F.explode("bands").alias("bucket"), F.col("line").alias("id"))
+    members = drawn.filter("given").select(F.explode("bands").alias("bucket"), F.col("line").alias("id"), "size")
     places = drawn.filter("given").select("line", "_id", "_t", "n")
     contents: list[DataFrame] = []
 
@@ -212,15 +232,16 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
         contents.append(saved(_texts(body, wanted)))
         return reduce(DataFrame.unionByName, contents)
 
-    # Sets may be smaller than lines are long, so lengths would not bound similarity.
-    found = linked(members, texts_of, line_items, similarity)
+    found = linked(members, texts_of, line_items, similarity, CHUNK)
     f = small(found.select(F.col("id").alias("_k"), "component"), IDS)
     rows = drawn.select("_id", "_t", "n", "line").join(f, F.col("line") == F.col("_k"), "left")
     rows = saved(rows.select("_id", "_t", "n", F.coalesce("component", "line").alias("g")))
+    forget(drawn, *contents)
     # A group's first document, then that document's first line of the group; both combine before the shuffle.
     docs_of = rows.groupBy("g").agg(F.min("_id").alias("_i"), F.sum(F.col("_id").isNull().cast("int")).alias("_nulls"), F.count("*").alias("_n"))
     docs_of = saved(docs_of.filter("_n > 1").select(F.col("g").alias("_g"), F.when(F.col("_nulls") == 0, F.col("_i")).alias("_i")))
     held = saved(rows.join(small(docs_of, IDS), F.col("g") == F.col("_g")))
+    forget(rows)
     firsts = held.filter(F.col("_id").eqNullSafe(F.col("_i"))).groupBy(F.col("g").alias("_h")).agg(F.min(F.struct("n", "_t")).alias("_first"))
     lost = held.join(small(saved(firsts), IDS), F.col("g") == F.col("_h")).filter(
         ~(F.col("_id").eqNullSafe(F.col("_i")) & (F.col("n") == F.col("_first.n")) & (F.col("_t") == F.col("_first._t")))

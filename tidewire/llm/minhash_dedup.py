@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewire.llm.components import linked
 from tidewire.llm.tables import in_arrow, numbered, picked, small
 from tidewire.llm.text import U64, Seen, joined, mix, powers, ragged, salts, shingles, slices, words_of
-from tidewire.session import saved
+from tidewire.session import forget, saved
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 16 bands of 4 registers: a pair at 0.8 shares a band with probability 0.9998.
@@ -156,6 +156,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     found = linked(members, texts_of, occurrences, similarity)
     f = found.select(F.col("id").alias("_k"), "component")
     rows = saved(drawn.select("_id", "class").join(f, F.col("class") == F.col("_k"), "left").select("_id", "class", F.coalesce("component", "class").alias("g")))
+    forget(drawn, *contents)
     groups = rows.filter("g is not null").groupBy("g").agg(F.min("_id").alias("group_id"), F.count("*").alias("group_rows"))
     groups = groups.filter("group_rows > 1").withColumnRenamed("g", "_g")
     out = rows.join(groups, F.col("g") == F.col("_g"), "left")
