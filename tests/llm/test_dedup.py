@@ -201,6 +201,13 @@ def test_lines(spark):
     assert line_dedup.dedup_report(frame(spark, [])).count() == 0 == line_dedup.without_repeats(frame(spark, [])).count()
 
 
+def test_cells_do_not_depend_on_the_batch():
+    u = embedding_dedup.units(np.random.default_rng(11).normal(size=(300, 64)).astype(np.float32))
+    whole = embedding_dedup.cells(u, 2)
+    for at in ([5], [7, 299, 0], list(range(100, 163))):
+        assert (embedding_dedup.cells(embedding_dedup.units(np.random.default_rng(11).normal(size=(300, 64)).astype(np.float32)[at]), 2) == whole[at]).all()
+
+
 def test_e8_is_nearest():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 8)) * 2
@@ -247,7 +254,8 @@ def test_vectors(spark, monkeypatch, blocks, chunk, kind):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
-def test_lattice_recall_at_the_threshold(spark):
+@pytest.mark.parametrize("blocks", [1, 2, 3])
+def test_lattice_recall_at_the_threshold(spark, blocks):
     rng = np.random.default_rng(5)
     u = rng.normal(size=(400, 64))
     u /= np.linalg.norm(u, axis=1)[:, None]
@@ -256,7 +264,7 @@ def test_lattice_recall_at_the_threshold(spark):
     v /= np.linalg.norm(v, axis=1)[:, None]
     z = 0.951 * u + math.sqrt(1 - 0.951**2) * v
     rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate((u, z)))]
-    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), blocks=blocks).toPandas()
     assert (got.n_links > 0).mean() >= 0.99
 
 
