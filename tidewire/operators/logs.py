@@ -75,3 +75,20 @@ def summary(df: DataFrame, at: str, level: str, message: str, source: str, least
 def error_rate(df: DataFrame, at: str, is_error: Column, seconds: int) -> DataFrame:
     """Share of errors in the trailing window of each row's time, per event-time bucket of that width."""
     return df.groupBy(F.window(at, f"{seconds} seconds").alias("w")).agg(F.avg(is_error.cast("int")).alias("rate"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), "rate", "n")
+
+
+def batch_summary(df: DataFrame, batch: str, at: str, is_error: Column, duration: Column) -> DataFrame:
+    """Per batch: rows, errors, error rate, span (seconds), throughput and mean duration."""
+    span = F.max(at) - F.min(at)
+    g = df.groupBy(batch).agg(F.count("*").alias("n"), F.count_if(is_error).alias("errors"), (span / 1e6).alias("seconds"), F.avg(duration).alias("mean_duration"))
+    return g.withColumns({"error_rate": F.col("errors") / F.col("n"), "throughput": F.when(F.col("seconds") > 0, F.col("n") / F.col("seconds"))})
+
+
+def find_by_name(df: DataFrame, name: str, pattern: str, score: str, least: float) -> DataFrame:
+    """Rows whose name is like a pattern (``*`` for any run) and whose score reaches ``least``."""
+    return df.filter(F.col(name).like(pattern.replace("*", "%")) & (F.col(score) >= least))
+
+
+def flows(pairs: DataFrame, flow: str, start: str, stop: str) -> DataFrame:
+    """Per flow of matched pairs: pairs, span from the first start to the last stop, and largest latency."""
+    return pairs.groupBy(flow).agg(F.count("*").alias("pairs"), (F.max(stop) - F.min(start)).alias("span"), F.max(F.col(stop) - F.col(start)).alias("max_latency"))

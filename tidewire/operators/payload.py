@@ -352,3 +352,44 @@ def nearest_occurrence(text: str, pattern: str) -> tuple[int, int]:
         new[1:] = np.minimum(row[:-1] + (t != ord(c)), row[1:] + 1)
         row = np.minimum.accumulate(new - place) + place
     return int(row.min()), int(row.argmin())
+
+
+def verify_checksums(df: DataFrame, keys: Keys, data: str, algorithm: str, size: int, big: bool = True) -> DataFrame:
+    """Messages per group whose last ``size`` bytes are the checksum of what stands before, and their share."""
+    from tidewire.functions.checksums import checksum
+
+    own = F.expr(f"substring(`{data}`, 1, length(`{data}`) - {size})")
+    tail = F.expr(f"substring(`{data}`, length(`{data}`) - {size - 1}, {size})")
+    told = tail if big else F.reverse(tail)
+    rows = df.filter(F.length(data) > size).select(*keys, (checksum(own, algorithm) == F.conv(F.hex(told), 16, 10).cast("long")).alias("_ok"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("_ok").alias("matches"), F.avg(F.col("_ok").cast("int")).alias("rate"))
+
+
+def typed_regions(df: DataFrame, keys: Keys, data: str, window: int) -> DataFrame:
+    """Kind of each whole window of ``window`` bytes (see :func:`classify`), equal neighbours joined: first and last window."""
+    rows = byte_rows(df, keys, data).withColumn("window", F.floor(F.col("pos") / window).cast("int"))
+    part = [*keys, "window"]
+    counts = rows.groupBy(*part, "byte").agg(F.count("*").alias("n"))
+    shown = F.avg(F.when(F.col("byte").between(32, 126) | F.col("byte").isin(9, 10, 13), 1.0).otherwise(0.0))
+    h = _entropy(counts, part).filter(F.col("n") == window).join(rows.groupBy(*part).agg(shown.alias("printable")), part)
+    kind = F.when(F.col("entropy") < CONSTANT_BELOW, "constant").when(F.col("printable") >= TEXT_FROM, "text").otherwise("binary")
+    by = W.partitionBy(*keys).orderBy("window")
+    k = h.withColumn("kind", kind)
+    new = F.when(F.col("kind").eqNullSafe(F.lag("kind").over(by)) & (F.col("window") == F.lag("window").over(by) + 1), 0).otherwise(1)
+    runs = k.withColumn("_new", new).withColumn("_run", F.sum("_new").over(by))
+    return runs.groupBy(*keys, "_run", "kind").agg(F.min("window").alias("first"), F.max("window").alias("last")).drop("_run")
+
+
+def signatures(df: DataFrame, keys: Keys, text: str, lengths: Sequence[int], least: int) -> DataFrame:
+    """n-grams at one offset of at least so many messages: candidates for headers and sync words, by share of messages."""
+    total = F.broadcast(df.agg(F.count("*").alias("_t")))  # one row
+    out = None
+    for n in lengths:
+        g = gram_rows(df, keys, text, n).groupBy("pos", "gram").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+        out = g if out is None else out.unionByName(g)
+    return out.crossJoin(total).select("pos", "gram", "n", (F.col("n") / F.col("_t")).alias("share"))
+
+
+def regex_search(df: DataFrame, keys: Keys, text: str, pattern: str) -> DataFrame:
+    """Matches of a regular expression in each text, numbered from 0."""
+    return df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("number", "match"))

@@ -404,3 +404,70 @@ def duration_text(seconds: Column) -> Column:
     h, m = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60)
     s = F.format_string("%.1fs", seconds % 60)
     return F.when(h > 0, F.concat(h.cast("string"), F.lit("h "), m.cast("string"), F.lit("m "), s)).when(m > 0, F.concat(m.cast("string"), F.lit("m "), s)).otherwise(s)
+
+
+# ---- events, zones and circuit measures ------------------------------------------------------
+
+
+def zone_hits(df: DataFrame, x: Column, y: Column, zones: dict[str, Sequence[tuple[float, float]]]) -> DataFrame:
+    """Samples inside zones (polygons), once per zone: ``zone``."""
+    hit = F.array_compact(F.array(*[F.when(inside_polygon(x, y, p), F.lit(n)) for n, p in zones.items()]))
+    return df.withColumn("zone", F.explode(hit))
+
+
+def multi_level(df: DataFrame, keys: Keys, value: str, levels: int) -> DataFrame:
+    """``level``: the number of the nearest of ``levels`` equally spaced values between percentiles 5 and 95."""
+    p = percentiles(df, keys, value, (0.05, 0.95)).select(*keys, F.col("p05").alias("_a"), F.col("p95").alias("_z"))
+    at = F.floor((F.col(value) - F.col("_a")) / (F.col("_z") - F.col("_a")) * (levels - 1) + 0.5).cast("int")
+    return met(df, p, keys).withColumn("level", F.greatest(F.least(at, F.lit(levels - 1)), F.lit(0))).drop("_a", "_z")
+
+
+#: Output and input thresholds (V) of logic families: VOH, VOL, VIH, VIL.
+FAMILIES = {"TTL": (2.4, 0.4, 2.0, 0.8), "CMOS_5V": (4.44, 0.5, 3.5, 1.5), "LVCMOS_3V3": (2.4, 0.4, 2.0, 0.8), "LVCMOS_2V5": (2.0, 0.4, 1.7, 0.7), "LVCMOS_1V8": (1.35, 0.45, 1.17, 0.63)}
+
+
+def noise_margins(df: DataFrame, keys: Keys, value: str, family: str = "LVCMOS_3V3") -> DataFrame:
+    """High and low noise margins of measured levels (means above VIH and below VIL) against the family's inputs."""
+    _, _, vih, vil = FAMILIES[family]
+    v = F.col(value)
+    g = df.groupBy(*keys).agg(F.avg(F.when(v >= vih, v)).alias("high"), F.avg(F.when(v <= vil, v)).alias("low"))
+    return g.withColumns({"nmh": F.col("high") - vih, "nml": F.lit(vil) - F.col("low")})
+
+
+def constraint_violations(events: DataFrame, keys: Keys, order: Keys, at: str, least: float, most: float) -> DataFrame:
+    """Events that follow the one before in less than ``least`` or more than ``most``: the interval and which limit."""
+    gap = events.withColumn("interval", F.col(at) - F.lag(at).over(W.partitionBy(*keys).orderBy(*order)))
+    kind = F.when(F.col("interval") < least, "too_short").when(F.col("interval") > most, "too_long")
+    return gap.withColumn("violation", kind).filter("violation is not null")
+
+
+def pulse_statistics(pulses: DataFrame, keys: Keys, width: str = "width") -> DataFrame:
+    """Count, mean, deviation and extremes of pulse widths."""
+    return pulses.groupBy(*keys).agg(F.count(width).alias("n"), F.avg(width).alias("mean"), F.stddev_pop(width).alias("std"), F.min(width).alias("min"), F.max(width).alias("max"))
+
+
+def capacitance(df: DataFrame, keys: Keys, v: str, i: str, dt: float) -> DataFrame:
+    """Charge over the swing of the voltage."""
+    q, swing = F.sum(F.col(i)) * dt, F.max(v) - F.min(v)
+    return df.groupBy(*keys).agg(q.alias("charge"), swing.alias("swing")).withColumn("capacitance", F.when(F.col("swing") > 0, F.abs("charge") / F.col("swing")))
+
+
+def switching_loss(df: DataFrame, keys: Keys, v: str, i: str, dt: float, v_least: float, i_least: float) -> DataFrame:
+    """Energy and samples while voltage and current both exceed their thresholds, against the whole energy."""
+    p, on = F.col(v) * F.col(i), (F.col(v) > v_least) & (F.col(i) > i_least)
+    return df.groupBy(*keys).agg((F.sum(F.when(on, p).otherwise(0.0)) * dt).alias("energy"), F.count_if(on).alias("samples"), (F.sum(p) * dt).alias("total"))
+
+
+def weighted_ensemble(df: DataFrame, keys: Keys, value: str, weight: str) -> DataFrame:
+    """Weighted mean of estimates, their weighted deviation and agreement 1 / (1 + cv)."""
+    from tidewire.operators.stats import weighted_stats
+
+    g = weighted_stats(df, keys, value, weight)
+    cv = F.when(F.col("weighted_mean") != 0, F.abs(F.col("weighted_std") / F.col("weighted_mean"))).otherwise(0.0)
+    return g.withColumn("agreement", 1 / (1 + cv))
+
+
+def frequency_band(df: DataFrame, key: str, at: str, low: float, high: float) -> DataFrame:
+    """Rows of ids whose rate (n - 1) / span lies in [low, high]."""
+    g = df.groupBy(key).agg(F.count("*").alias("_n"), (F.max(at) - F.min(at)).alias("_d")).filter("_d > 0")
+    return df.join(g.filter(((F.col("_n") - 1) / F.col("_d")).between(low, high)).select(key), key, "left_semi")

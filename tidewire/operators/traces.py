@@ -322,3 +322,11 @@ def row_outliers(df: DataFrame, keys: Keys, order: Keys, features: str, method:
 
     score = {"lof": S.local_outlier_factor, "isolation": S.isolation_scores}[method]
     return grouped(df, keys, order, [features], lambda x: [{"row": i, "score": float(s)} for i, s in enumerate(score(np.array(x, float), **options))], "row int, score double")
+
+
+def compare_traces(df: DataFrame, keys: Keys, a: str, b: str, tolerance: float) -> DataFrame:
+    """Samples, differences beyond the tolerance, largest and RMS difference and the verdict per group."""
+    d = F.abs(F.col(a) - F.col(b))
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if(d > tolerance).alias("violations"), F.max(d).alias("max_deviation"), F.sqrt(F.avg(d * d)).alias("rms_deviation"), (F.count_if(d > tolerance) == 0).alias("passed")
+    )

@@ -219,3 +219,24 @@ def smoothed_jitter(df: DataFrame, keys: Keys, order: Keys, at: str) -> DataFram
     back = math.ceil(math.log(1e-12) / math.log(15 / 16))
     held = F.collect_list("_d").over(by.rowsBetween(-back, 0))
     return d.withColumn("_h", held).withColumn("jitter", F.aggregate("_h", F.lit(0.0), lambda j, x: j + (x - j) / 16)).drop("_g", "_d", "_h")
+
+
+def sequence_patterns(df: DataFrame, keys: Keys, order: Keys, state: str, lengths: Sequence[int], least: int) -> DataFrame:
+    """Consecutive states of the given lengths that occur at least so often."""
+    out = None
+    for n in lengths:
+        s = sequences(df, keys, order, state, n).filter(F.col("n") >= least).withColumn("length", F.lit(n))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def temporal_patterns(df: DataFrame, keys: Keys, order: Keys, state: str, at: str, gap: float, length: int) -> DataFrame:
+    """Consecutive states whose neighbours are at most ``gap`` apart, with their count and mean span."""
+    by = W.partitionBy(*keys).orderBy(*order)
+    times = [F.col(at), *[F.lead(at, k).over(by) for k in range(1, length)]]
+    near = F.lit(True)
+    for a, b in zip(times[:-1], times[1:], strict=True):
+        near = near & (b - a <= gap)
+    parts = [F.col(state), *[F.lead(state, k).over(by) for k in range(1, length)]]
+    rows = df.select(F.concat_ws(">", *parts).alias("sequence"), near.alias("_ok"), (times[-1] - times[0]).alias("_span")).filter("_ok")
+    return rows.groupBy("sequence").agg(F.count("*").alias("n"), F.avg("_span").alias("mean_span"))
