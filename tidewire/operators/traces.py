@@ -7,10 +7,11 @@ so that no task holds a whole trace.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,16 +62,23 @@ def psd(df: DataFrame, keys: Keys, index: str, value: str, fs: float, nperseg: i
     of their own and their spectra are averaged natively, so a trace of any length spreads over tasks."""
     step = nperseg // 2
     k = F.floor(F.col(index) / step)
-    segs = df.withColumn("_seg", F.explode(F.array(k - 1, k))).filter("_seg >= 0")
-
-    def f(x: np.ndarray) -> pd.DataFrame:
-        if len(x) < nperseg:
-            return pd.DataFrame({"bin": np.zeros(0, np.int64), "p": np.zeros(0)})
-        freq, p = S.welch(x, fs, nperseg, name=window)
-        return pd.DataFrame({"bin": np.arange(len(freq)), "p": p})
-
-    each = per_trace(segs, [*keys, "_seg"], [index], value, f, "bin long, p double")
-    p = each.groupBy(*keys, "bin").agg(F.avg("p").alias("density"), F.count("*").alias("segments"))
+    segs = df.select(*keys, F.col(index).alias("_i"), F.col(value).cast("double").alias("_v"), F.explode(F.array(k - 1, k)).alias("_seg")).filter("_seg >= 0")
+    whole = segs.groupBy(*keys, "_seg").agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_s")).filter(F.size("_s") == nperseg)
+    kept = [f"_k{i}" for i in range(len(keys))]
+    arrays = whole.select(*[F.col(c).alias(a) for c, a in zip(keys, kept, strict=True)], F.col("_s._v").alias("_x"))
+    w = S.window(window, nperseg, periodic=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, nperseg)
+            p = np.abs(np.fft.rfft((x - x.mean(1, keepdims=True)) * w, axis=1)) ** 2 / (fs * (w**2).sum())
+            p[:, 1 : None if nperseg % 2 else -1] *= 2
+            ends = pa.array(np.arange(len(x) + 1) * p.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], names=[*kept, "p"])
+
+    types = "".join(f"`{c}` {t}, " for c, t in arrays.dtypes if c != "_x")
+    each = arrays.mapInArrow(run, f"{types}p array<double>").toDF(*keys, "p").select(*keys, F.posexplode("p").alias("_bin", "_p"))
+    p = each.groupBy(*keys, F.col("_bin").cast("long").alias("bin")).agg(F.avg("_p").alias("density"), F.count("*").alias("segments"))
     return p.withColumn("frequency", F.col("bin") * (fs / nperseg)).withColumn("db", 10 * F.log10(F.greatest("density", F.lit(1e-20))))
 
 
