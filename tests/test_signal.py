@@ -189,3 +189,34 @@ def test_character_quality_and_anomalies():
     assert ("glitch", 299) in kinds and ("dropout", 600) in kinds
     z = np.r_[np.zeros(50), -0.2 * np.ones(5), np.ones(50)]
     assert 15 < S.preshoot(z) < 25
+
+
+def test_local_outlier_factor_of_many_rows():
+    """Equal to the definition, in memory that does not grow with rows x rows x features."""
+    import tracemalloc
+
+    def plain(x, k):
+        d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
+        np.fill_diagonal(d, np.inf)
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        dist = np.take_along_axis(d, near, 1)
+        density = 1 / np.maximum(np.maximum(dist, dist.max(1)[near]).mean(1), 1e-12)
+        return density[near].mean(1) / density
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 16)) * rng.choice([0.1, 1, 30], (300, 1)) + 1e4
+    x[50:60] = x[3]
+    x[60:70] = x[4] + rng.normal(size=(10, 16)) * 1e-9
+    np.testing.assert_allclose(S.local_outlier_factor(x, 5), plain(x, 5), rtol=1e-12)
+    gap = x.copy()
+    gap[7, 2] = np.nan
+    got = S.local_outlier_factor(gap, 5)
+    assert np.isnan(got[7])
+    np.testing.assert_allclose(np.delete(got, 7), plain(np.delete(x, 7, 0), 5), rtol=1e-12)
+    assert S.local_outlier_factor(x[:1], 5).tolist() == [1.0]
+    many = rng.normal(size=(1500, 64))
+    tracemalloc.start()
+    S.local_outlier_factor(many, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6

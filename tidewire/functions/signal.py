@@ -423,16 +423,43 @@ def seasonal(x: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return trend, s, x - trend - s
 
 
+def nearest_rows(x: np.ndarray, k: int, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest other rows of each row of a finite matrix (ties: the first) and their distances, ascending.
+
+    Products give each squared distance up to rounding, for ``cells`` pairs at a time; all rows that may be
+    among the k are then measured by their differences."""
+    n, dim = x.shape
+    y = x / (np.abs(x).max() or 1.0)
+    y -= y.mean(0)
+    sq = (y * y).sum(1)
+    slack = 64 * np.finfo(float).eps * dim * max(1.0, sq.max())
+    near, dist = np.empty((n, k), np.int64), np.empty((n, k))
+    step, part = max(1, cells // n), max(1, cells // max(dim, 1))
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        d = sq[a:b, None] + sq - 2 * (y[a:b] @ y.T)
+        d[np.arange(b - a), np.arange(a, b)] = np.inf
+        row, col = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] + 2 * slack)
+        away = np.concatenate([np.sqrt(((x[a + row[i : i + part]] - x[col[i : i + part]]) ** 2).sum(1)) for i in range(0, len(row), part)])
+        order = np.lexsort((col, away, row))
+        at = order[np.searchsorted(row, np.arange(b - a))[:, None] + np.arange(k)]
+        near[a:b], dist[a:b] = col[at], away[at]
+    return near, dist
+
+
 def local_outlier_factor(x: np.ndarray, k: int = 20) -> np.ndarray:
-    """LOF of the rows of a matrix."""
-    d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(2), 0))
-    np.fill_diagonal(d, np.inf)
+    """LOF of the rows of a matrix; rows that are not finite have none (NaN) and are no one's neighbours."""
+    fine = np.isfinite(x).all(1)
+    out = np.where(fine, 1.0, np.nan)
+    x = x[fine]
     k = min(k, len(x) - 1)
-    near = np.argpartition(d, k - 1, axis=1)[:, :k]
-    dist = np.take_along_axis(d, near, 1)
+    if k < 1:
+        return out
+    near, dist = nearest_rows(x, k)
     reach = np.maximum(dist, dist.max(1)[near])
     density = 1 / np.maximum(reach.mean(1), 1e-12)
-    return density[near].mean(1) / density
+    out[fine] = density[near].mean(1) / density
+    return out
 
 
 def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 0) -> np.ndarray:
