@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -131,18 +131,23 @@ def modbus_frames(df: DataFrame, keys: Keys, data: str, tcp: bool = False) -> Da
 def udp_streams(df: DataFrame, keys: Keys, order: Keys, sequence: str, data: str) -> DataFrame:
     """Payloads of a flow put together by sequence number: bytes, segments, those out of order (below the
     largest number that arrived before) and numbers missing between sorted neighbours."""
-
-    def f(seq: list, parts: list) -> list[dict]:
-        top, late = None, 0
-        for s in seq:
-            late += top is not None and s < top
-            top = s if top is None else max(top, s)
-        place = sorted(range(len(seq)), key=lambda i: seq[i])
-        ranked = [seq[i] for i in place]
-        gaps = [f"{a + 1}-{b - 1}" for a, b in zip(ranked[:-1], ranked[1:], strict=True) if b > a + 1]
-        return [{"stream": b"".join(bytes(parts[i]) for i in place), "segments": len(seq), "out_of_order": late, "gaps": gaps}]
-
-    return grouped(df, keys, order, [sequence, data], f, "stream binary, segments int, out_of_order int, gaps array<string>")
+    arrival, seq = [F.col(c).asc_nulls_last() for c in order], F.col(sequence)
+    flow = W.partitionBy(*keys)
+    rows = df.select(*dict.fromkeys([*keys, *order, sequence, data]))
+    rows = rows.withColumn("_late", seq < F.max(seq).over(flow.orderBy(*arrival).rowsBetween(W.unboundedPreceding, -1)))
+    ranked = flow.orderBy(seq, *arrival)
+    rows = rows.withColumns({"_next": F.lead(seq).over(ranked), "_at": F.row_number().over(ranked)})
+    gap = F.when(F.col("_next") > seq + 1, F.struct("_at", F.concat((seq + 1).cast("string"), F.lit("-"), (F.col("_next") - 1).cast("string")).alias("gap")))
+    return rows.groupBy(*keys).agg(
+        joined(F.col("_at"), F.col(data)).alias("stream"), F.count("*").cast("int").alias("segments"), F.count_if("_late").cast("int").alias("out_of_order"),
+        F.transform(F.sort_array(F.collect_list(gap)), lambda g: g.gap).alias("gaps"),
+    )
+
+
+def joined(at: Column, part: Column) -> Column:
+    """Aggregate: the group's binary parts end to end, in the order of ``at``."""
+    parts = F.sort_array(F.collect_list(F.struct(at.alias("at"), F.hex(part).alias("part"))))
+    return F.unhex(F.array_join(F.transform(parts, lambda p: p.part), ""))
 
 
 # ---- records and schemas ---------------------------------------------------------------------
