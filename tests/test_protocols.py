@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewire.functions import checksums as C
+from tidewire.operators import messages
 from tidewire.operators import protocols as P
 
 
@@ -142,3 +143,35 @@ def test_tcp_reassembly(spark):
     df = spark.createDataFrame(rows, "flow string, n int, seq long, data binary").repartition(2)
     r = P.tcp_streams(df, ["flow"], "seq", "data", "n").first()
     assert bytes(r.stream) == b"abcdefgh\0\0kl" and r.gaps == ["8-10"] and r.retransmits == 1
+
+
+def test_streams_equal_plain_reassembly_without_python(spark):
+    """Flows with repeats, overlaps, holes, empty parts, wrapped numbers and null keys; no flow goes through Python."""
+    rng, rows = np.random.default_rng(2), []
+    for k in [None, *range(40)]:
+        at = (1 << 32) - 20 if k and k % 2 else 1000
+        for n in range(int(rng.integers(1, 25))):
+            at += int(rng.integers(-6, 9))
+            rows.append((k, int(rng.integers(0, 1 << 40)) * 32 + n, at % (1 << 32), bytes(rng.integers(0, 256, rng.integers(0, 7)).astype(np.uint8))))
+    df = spark.createDataFrame(rows, "k int, n long, seq long, data binary").repartition(3)
+    want_tcp, want_udp = {}, {}
+    for k in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: r[1])
+        rel = [(s - own[0][2] + (1 << 31)) % (1 << 32) - (1 << 31) for _, _, s, _ in own]
+        out, gaps, again = bytearray(), [], 0
+        for r, d in sorted(((r - min(rel), x[3]) for r, x in zip(rel, own, strict=True)), key=lambda p: p[0]):
+            if r > len(out):
+                gaps.append(f"{len(out)}-{r}")
+                out.extend(bytes(r - len(out)))
+            new = d[max(0, len(out) - r) :]
+            again += not len(new)
+            out.extend(new)
+        want_tcp[k] = (bytes(out), len(gaps), gaps, again)
+        ranked = sorted(own, key=lambda r: r[2])
+        late = sum(i > 0 and own[i][2] < max(r[2] for r in own[:i]) for i in range(len(own)))
+        want_udp[k] = (b"".join(r[3] for r in ranked), len(own), late, [f"{a[2] + 1}-{b[2] - 1}" for a, b in zip(ranked[:-1], ranked[1:], strict=True) if b[2] > a[2] + 1])
+    tcp, udp = P.tcp_streams(df, ["k"], "seq", "data", "n"), messages.udp_streams(df, ["k"], ["n"], "seq", "data")
+    assert {r.k: (bytes(r.stream), r.n_gaps, r.gaps, r.retransmits) for r in tcp.collect()} == want_tcp
+    assert {r.k: (bytes(r.stream), r.segments, r.out_of_order, r.gaps) for r in udp.collect()} == want_udp
+    assert any(g[3] for g in want_tcp.values()) and any(g[3] for g in want_udp.values())
+    assert not any("Pandas" in d._jdf.queryExecution().toString() for d in (tcp, udp))

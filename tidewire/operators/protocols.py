@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.checksums import CRC16_MODBUS, CRC16_X25, crc15_can
@@ -349,23 +350,28 @@ def obd_value(pid: Column, a: Column, b: Column) -> Column:
 def tcp_streams(packets: DataFrame, keys: Sequence[str], seq: str, data: str, order: str) -> DataFrame:
     """Reassembled bytes per flow: by sequence relative to the flow's first (modulo 2**32), repeats skipped,
     overlaps trimmed, holes filled with zeros and listed."""
-    types = ", ".join(f"`{k}` {t}" for k, t in packets.select(*keys).dtypes)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        first = int(pdf[seq].iloc[0])
-        rel = (((pdf[seq] - first + (1 << 31)) % (1 << 32)) - (1 << 31)).astype(int)
-        base, out, gaps, again = int(rel.min()), bytearray(), [], 0
-        for r, d in sorted(zip(rel - base, pdf[data], strict=True), key=lambda p: p[0]):
-            if r > len(out):
-                gaps.append(f"{len(out)}-{r}")
-                out.extend(bytes(r - len(out)))
-            new = d[max(0, len(out) - r) :]
-            again += not len(new)
-            out.extend(new)
-        return pd.DataFrame([[*key, bytes(out), len(gaps), gaps, again]], columns=[*keys, "stream", "n_gaps", "gaps", "retransmits"])
-
-    return packets.groupBy(*keys).applyInPandas(run, f"{types}, stream binary, n_gaps int, gaps array<string>, retransmits int")
+    from tidewire.operators.messages import joined
+
+    flow, arrival = W.partitionBy(*keys), F.col(order).asc_nulls_last()
+    rows = packets.select(*dict.fromkeys([*keys, order, seq, data]))
+    since = F.col(seq).cast("long") - F.first(seq).over(flow.orderBy(arrival)).cast("long")
+    rows = rows.withColumn("_rel", F.pmod(since + (1 << 31), F.lit(1 << 32)) - (1 << 31))
+    by = flow.orderBy("_rel", arrival)
+    rows = rows.withColumn("_r", F.col("_rel") - F.first("_rel").over(by))
+    # How far the segments before reach; of segments that start with the same reach only the last adds bytes.
+    reach = F.max(F.col("_r") + F.length(data)).over(by.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("_upto", F.coalesce(reach, F.lit(0).cast("long")))
+    r, upto = F.col("_r"), F.col("_upto")
+    hole = F.greatest(r - upto, F.lit(0))
+    skip = F.least(F.greatest(upto - r, F.lit(0)), F.length(data)).cast("int")
+    rows = rows.withColumns({"_hole": hole, "_new": F.substring(data, skip + 1, F.length(data) - skip)})
+    gap = F.when(F.col("_hole") > 0, F.struct("_upto", F.concat(upto.cast("string"), F.lit("-"), r.cast("string")).alias("gap")))
+    gaps = F.transform(F.sort_array(F.collect_list(gap)), lambda g: g.gap)
+    part = F.concat(F.unhex(F.repeat(F.lit("00"), F.col("_hole").cast("int"))), "_new")
+    return rows.groupBy(*keys).agg(
+        joined(upto, part).alias("stream"), F.count_if(F.col("_hole") > 0).cast("int").alias("n_gaps"), gaps.alias("gaps"),
+        F.count_if(F.length("_new") == 0).cast("int").alias("retransmits"),
+    )
 
 
 # ---- decoders over traces held as arrays -----------------------------------------------------
