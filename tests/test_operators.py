@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.functions import checksums, waveforms
+from tidewire.functions import checksums, inference, waveforms
 from tidewire.operators import joins, messages, payload, protocols, signals, stats
 
 
@@ -154,3 +154,20 @@ def test_without_partner_and_content(spark):
     a = spark.createDataFrame([(1, 2), (2, 3), (None, 1)], "x int, y int")
     b = spark.createDataFrame([(1, 2)], "u int, v int")
     assert {tuple(r) for r in joins.without_partner(a, b, [("x", "u"), ("y", "v")]).collect()} == {(2, 3), (None, 1)}
+
+
+def test_hamming_clusters_hold_distinct_messages_only(spark, monkeypatch):
+    """Every row of every group is told its cluster, while a task is handed each message once."""
+    seen = []
+    real = messages.grouped
+
+    def grouped(df, *rest):
+        seen.append(df.count())
+        return real(df, *rest)
+
+    monkeypatch.setattr(messages, "grouped", grouped)
+    rng = np.random.default_rng(8)
+    rows = [(int(k), n, bytes(rng.choice([b"aaaa", b"aaab", b"abbb", b"zzzz", b"aabb"]))) for n, k in enumerate(rng.integers(0, 3, 300))]
+    got = messages.hamming_clusters(spark.createDataFrame(rows, "k int, n int, m binary").repartition(4), ["k"], ["n"], "m", 0.3).collect()
+    want = {(k, i): c for k in range(3) for i, c in enumerate(inference.cluster_by_hamming([m for g, _, m in rows if g == k], 0.3))}
+    assert len(got) == 300 and {(r.k, r.row): r.cluster for r in got} == want and seen == [15]

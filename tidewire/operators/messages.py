@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidewire.functions import checksums, inference, network
+from tidewire.operators.stats import met, numbered
 
 Keys = Sequence[str]
 
@@ -324,8 +325,15 @@ def dependencies(df: DataFrame, keys: Keys, order: Keys, item: str) -> DataFrame
 
 
 def hamming_clusters(df: DataFrame, keys: Keys, order: Keys, data: str, threshold: float) -> DataFrame:
-    """Greedy complete linkage of a group's messages in order."""
-    return grouped(df, keys, order, [data], lambda x: [{"row": i, "cluster": c} for i, c in enumerate(inference.cluster_by_hamming([bytes(v) for v in x], threshold))], "row int, cluster int")
+    """Greedy complete linkage of a group's messages in order. Repeats of a message are in its first one's
+    cluster (see ``inference.cluster_by_hamming``), so a task holds the distinct messages of a group only."""
+    own = df.select(*dict.fromkeys([*keys, *order, data]))
+    rows = numbered(own, keys, [F.col(c).asc_nulls_last() for c in order], "row").select(*keys, F.col("row").cast("int").alias("row"), F.col(data).alias("_m"))
+    if threshold < 0:
+        return rows.select(*keys, "row", F.col("row").alias("cluster"))
+    first = rows.groupBy(*keys, "_m").agg(F.min("row").alias("_first"))
+    f = lambda at, x: [{"_m": bytes(m), "cluster": c} for m, c in zip(x, inference.cluster_by_hamming([bytes(m) for m in x], threshold), strict=True)]
+    return met(rows, grouped(first, keys, ["_first"], ["_first", "_m"], f, "_m binary, cluster int"), [*keys, "_m"]).select(*keys, "row", "cluster")
 
 
 def hierarchical_clusters(df: DataFrame, keys: Keys, order: Keys, data: str, clusters: int, metric: str = "hamming", linkage: str = "average") -> DataFrame:
