@@ -156,6 +156,21 @@ def test_without_partner_and_content(spark):
     assert {tuple(r) for r in joins.without_partner(a, b, [("x", "u"), ("y", "v")]).collect()} == {(2, 3), (None, 1)}
 
 
+@pytest.mark.parametrize("metric", ["hamming", "jaccard"])
+def test_distance_matrix_in_blocks(spark, monkeypatch, metric):
+    """Groups of several blocks: every pair once, and no task makes all pairs of a group."""
+    monkeypatch.setattr(messages, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    groups = {k: [bytes(rng.integers(0, 3, rng.integers(0, 6)).astype(np.uint8)) for _ in range(n)] for k, n in (("a", 40), ("b", 7), (None, 15), ("c", 1))}
+    df = spark.createDataFrame([(k, 100 - n, m) for k, x in groups.items() for n, m in enumerate(x)], "k string, n int, m binary").repartition(3)
+    out = messages.distance_matrix(df, ["k"], ["n"], "m", metric)
+    want = {(k, i, j): 1 - inference.similarity(x[::-1][i], x[::-1][j], metric) for k, x in groups.items() for j in range(len(x)) for i in range(j)}
+    got = out.collect()
+    assert len(got) == len(want) and {(r.k, r.i, r.j): r.distance for r in got} == want
+    tasks = out.withColumn("t", F.spark_partition_id()).filter("k = 'a'").select("t").distinct().count()
+    assert tasks > 1 and out.dtypes == [("k", "string"), ("i", "int"), ("j", "int"), ("distance", "double")]
+
+
 def test_hamming_clusters_hold_distinct_messages_only(spark, monkeypatch):
     """Every row of every group is told its cluster, while a task is handed each message once."""
     seen = []

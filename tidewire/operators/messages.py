@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from tidewire.functions import checksums, inference, network
 from tidewire.operators.stats import met, numbered
+from tidewire.session import saved
 
 Keys = Sequence[str]
 
@@ -217,16 +218,45 @@ def differences(df: DataFrame, keys: Keys, a: str, b: str) -> DataFrame:
     return records(df, keys, [a, b], lambda x, y: [{"start": p, "stop": q} for p, q in inference.difference(x, y)], "start int, stop int")
 
 
+#: Messages on either side of a block of distances.
+BLOCK = 1024
+
+
 def distance_matrix(df: DataFrame, keys: Keys, order: Keys, data: str, metric: str = "hamming") -> DataFrame:
-    """Distances 1 - similarity of all pairs i < j of a group's messages."""
+    """Distances 1 - similarity of all pairs i < j of a group's messages; null if one is null.
 
-    def f(x: list) -> Iterator[dict]:
-        m = [bytes(v) for v in x]
-        for i in range(len(m)):
-            for j in range(i + 1, len(m)):
-                yield {"i": i, "j": j, "distance": 1 - float(inference.similarity(m[i], m[j], metric))}
+    A group is cut into blocks of BLOCK messages against BLOCK, so that its pairs spread over tasks."""
+    own = df.select(*dict.fromkeys([*keys, *order, data]))
+    rows = numbered(own, keys, [F.col(c).asc_nulls_last() for c in order], "_row").select(*keys, F.col("_row").cast("int").alias("_i"), F.col(data).alias("_m"))
+    rows = saved(rows.withColumn("_c", F.floor(F.col("_i") / BLOCK).cast("int")))
+    last = saved(rows.groupBy(*keys).agg(F.max("_c").alias("_last")))
+    blocks = last.agg(F.sum((F.col("_last") + 1) * (F.col("_last") + 2) / 2)).first()[0] or 1
+    c = F.col("_c")
+    # A block has its rows in order: the left chunk's, then those of the right one, which is the same or a later one.
+    at = F.concat(
+        F.transform(F.sequence(c, F.col("_last")), lambda j: F.struct(c.alias("i"), j.alias("j"))),
+        F.filter(F.transform(F.sequence(F.lit(0), c), lambda i: F.struct(i.alias("i"), c.alias("j"))), lambda p: p.i < c),
+    )
+    dealt = met(rows, last, keys).withColumn("_p", F.explode(at)).select(*keys, F.col("_p.i").alias("_x"), F.col("_p.j").alias("_y"), "_c", "_i", "_m")
+    types = [(k, t) for k, t in dealt.dtypes if k in keys]
+    schema = "".join(f"`{k}` {t}, " for k, t in types) + "i int, j int, distance double"
+    want = to_arrow_schema(StructType.fromDDL(schema))
 
-    return grouped(df, keys, order, [data], f, "i int, j int, distance double")
+    def run(t: pa.Table) -> pa.Table:
+        chunk, i, m = np.asarray(t.column("_c")), np.asarray(t.column("_i")), t.column("_m").to_pylist()
+        x, y = t.column("_x")[0].as_py(), t.column("_y")[0].as_py()
+        left, right = (p[np.argsort(i[p])] for p in (np.flatnonzero(chunk == x), np.flatnonzero(chunk == y)))
+        d = inference.distances([m[p] for p in left], [m[p] for p in right], metric, x == y)
+        a, b = np.nonzero(i[left][:, None] < i[right][None, :])
+        d = d[a, b]
+        n = len(d)
+        key = [pa.repeat(pa.scalar(t.column(k)[0].as_py(), want.field(k).type), n) for k in keys]
+        return pa.Table.from_arrays([*key, pa.array(i[left][a], pa.int32()), pa.array(i[right][b], pa.int32()), pa.array(d, mask=np.isnan(d))], schema=want)
+
+    # Blocks are few small rows that make many: their number of tasks is set, lest they be put together by size.
+    by = [*keys, "_x", "_y"]
+    tasks = max(dealt.sparkSession.sparkContext.defaultParallelism, min(20_000, int(blocks) // 4))
+    return dealt.repartition(tasks, *by).groupBy(*by).applyInArrow(run, schema)
 
 
 def longest_repeats(df: DataFrame, keys: Keys, data: str) -> DataFrame:
