@@ -254,6 +254,18 @@ def test_vectors(spark, monkeypatch, blocks, chunk, kind):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_meet_in_the_same_cells_at_any_size(spark, monkeypatch):
+    """A table told to be large is dealt to the same cells as a small one, with the same results."""
+    df = spark.createDataFrame(vectors(), "vec_id long, embedding array<float>")
+    real, count, used, got = embedding_dedup._placed, type(df).count, [], []
+    monkeypatch.setattr(embedding_dedup, "_placed", lambda classes, blocks: used.append(blocks) or real(classes, blocks))
+    for size in (None, 300_000, 10**9):
+        told = [size] if size else []
+        monkeypatch.setattr(type(df), "count", lambda self, told=told: told.pop() if told else count(self))
+        got.append(Counter(map(tuple, embedding_dedup.near_vectors(df).collect())))
+    assert len(set(used)) == 1 and got[0] == got[1] == got[2]
+
+
 @pytest.mark.parametrize("blocks", [1, 2, 3])
 def test_lattice_recall_at_the_threshold(spark, blocks):
     rng = np.random.default_rng(5)

@@ -17,21 +17,18 @@ from tidewire.session import saved
 
 COSINE = 0.95
 TABLES, PROBES, SEED = 4, 4, 4
-#: Lattice cells per table are those of ``blocks`` projections to 8 dimensions, each scaled by its width:
-#: more vectors, more blocks, so that unlike vectors seldom meet. A pair at cosine 0.95 meets in a table
-#: with probability 0.86, in some table with 0.9997 (simulated).
+#: Lattice cells per table are those of ``blocks`` projections to 8 dimensions, each scaled by its width: with
+#: more blocks unlike vectors meet less often, in more cells. A pair at cosine 0.95 meets in a table with
+#: probability 0.86, in some table with 0.9997 (simulated). BLOCKS holds at every size, so that whether a
+#: pair meets depends on its vectors alone.
 WIDTH = {1: 1.6, 2: 2.0, 3: 2.4}
-BLOCKS_FROM = {1: 0, 2: 200_000, 3: 20_000_000}
+BLOCKS = 2
 #: Residents or visitors of a cell in one piece of work; larger cells are cut into pairs of chunks.
 CHUNK = 256
 PAIRS = 1 << 17
 WORK = 400_000
 
 
-def blocks_for(n: int) -> int:
-    return max(b for b, least in BLOCKS_FROM.items() if n >= least)
-
-
 def units(values: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 in double precision, large and tiny components included."""
     v = values.astype(np.float64)
@@ -70,16 +67,14 @@ def _placed(classes: DataFrame, blocks: int) -> DataFrame:
                     c = cells(units(raw), blocks).reshape(len(rows), -1)
                     per = c.shape[1]
                     who = pa.array(np.repeat(rows, per))
-                    keep = lambda x, who=who: x.take(who)
-                    vec = pa.array([x.tobytes() for x in raw], pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), per)))
                     home = np.tile(np.arange(per) % (per // TABLES) == 0, len(rows))
-                    cols = [pa.array(c.ravel().view(np.int64)), pa.array(home), keep(batch.column("id")), keep(batch.column("m")), vec]
-                    yield pa.RecordBatch.from_arrays(cols, names=["cell", "home", "id", "m", "vec"])
+                    cols = [pa.array(c.ravel().view(np.int64)), pa.array(home), batch.column("id").take(who)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["cell", "home", "id"])
 
-    return in_arrow(classes, run, "cell long, home boolean, id long, m long, vec binary")
+    return in_arrow(classes.select("id", "embedding"), run, "cell long, home boolean, id long")
 
 
-def _linker(cosine: float, dtype: str, blocks: int):
+def _linker(cosine: float, blocks: int):
     """Work on whole pieces (rows come sorted by piece): count and connect the links found there."""
 
     per = (1 + PROBES) ** blocks
@@ -93,6 +88,8 @@ def _linker(cosine: float, dtype: str, blocks: int):
         return out.view(np.int64)
 
     def compare(t: dict[str, np.ndarray], vec: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        values, offs = np.asarray(vec.values), np.asarray(vec.offsets)
+        vector = lambda r: values[offs[r] : offs[r + 1]]
         piece, left = t["piece"], t["left"]
         begin = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
         n = np.diff(np.append(begin, len(piece)))
@@ -113,7 +110,7 @@ def _linker(cosine: float, dtype: str, blocks: int):
             x, y = x[other], y[other]
             if len(x):
                 rows, place = np.unique(np.concatenate((x, y)), return_inverse=True)
-                u = [units(np.frombuffer(vec[int(r)].as_buffer(), dtype)[None])[0] for r in rows]
+                u = [units(vector(r)[None])[0] for r in rows]
                 dims = np.array([len(v) for v in u])
                 p, q = place[: len(x)], place[len(x) :]
                 fits = dims[p] == dims[q]
@@ -131,7 +128,7 @@ def _linker(cosine: float, dtype: str, blocks: int):
                     at_rows, place = np.unique(np.concatenate((x, y)), return_inverse=True)
                     # Rows of one id are one vector: its cells are found once.
                     ids, at_id, of_row = np.unique(t["id"][at_rows], return_index=True, return_inverse=True)
-                    own = cells_of([np.frombuffer(vec[int(at_rows[i])].as_buffer(), dtype) for i in at_id])
+                    own = cells_of([vector(at_rows[i]) for i in at_id])
                     place = of_row[place]
                     for lo in range(0, len(x), 1 << 13):
                         s = slice(lo, lo + (1 << 13))
@@ -192,7 +189,7 @@ def _linker(cosine: float, dtype: str, blocks: int):
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", blocks: int | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", blocks: int = BLOCKS) -> DataFrame:
     """Per row: ``vec_id, n_links`` (other vectors at ``cosine`` or more), ``component_id`` (smallest id
     reachable by links, its own included) and ``kept`` (vec_id = component_id).
 
@@ -211,7 +208,6 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_
     rows = saved(rows.select("_id", F.when(fine, v).alias("embedding")).withColumn("id", F.when(F.col("embedding").isNotNull(), F.xxhash64(F.transform("embedding", lambda x: F.when(x == 0, F.lit(0).cast("double" if wide else "float")).otherwise(x))))))
     valid = rows.filter("embedding is not null")
     classes = saved(valid.groupBy("embedding", "id").agg(F.count("*").alias("m")).groupBy("id").agg(F.first("embedding").alias("embedding"), F.sum("m").alias("m")))
-    blocks = blocks or blocks_for(classes.count())
     placed = saved(_placed(classes, blocks))
     # Chunks are as many as a cell's rows need; small cells are one piece.
     count = placed.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("nr"), F.sum((~F.col("home")).cast("long")).alias("nv"))
@@ -233,10 +229,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_
     dealt = met.withColumn("p", F.explode(F.when(F.col("home"), resident).otherwise(visitor)))
     dealt = dealt.select(
         F.xxhash64("cell", "p.i", "p.j").alias("piece"), F.col("p.left").alias("left"), (F.col("p.i") == F.col("p.j")).alias("alone"),
-        "id", "m", "cell", "vec",
+        F.col("id").alias("_d"), "cell",
     )
+    # Only rows of cells where vectors meet take their vector along.
+    dealt = dealt.join(classes, F.col("_d") == F.col("id")).select("piece", "left", "alone", "id", "m", "cell", F.col("embedding").alias("vec"))
     work = dealt.repartition("piece").sortWithinPartitions("piece", F.desc("left"))
-    links = saved(in_arrow(work, _linker(cosine, "<f8" if wide else "<f4", blocks), "id long, links long, to long"))
+    links = saved(in_arrow(work, _linker(cosine, blocks), "id long, links long, to long"))
     comps = components(links.filter("to is not null").select("id", "to")).select(F.col("id").alias("_k"), "component")
     linked = links.filter("links is not null").groupBy(F.col("id").alias("_l")).agg(F.sum("links").alias("links"))
     each = classes.select("id", "m").join(linked, F.col("id") == F.col("_l"), "left").join(comps, F.col("id") == F.col("_k"), "left")
