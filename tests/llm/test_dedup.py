@@ -281,3 +281,13 @@ def test_lattice_recall_at_the_threshold(spark, blocks):
 
 
 assert SCHEMA
+
+
+def test_line_texts_are_not_written(spark, monkeypatch):
+    """Texts of lines go from the documents to their comparison; only numbers are kept in files."""
+    kept, real = [], line_dedup.saved
+    monkeypatch.setattr(line_dedup, "saved", lambda df: kept.append(df.columns) or real(df))
+    lines = ["the quick brown fox jumps over the lazy dog", "the quick brown fox jumps over the lazy dogs", "something else altogether, unlike the others"]
+    df = spark.createDataFrame([(1, lines[0]), (2, f"{lines[1]}\n{lines[2]}"), (3, lines[2])], "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in line_dedup.dedup_report(df).collect()}
+    assert got == {1: [], 2: [0], 3: [0]} and kept and not any("text" in c for c in kept)

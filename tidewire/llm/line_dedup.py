@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -221,22 +220,18 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     drawn = saved(_sketches(body))
     members = drawn.filter("given").select(F.explode("bands").alias("bucket"), F.col("line").alias("id"), "size")
     places = drawn.filter("given").select("line", "_id", "_t", "n")
-    contents: list[DataFrame] = []
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        new = ids.withColumnRenamed("id", "line")
-        for have in contents:
-            new = new.join(have.select(F.col("id").alias("line")), "line", "left_anti")
+        # Texts are cut out anew where they are used: they go to their join without being written as files.
         place = F.min(F.struct("_id", "_t", "n")).alias("p")
-        wanted = saved(places.join(small(saved(new), IDS), "line", "left_semi").groupBy("line").agg(place).select("line", "p._id", "p._t", "p.n"))
-        contents.append(saved(_texts(body, wanted)))
-        return reduce(DataFrame.unionByName, contents)
+        met = places.join(small(saved(ids.withColumnRenamed("id", "line")), IDS), "line", "left_semi")
+        return _texts(body, met.groupBy("line").agg(place).select("line", "p._id", "p._t", "p.n"))
 
     found = linked(members, texts_of, line_items, similarity, CHUNK)
     f = small(found.select(F.col("id").alias("_k"), "component"), IDS)
     rows = drawn.select("_id", "_t", "n", "line").join(f, F.col("line") == F.col("_k"), "left")
     rows = saved(rows.select("_id", "_t", "n", F.coalesce("component", "line").alias("g")))
-    forget(drawn, *contents)
+    forget(drawn)
     # A group's first document, then that document's first line of the group; both combine before the shuffle.
     docs_of = rows.groupBy("g").agg(F.min("_id").alias("_i"), F.sum(F.col("_id").isNull().cast("int")).alias("_nulls"), F.count("*").alias("_n"))
     docs_of = saved(docs_of.filter("_n > 1").select(F.col("g").alias("_g"), F.when(F.col("_nulls") == 0, F.col("_i")).alias("_i")))
