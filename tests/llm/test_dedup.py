@@ -291,3 +291,45 @@ def test_line_texts_are_not_written(spark, monkeypatch):
     df = spark.createDataFrame([(1, lines[0]), (2, f"{lines[1]}\n{lines[2]}"), (3, lines[2])], "doc_id long, text string")
     got = {r.doc_id: r.removed for r in line_dedup.dedup_report(df).collect()}
     assert got == {1: [], 2: [0], 3: [0]} and kept and not any("text" in c for c in kept)
+
+
+def _spans(lines):
+    import pyarrow as pa
+
+    from tidewire.llm.text import text_buffers
+
+    b, offs = text_buffers(pa.array(lines, pa.string()))
+    return line_dedup._characters(b, offs[:-1], offs[1:])
+
+
+def test_sizes_and_bands_come_of_one_sort(monkeypatch):
+    """Characters are hashed once for both; sizes are those of the sets, equal sets have equal bands."""
+    calls, real = [], line_dedup._hashed
+    monkeypatch.setattr(line_dedup, "_hashed", lambda points: calls.append(len(points)) or real(points))
+    lines = ["", "ab", "abcdef", "aaaaaaaaaaaa", "", "grün und weiß, grün und weiß", "日本語の文字列です。日本語の文字列です。", "\U0001f600" * 9, *prose(7, 200), " ".join(prose(6, 300)), ""]
+    for rows in (lines, ["x"] * 65_530 + lines + ["abcabcabc", "abcabcabcabc"], [], [""]):
+        calls.clear()
+        sizes, bands = line_dedup.sizes_and_bands(*_spans(rows))
+        want = [len({x[j : j + 6] for j in range(max(1, len(x) - 5))}) if x else 0 for x in rows]
+        assert sizes.tolist() == want and bands.shape == (len(rows), line_dedup.BANDS) and len(calls) == 1
+        same = defaultdict(set)
+        for x, s in zip(rows, map(tuple, bands.tolist()), strict=True):
+            same[frozenset(x[j : j + 6] for j in range(max(1, len(x) - 5)))].add(s)
+        assert all(len(s) == 1 for s in same.values()) and len(set().union(*same.values(), set())) == len(same)
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz ", "абвгдежзиклмнопрстуфхцч ", "ab c"])
+def test_lines_at_the_threshold_share_a_band(letters):
+    rng, pairs = np.random.default_rng(12), []
+    while len(pairs) < 3000:
+        k = int(rng.integers(2, 9))
+        x = rng.choice(list(letters), 54 * k + 5)
+        y = x.copy()
+        y[np.arange(k) * 54 + 20] = "#"
+        pairs.append(("".join(x), "".join(y)))
+    _, a = line_dedup.sizes_and_bands(*_spans([x for x, _ in pairs]))
+    _, b = line_dedup.sizes_and_bands(*_spans([y for _, y in pairs]))
+    cut = lambda x: {x[j : j + 6] for j in range(len(x) - 5)}
+    near = np.array([len(cut(x) & cut(y)) >= 0.8 * len(cut(x) | cut(y)) for x, y in pairs])
+    missed = 1 - (a == b).any(1)[near].mean()
+    assert near.sum() > 20 and missed < 0.012

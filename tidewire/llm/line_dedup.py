@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.components import linked
 from tidewire.llm.tables import in_arrow, numbered, picked, small
-from tidewire.llm.text import BASE, SPACE, U64, Seen, hash_spans, mix, powers, ragged, slices, text_buffers
+from tidewire.llm.text import BASE, SPACE, U64, Seen, hash_spans, mix, powers, slices, text_buffers
 from tidewire.session import forget, saved
 
 SHINGLE, SIMILARITY = 6, 0.8
@@ -38,65 +38,67 @@ def lines_of(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _characters(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the bytes, and line spans counted in characters."""
-    upto = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))
     points = np.frombuffer(b.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    return points, upto[starts], upto[ends]
+    inner = np.flatnonzero((b & 0xC0) == 0x80)
+    return points, starts - np.searchsorted(inner, starts), ends - np.searchsorted(inner, ends)
 
 
-def _rolled(points: np.ndarray, k: int = SHINGLE) -> np.ndarray:
-    """Hash of the k (even) characters from each place, by doubling; places near the end hold fewer."""
-    p = powers(BASE, k + 1)
-    two = points.astype(U64)
-    two += U64(1)
-    two = np.append(two, np.zeros(k, U64))
+def _hashed(points: np.ndarray) -> np.ndarray:
+    """Hash of the six characters from each place; places near the end hold fewer.
+
+    Low seven bits of a character fill a byte each; what lies above is rare and is added where it occurs."""
     n = len(points)
-    two[:-1] += two[1:] * p[1]
-    out, span = two[: n + k - 2].copy(), 2
-    while span < k:
-        out[:n] += two[span : n + span] * p[span]
-        span += 2
-    return out[:n]
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = points & np.uint32(0x7F)
+    out = np.ndarray((n,), "<u8", low, 0, (1,)) & U64((1 << 8 * SHINGLE) - 1)
+    high = np.flatnonzero(points > 0x7F)
+    rest = (points[high] >> np.uint32(7)).astype(U64)
+    for k, p in enumerate(powers(BASE, SHINGLE + 1)[1:]):
+        at = slice(int(np.searchsorted(high, k)), None)
+        out[high[at] - k] += rest[at] * p
+    out *= U64(BASE)
+    out ^= out >> U64(32)
+    out *= U64(0xBF58476D1CE4E5B9)
+    return out
 
 
-def line_items(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct six-character shingles (48-bit hashes, in the top bits) of each text; a shorter text is one shingle."""
-    b, offs = text_buffers(column)
-    points, starts, ends = _characters(b, offs[:-1], offs[1:])
+def _shingled(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Six-character shingles of each line (48-bit hashes below the line's number modulo 65,536), ascending in
+    each line, repeats included, and the lines' offsets; a shorter line is one shingle."""
     size, n = ends - starts, len(starts)
-    keys = mix(_rolled(points)) >> U64(16)
-    # The texts lie end to end: places in their last five characters begin no shingle.
-    begins = np.ones(len(points), bool)
-    for k in range(1, SHINGLE):
-        begins[ends[size >= k] - k] = False
+    counts = np.where(size >= SHINGLE, size - SHINGLE + 1, np.minimum(size, 1))
+    keys = _hashed(points)
     short = np.flatnonzero((size > 0) & (size < SHINGLE))
-    keys[starts[short]] = mix(_short(points, starts[short], size[short]) ^ U64(SHINGLE)) >> U64(16)
-    begins[starts[short]] = True
-    row = np.repeat(np.arange(n, dtype=U64), size)
-    out, total = [], np.zeros(n, np.int64)
+    keys[starts[short]] = mix(_short(points, starts[short], size[short]) ^ U64(SHINGLE))
+    # Runs of places that begin no shingle and of those that do, in turn.
+    runs = np.zeros(2 * n + 1, np.int64)
+    runs[1::2] = counts
+    runs[::2] = np.append(starts, len(points)) - np.append(0, starts + counts)
+    own = keys[np.repeat(np.arange(2 * n + 1) % 2 == 1, runs)]
+    own >>= U64(16)
+    own |= np.repeat((np.arange(n, dtype=U64) & U64(0xFFFF)) << U64(48), counts)
+    offs = np.concatenate(([0], np.cumsum(counts)))
     for at in range(0, n, 65_536):
-        a, b = starts[at], ends[min(at + 65_536, n) - 1]
-        own = begins[a:b]
-        part = np.sort(((row[a:b] - U64(at)) << U64(48) | keys[a:b])[own])
-        part = part[np.append(True, part[1:] != part[:-1])] if len(part) else part
-        total[at : at + 65_536] = np.bincount((part >> U64(48)).astype(np.int64), minlength=min(65_536, n - at))
-        out.append(part << U64(16))
-    return np.concatenate([np.zeros(0, U64), *out]), np.concatenate(([0], np.cumsum(total)))
-
-
-def set_sizes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Distinct six-character shingles of each line (a shorter line is one), as :func:`line_items` counts them."""
-    n = np.maximum(ends - starts - SHINGLE + 1, (ends > starts).astype(np.int64))
-    out = n.copy()
-    long_ = np.flatnonzero(n > 1)
-    if len(long_):
-        group, k = ragged(n[long_])
-        keys = mix(_rolled(points))[starts[long_][group] + k] >> U64(16)
-        for lo in range(0, len(long_), 65_536):
-            at = slice(*np.searchsorted(group, (lo, lo + 65_536)))
-            part = np.sort((group[at] - lo).astype(U64) << U64(48) | keys[at])
-            new = np.append(True, part[1:] != part[:-1])
-            out[long_[lo : lo + 65_536]] = np.bincount((part[new] >> U64(48)).astype(np.int64), minlength=len(long_[lo : lo + 65_536]))
-    return out
+        own[offs[at] : offs[min(at + 65_536, n)]].sort()
+    return own, offs
+
+
+def _distinct(keys: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys that differ from the one before them in their line, and the lines' offsets into those."""
+    new = np.empty(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    new[offs[offs < len(keys)]] = True
+    places = np.flatnonzero(new)
+    return places, np.searchsorted(places, offs)
+
+
+def line_items(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct six-character shingles (48-bit hashes, in the top bits) of each text; a shorter text is one shingle."""
+    b, offs = text_buffers(column)
+    keys, offs = _shingled(*_characters(b, offs[:-1], offs[1:]))
+    keys <<= U64(16)
+    places, offs = _distinct(keys, offs)
+    return keys[places], offs
 
 
 def _short(points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -108,27 +110,23 @@ def _short(points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarr
     return own
 
 
-def band_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Bands of a one-permutation MinHash (BINS bins) of each line's six-character shingles.
+def sizes_and_bands(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct six-character shingles of each line, as :func:`line_items` counts them, and the bands of a
+    one-permutation MinHash (BINS bins) of them.
 
-    A line shorter than six is one shingle. An empty bin takes the value of a seeded other one."""
+    A bin is a range of hashes: where it begins among a line's ascending ones lies its least. An empty bin
+    takes the value of a seeded other one."""
     n, none = len(starts), np.uint32(0xFFFFFFFF)
-    value = ((_rolled(points) * U64(0x9FB21C651E98DF25)) >> U64(32)).astype(np.uint32)
-    size = ends - starts
-    short = np.flatnonzero((size > 0) & (size < SHINGLE))
-    own = _short(points, starts[short], size[short])
-    value[starts[short]] = (mix(own ^ U64(SHINGLE)) >> U64(32)).astype(np.uint32)
-    counts = np.where(size >= SHINGLE, size - SHINGLE + 1, np.minimum(size, 1))
-    # Mark where shingles begin; line bases repeat over their own places only.
-    edge = np.zeros(len(points) + 1, np.int8)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + counts, -1)
-    value = value[np.cumsum(edge[:-1], dtype=np.int8) > 0]
-    place = np.repeat(np.arange(n) * BINS, counts)
-    place += ((value.astype(U64) * U64(BINS)) >> U64(32)).astype(np.int64)
-    bins = np.full(n * BINS, none)
-    np.minimum.at(bins, place, value)
-    bins = bins.reshape(n, BINS)
+    keys, offs = _shingled(points, starts, ends)
+    sizes = np.diff(_distinct(keys, offs)[1])
+    edges = (np.arange(BINS, dtype=U64) << U64(48)) // U64(BINS)
+    bins = np.full((n, BINS), none)
+    for lo in range(0, n, 65_536):
+        hi = min(lo + 65_536, n)
+        part = keys[offs[lo] : offs[hi]]
+        at = np.searchsorted(part, ((np.arange(hi - lo, dtype=U64) << U64(48))[:, None] + edges).ravel())
+        held = np.flatnonzero(at < np.append(at[1:], len(part)))
+        bins[lo:hi].reshape(-1)[held] = (part[at[held]] >> U64(16)).astype(np.uint32)
     step, first = 0, bins.copy()
     rows = np.flatnonzero((bins == none).any(1) & (bins != none).any(1))
     while len(rows):
@@ -141,7 +139,7 @@ def band_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     out = np.zeros((n, BANDS), U64)
     for j, p in enumerate(powers(0xD6E8FEB86659FD93, ROWS + 1)[1:]):
         out += (bins.reshape(n, BANDS, ROWS)[:, :, j].astype(U64) + U64(1)) * p
-    return mix(mix(out) + np.arange(BANDS, dtype=U64) * U64(BASE))
+    return sizes, mix(mix(out) + np.arange(BANDS, dtype=U64) * U64(BASE))
 
 
 def _blank(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -168,9 +166,8 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 hashes = hash_spans(b, starts, ends)
                 first = seen.new(hashes)
                 points, s, e = _characters(b, starts, ends)
-                bands = band_hashes(points, s[first], e[first])
                 sizes = np.zeros(len(hashes), np.int32)
-                sizes[first] = set_sizes(points, s[first], e[first])
+                sizes[first], bands = sizes_and_bands(points, s[first], e[first])
                 given = np.zeros(len(hashes), bool)
                 given[first] = True
                 at = np.concatenate(([0], np.cumsum(np.where(given, BANDS, 0)))).astype(np.int32)
