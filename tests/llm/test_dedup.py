@@ -333,3 +333,42 @@ def test_lines_at_the_threshold_share_a_band(letters):
     near = np.array([len(cut(x) & cut(y)) >= 0.8 * len(cut(x) | cut(y)) for x, y in pairs])
     missed = 1 - (a == b).any(1)[near].mean()
     assert near.sum() > 20 and missed < 0.012
+
+
+@pytest.mark.parametrize("held", [1 << 21, 40, 1])
+def test_packed_members_meet_as_rows_do(spark, monkeypatch, held):
+    """Members in packs, cut anywhere and repeated, are thinned out as rows are; a part too large to judge goes on whole."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(components, "HELD", held)
+    rng = np.random.default_rng(14)
+    n = 3000
+    own = np.zeros(n, components.MEMBER)
+    own["id"] = rng.integers(-400, 400, n)
+    own["size"] = 10 + own["id"] % 37
+    own["bucket"] = rng.integers(-(1 << 63), (1 << 63) - 1, 900)[np.minimum(rng.integers(0, 2000, n), 899)]
+    own["bucket"][:500] += rng.integers(0, 3, 500)
+    members = spark.createDataFrame([tuple(map(int, m)) for m in own], "bucket long, id long, size int")
+    want = set(map(tuple, components._met(members, 0.8).collect()))
+    assert 0 < len(want) < len(set(map(tuple, own.tolist())))
+    cut = [packed for some in np.array_split(own, 7) for packed in components.packs(some, 3).to_pylist()]
+    packs = pa.array(cut, pa.list_(pa.struct([("part", pa.int32()), ("members", pa.binary())]))).to_pylist()
+    rows = [(m["part"], bytearray(m["members"])) for p in packs if p for m in p]
+    assert sum(len(m) for _, m in rows) == n * components.MEMBER.itemsize and packs[0] is None and packs[1] is None
+    monkeypatch.setattr(components, "in_arrow", lambda df, run, schema: df.mapInArrow(lambda batches: run(c for b in batches for c in (b.slice(k, 5) for k in range(0, b.num_rows, 5))), schema))
+    got = [tuple(r) for r in components._unpacked(spark.createDataFrame(rows, "part int, members binary"), 0.8).collect()]
+    assert want <= set(got) <= set(map(tuple, own.tolist()))
+    if held > n:
+        assert sorted(got) == sorted(want)
+    if held == 1:
+        assert set(got) > want
+
+
+def test_members_travel_in_packs(spark, monkeypatch):
+    """A line's bands are not rows of a shuffle: each task packs them by parts."""
+    kept, real = [], line_dedup.linked
+    monkeypatch.setattr(line_dedup, "linked", lambda members, *rest: kept.append((members.columns, members.count())) or real(members, *rest))
+    rows = [(i, "\n".join(prose(i % 50, 40))) for i in range(100)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert kept[0][0] == ["part", "members"] and kept[0][1] <= components.PARTS
+    assert all(got[i] == 40 for i in range(50, 100))

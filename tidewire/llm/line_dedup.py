@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.components import linked
+from tidewire.llm.components import MEMBER, PACKED, PACKS, linked, packs
 from tidewire.llm.tables import in_arrow, numbered, picked, small
 from tidewire.llm.text import BASE, SPACE, U64, Seen, hash_spans, mix, powers, slices, text_buffers
 from tidewire.session import forget, saved
@@ -152,32 +152,42 @@ def _blank(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """Per line with ink: ``_id, _t`` (of its document), ``n`` (its number), ``line`` (hash),
-    and once per line and task (see :class:`Seen`) ``given``, ``size`` (distinct shingles) and ``bands``, null for its repeats."""
+    """Per line with ink: ``_id, _t`` (of its document), ``n`` (its number), ``line`` (hash), ``given`` (once per line
+    and task, see :class:`Seen`) and, in some rows, ``packs`` of the given lines, by band, with their sizes (distinct shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
+        seen, names = Seen(), ["_id", "_t", "n", "line", "given", "packs"]
+        last: list[pa.Array] = []
+        members = np.zeros(0, MEMBER)
         for whole in batches:
             for batch in slices(whole, "_text"):
                 b, offs = text_buffers(batch.column("_text"))
                 starts, ends, row, number = lines_of(b, offs)
                 ink = ~_blank(b, starts, ends)
+                if not ink.any():
+                    continue
                 starts, ends, row, number = starts[ink], ends[ink], row[ink], number[ink]
                 hashes = hash_spans(b, starts, ends)
                 first = seen.new(hashes)
                 points, s, e = _characters(b, starts, ends)
-                sizes = np.zeros(len(hashes), np.int32)
-                sizes[first], bands = sizes_and_bands(points, s[first], e[first])
+                sizes, bands = sizes_and_bands(points, s[first], e[first])
+                new = np.empty(bands.size, MEMBER)
+                new["bucket"], new["id"], new["size"] = bands.ravel().view(np.int64), np.repeat(hashes[first].view(np.int64), BANDS), np.repeat(sizes, BANDS)
                 given = np.zeros(len(hashes), bool)
                 given[first] = True
-                at = np.concatenate(([0], np.cumsum(np.where(given, BANDS, 0)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at, mask=np.append(~given, False)), pa.array(bands.ravel().view(np.int64)))
+                if last:
+                    # The task's last rows wait, to carry the members that are left.
+                    full = len(members) >= PACKED
+                    yield pa.RecordBatch.from_arrays([*last, packs(members if full else members[:0], len(last[0]))], names=names)
+                    members = members[:0] if full else members
+                members = np.concatenate((members, new))
                 to = pa.array(row)
-                cols = [batch.column("_id").take(to), batch.column("_t").take(to), pa.array(number, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(given), pa.array(sizes, mask=~given), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["_id", "_t", "n", "line", "given", "size", "bands"])
+                last = [batch.column("_id").take(to), batch.column("_t").take(to), pa.array(number, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(given)]
+        if last:
+            yield pa.RecordBatch.from_arrays([*last, packs(members, len(last[0]))], names=names)
 
     kind = dict(docs.dtypes)["_id"]
-    return in_arrow(docs, run, f"_id {kind}, _t long, n int, line long, given boolean, size int, bands array<long>")
+    return in_arrow(docs, run, f"_id {kind}, _t long, n int, line long, given boolean, packs {PACKS}")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -215,7 +225,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     """
     body = picked(docs, _id=doc_id, _text=text).withColumn("_t", F.xxhash64("_text"))
     drawn = saved(_sketches(body))
-    members = drawn.filter("given").select(F.explode("bands").alias("bucket"), F.col("line").alias("id"), "size")
+    members = drawn.filter(F.size("packs") > 0).select(F.explode("packs").alias("p")).select("p.part", "p.members")
     places = drawn.filter("given").select("line", "_id", "_t", "n")
 
     def texts_of(ids: DataFrame) -> DataFrame:
