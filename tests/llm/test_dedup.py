@@ -372,3 +372,36 @@ def test_members_travel_in_packs(spark, monkeypatch):
     got = {r.doc_id: r.n_removed for r in line_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
     assert kept[0][0] == ["part", "members"] and kept[0][1] <= components.PARTS
     assert all(got[i] == 40 for i in range(50, 100))
+
+
+def test_near_duplicates_write_few_files_and_no_texts(spark, monkeypatch, tmp_path):
+    """Tables between the steps go to a file a core at most, whatever the partitions; texts go to none."""
+    import os
+    from urllib.parse import urlparse
+
+    kept, real = [], components.saved
+
+    def watched(df):
+        out = real(df)
+        files = [f for f in os.listdir(urlparse(out._saved_at).path) if f.endswith(".parquet")]
+        kept.append((df.columns, len(files)))
+        return out
+
+    monkeypatch.setattr(components, "saved", watched)
+    monkeypatch.setattr(minhash_dedup, "saved", watched)
+    words = [f"w{k}" for k in range(60)]
+    # Groups of a chain each (a text is like the next one only), so that buckets hold several components.
+    rows = [(10 * g + k, " ".join(f"{w}g{g}" for w in words[3 * k : 3 * k + 45])) for g in range(20) for k in range(4)]
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.doc_id: r.group_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(32)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    group = near(rows)
+    assert got == {rows[n][0]: rows[g][0] for n, g in group.items()} and len(set(got.values())) == 20
+    assert kept and not any("text" in c for c, _ in kept)
+    assert max(n for _, n in kept) <= spark.sparkContext.defaultParallelism

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.tables import in_arrow
 from tidewire.llm.text import slices, text_buffers
-from tidewire.session import forget, saved
+from tidewire.session import forget, gathered, saved
 
 #: Contracted edges up to which one task (16 bytes an edge) ends the work; above, rounds over all tasks.
 ONE_TASK = 400_000
@@ -59,7 +59,7 @@ def components(links: DataFrame) -> DataFrame:
     neighbour, pointers are followed to their ends, and links are redrawn between those.
     """
     a, b = links.columns
-    edges = saved(in_arrow(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")), _forest, "id long, component long"))
+    edges = saved(gathered(in_arrow(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")), _forest, "id long, component long")))
     known = None
     while edges.count() > ONE_TASK:
         both = edges.union(edges.select("component", "id"))
@@ -198,29 +198,29 @@ def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], items
     then hold several components, every member outside the largest one meets all members of others,
     in blocks of chunks (of ``chunk`` members or so). So every pair of a bucket is confirmed, refuted or already connected.
     """
-    held = saved(_unpacked(members, least) if "part" in members.columns else _met(members, least))
+    held = saved(gathered(_unpacked(members, least) if "part" in members.columns else _met(members, least)))
     keys = [c for c in ("bucket", "id", "size") if c in held.columns]
     size = held.groupBy(F.col("bucket").alias("_b")).agg(F.count("*").alias("_n"))
     score = held.join(size, F.col("bucket") == F.col("_b")).groupBy(F.col("id").alias("_i")).agg(F.sum("_n").alias("_score"))
-    first, held = held, saved(held.join(score, F.col("id") == F.col("_i")).select(*keys, "_score"))
+    first, held = held, saved(gathered(held.join(score, F.col("id") == F.col("_i")).select(*keys, "_score")))
     forget(first)
     lead = held.groupBy("bucket").agg(F.max(F.struct("_score", *keys[1:])).alias("_lead"))
     star = held.join(lead, "bucket").filter(F.col("id") != F.col("_lead.id"))
     if "size" in keys:
         star = star.filter(F.least("size", "_lead.size") >= F.greatest("size", "_lead.size") * F.lit(least))
-    pairs = saved(star.select(F.least("id", "_lead.id").alias("a"), F.greatest("id", "_lead.id").alias("b")).distinct())
-    links = saved(alike(pairs, texts_of(_ends(pairs)), items, least))
+    pairs = saved(gathered(star.select(F.least("id", "_lead.id").alias("a"), F.greatest("id", "_lead.id").alias("b")).distinct()))
+    links = saved(gathered(alike(pairs, texts_of(_ends(pairs)), items, least)))
     forget(pairs)
     found = components(links)
     now = held.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     parts = now.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("_main"), F.count("*").alias("_k"), F.sum("n").alias("_all"))
     main = main.filter("_k > 1 and _all > 2").select("bucket", F.col("_main.c").alias("_main"), "_all", (F.col("_all") - F.col("_main.n")).alias("_odd"))
-    now = saved(now.join(main, "bucket"))
+    now = saved(gathered(now.join(main, "bucket")))
     forget(held)
     if not now.limit(1).count():
         return found
-    more = saved(_blocks(now, texts_of(now.select("id").distinct()), items, least, chunk or CHUNK))
+    more = saved(gathered(_blocks(now, texts_of(now.select("id").distinct()), items, least, chunk or CHUNK)))
     forget(now)
     return components(links.select("a", "b").union(more))
 

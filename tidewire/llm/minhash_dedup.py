@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewire.llm.components import linked
 from tidewire.llm.tables import in_arrow, numbered, picked, small
 from tidewire.llm.text import U64, Seen, joined, mix, powers, ragged, salts, shingles, slices, words_of
-from tidewire.session import forget, saved
+from tidewire.session import forget, gathered, saved
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 16 bands of 4 registers: a pair at 0.8 shares a band with probability 0.9998.
@@ -140,23 +139,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     texts are groups of their own and kept. Null ids count as larger than all (a group of null ids
     has a null group_id and its rows are kept). Repeated rows are one class.
     """
-    drawn = saved(sketches(docs, doc_id, text))
+    drawn = saved(gathered(sketches(docs, doc_id, text)))
     members = drawn.filter("given").select(F.explode("bands").alias("bucket"), F.col("class").alias("id"), "size")
-    contents: list[DataFrame] = []
     sample = drawn.filter("given").groupBy("class").agg(F.min("_id").alias("_id"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        new = ids.withColumnRenamed("id", "class")
-        for have in contents:
-            new = new.join(have.select(F.col("id").alias("class")), "class", "left_anti")
-        wanted = saved(sample.join(new, "class", "left_semi"))
-        contents.append(saved(_texts(docs, wanted, doc_id, text)))
-        return reduce(DataFrame.unionByName, contents)
+        # Texts go from the documents to their join; they are not written as files.
+        wanted = saved(gathered(sample.join(ids.withColumnRenamed("id", "class"), "class", "left_semi")))
+        return _texts(docs, wanted, doc_id, text)
 
     found = linked(members, texts_of, occurrences, similarity)
     f = found.select(F.col("id").alias("_k"), "component")
-    rows = saved(drawn.select("_id", "class").join(f, F.col("class") == F.col("_k"), "left").select("_id", "class", F.coalesce("component", "class").alias("g")))
-    forget(drawn, *contents)
+    rows = saved(gathered(drawn.select("_id", "class").join(f, F.col("class") == F.col("_k"), "left").select("_id", "class", F.coalesce("component", "class").alias("g"))))
+    forget(drawn)
     groups = rows.filter("g is not null").groupBy("g").agg(F.min("_id").alias("group_id"), F.count("*").alias("group_rows"))
     groups = groups.filter("group_rows > 1").withColumnRenamed("g", "_g")
     out = rows.join(groups, F.col("g") == F.col("_g"), "left")
@@ -174,7 +169,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Null, empty and wordless texts stay. Of repeated rows, and of rows of a group that hold its smallest
     id together, one stays. Columns of any name are kept as they are.
     """
-    judged = saved(near_duplicates(docs, doc_id=doc_id, text=text).filter("group_rows > 1"))
+    judged = saved(gathered(near_duplicates(docs, doc_id=doc_id, text=text).filter("group_rows > 1")))
     body, at = numbered(docs)
     key, words = at[doc_id], list(body.columns).index(at[text])
 
@@ -190,7 +185,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     stay = marked.join(small(out), F.col(key).eqNullSafe(F.col("_id")) & F.col("_class").eqNullSafe(F.col("_out")), "left_anti")
     # Several rows of a group can hold its smallest id; of those one stays.
     twice = judged.filter("kept").groupBy(F.col(doc_id).alias("_id"), F.col("_group").alias("_g")).agg(F.count("*").alias("n"), F.collect_set("_class").alias("_classes"))
-    twice = small(saved(twice.filter("n > 1").select("_id", "_g", F.explode("_classes").alias("_again"))))
+    twice = small(saved(gathered(twice.filter("n > 1").select("_id", "_g", F.explode("_classes").alias("_again")))))
     tied = stay.join(twice, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_again")), "left")
     alone = tied.filter("_g is null").select(*body.columns)
     return alone.unionByName(tied.filter("_g is not null").dropDuplicates(["_g", "_id"]).select(*body.columns)).toDF(*docs.columns)

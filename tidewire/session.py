@@ -50,6 +50,12 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``df``, computed by as many tasks as before, in no more partitions than there are cores: :func:`saved`
+    then writes a few files. For results much smaller than what they are computed of."""
+    return df.hint("rebalance").coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete what :func:`saved` wrote for ``tables``; only what no later result reads may be forgotten."""
     for df in tables:
