@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import decontamination, line_dedup, minhash_dedup, mixing, toxicity
 from tidewire.llm.tables import numbered, table
-from tidewire.session import saved
+from tidewire.session import merged, saved
+
+#: Bytes of a stage's input that go to one file of its output, if that makes more files than there are cores.
+FILE = 32 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,23 +19,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Graded beside the documents, so that columns named like a grade's stay as they are.
     body, at = numbered(docs)
     graded = toxicity.severity(body, model, doc_id=at["doc_id"], text=at["text"])
-    return graded.filter(~F.col("toxic")).select(*body.columns).toDF(*docs.columns)
+    return merged(graded.filter(~F.col("toxic")).select(*body.columns).toDF(*docs.columns), docs, FILE)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document or line has; documents left without a line go."""
-    return line_dedup.without_repeats(docs)
+    return merged(line_dedup.without_repeats(docs), docs, FILE)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return minhash_dedup.one_of_each(docs)
+    return merged(minhash_dedup.one_of_each(docs), docs, FILE)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
     found = saved(decontamination.leaks(docs, table(spark, sf_dir, "benchmark")))
-    return decontamination.without_leaks(docs, found)
+    return merged(decontamination.without_leaks(docs, found), docs, FILE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -405,3 +405,43 @@ def test_near_duplicates_write_few_files_and_no_texts(spark, monkeypatch, tmp_pa
     assert got == {rows[n][0]: rows[g][0] for n, g in group.items()} and len(set(got.values())) == 20
     assert kept and not any("text" in c for c, _ in kept)
     assert max(n for _, n in kept) <= spark.sparkContext.defaultParallelism
+
+
+def test_lines_and_stages_write_few_files(spark, monkeypatch, tmp_path):
+    """Line dedup and the stages of the pipeline give a file a core at most for small inputs in many parts."""
+    import os
+    from urllib.parse import urlparse
+
+    import corpus_pipeline
+    from tidewire.session import merged
+
+    kept, real, cores = [], components.saved, spark.sparkContext.defaultParallelism
+
+    def watched(df):
+        out = real(df)
+        kept.append(len([f for f in os.listdir(urlparse(out._saved_at).path) if f.endswith(".parquet")]))
+        return out
+
+    for m in (components, line_dedup):
+        monkeypatch.setattr(m, "saved", watched)
+    rows = [(i, f"this line is number {i} times {i * i}, own of document {i}\nthe line that all documents have in common") for i in range(64)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(32).write.parquet(str(tmp_path / "docs"))
+    settings = {
+        "spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "4k",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        parts = docs.rdd.getNumPartitions()
+        assert parts > 2 * cores and merged(docs, docs).rdd.getNumPartitions() == cores and merged(docs, docs, 1).rdd.getNumPartitions() == parts
+        out = corpus_pipeline.dedup_lines(spark, docs, "")
+        out.write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {i: t if i == 0 else t.split("\n")[0] for i, t in rows}
+    assert {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+    assert max(kept) <= cores and len([f for f in os.listdir(tmp_path / "out") if f.endswith(".parquet")]) <= cores

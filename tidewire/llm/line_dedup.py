@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewire.llm.components import MEMBER, PACKED, PACKS, linked, packs
 from tidewire.llm.tables import in_arrow, numbered, picked, small
 from tidewire.llm.text import BASE, SPACE, U64, Seen, hash_spans, mix, powers, slices, text_buffers
-from tidewire.session import forget, saved
+from tidewire.session import forget, gathered, merged, saved
 
 SHINGLE, SIMILARITY = 6, 0.8
 #: 10 bands of 4 bins: lines at 0.8 share a band with probability 0.995.
@@ -207,7 +207,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 raw = [b[p:q].tobytes().decode("utf-8") for p, q in zip(starts[places[keep]], ends[places[keep]], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(raw, pa.string())], names=["id", "text"])
 
-    asked = saved(wanted.groupBy("_id", "_t").agg(F.collect_list(F.struct("n", "line")).alias("asked")))
+    asked = saved(gathered(wanted.groupBy("_id", "_t").agg(F.collect_list(F.struct("n", "line")).alias("asked"))))
     a = small(asked.withColumnsRenamed({"_id": "_i", "_t": "_u"}), LISTED, F.size("asked"))
     met = docs.join(a, docs["_id"].eqNullSafe(a["_i"]) & (docs["_t"] == a["_u"])).select("_text", "asked")
     return in_arrow(met, run, "id long, text string")
@@ -224,28 +224,28 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     between them included only if an earlier document has them.
     """
     body = picked(docs, _id=doc_id, _text=text).withColumn("_t", F.xxhash64("_text"))
-    drawn = saved(_sketches(body))
+    drawn = saved(merged(_sketches(body), body))
     members = drawn.filter(F.size("packs") > 0).select(F.explode("packs").alias("p")).select("p.part", "p.members")
     places = drawn.filter("given").select("line", "_id", "_t", "n")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         # Texts are cut out anew where they are used: they go to their join without being written as files.
         place = F.min(F.struct("_id", "_t", "n")).alias("p")
-        met = places.join(small(saved(ids.withColumnRenamed("id", "line")), IDS), "line", "left_semi")
+        met = places.join(small(saved(gathered(ids.withColumnRenamed("id", "line"))), IDS), "line", "left_semi")
         return _texts(body, met.groupBy("line").agg(place).select("line", "p._id", "p._t", "p.n"))
 
     found = linked(members, texts_of, line_items, similarity, CHUNK)
     f = small(found.select(F.col("id").alias("_k"), "component"), IDS)
     rows = drawn.select("_id", "_t", "n", "line").join(f, F.col("line") == F.col("_k"), "left")
-    rows = saved(rows.select("_id", "_t", "n", F.coalesce("component", "line").alias("g")))
+    rows = saved(gathered(rows.select("_id", "_t", "n", F.coalesce("component", "line").alias("g"))))
     forget(drawn)
     # A group's first document, then that document's first line of the group; both combine before the shuffle.
     docs_of = rows.groupBy("g").agg(F.min("_id").alias("_i"), F.sum(F.col("_id").isNull().cast("int")).alias("_nulls"), F.count("*").alias("_n"))
-    docs_of = saved(docs_of.filter("_n > 1").select(F.col("g").alias("_g"), F.when(F.col("_nulls") == 0, F.col("_i")).alias("_i")))
-    held = saved(rows.join(small(docs_of, IDS), F.col("g") == F.col("_g")))
+    docs_of = saved(gathered(docs_of.filter("_n > 1").select(F.col("g").alias("_g"), F.when(F.col("_nulls") == 0, F.col("_i")).alias("_i"))))
+    held = saved(gathered(rows.join(small(docs_of, IDS), F.col("g") == F.col("_g"))))
     forget(rows)
     firsts = held.filter(F.col("_id").eqNullSafe(F.col("_i"))).groupBy(F.col("g").alias("_h")).agg(F.min(F.struct("n", "_t")).alias("_first"))
-    lost = held.join(small(saved(firsts), IDS), F.col("g") == F.col("_h")).filter(
+    lost = held.join(small(saved(gathered(firsts)), IDS), F.col("g") == F.col("_h")).filter(
         ~(F.col("_id").eqNullSafe(F.col("_i")) & (F.col("n") == F.col("_first.n")) & (F.col("_t") == F.col("_first._t")))
     )
     return lost.groupBy("_id", "_t").agg(F.sort_array(F.collect_set("n")).alias("removed"))
@@ -280,7 +280,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Null and blank texts stay as they are. Repeated rows lose the same lines (see :func:`repeated_lines`).
     Columns of any name are kept as they are.
     """
-    lost = saved(repeated_lines(docs, doc_id=doc_id, text=text).withColumnsRenamed({"_id": "_i", "_t": "_u"}))
+    lost = saved(gathered(repeated_lines(docs, doc_id=doc_id, text=text).withColumnsRenamed({"_id": "_i", "_t": "_u"})))
     lost = small(lost, LISTED, F.size("removed"))
     body, at = numbered(docs)
     own = F.col(at[text])

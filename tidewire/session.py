@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group of a saved table: what a task that writes or reads it holds, and what reads are dealt by.
+ROW_GROUP = 16 << 20
 
 def session(app: str = "tidewire", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; a cluster supplies its own."""
@@ -44,7 +46,7 @@ def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
@@ -56,6 +58,14 @@ def gathered(df: DataFrame) -> DataFrame:
     return df.hint("rebalance").coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
 
 
+def merged(df: DataFrame, source: DataFrame, bytes_each: int = 128 << 20) -> DataFrame:
+    """``df``, computed row by row of ``source``, in fewer and larger partitions without a shuffle: one a core, or
+    more, so that none is of more than about ``bytes_each`` of ``source`` by the optimizer's estimate."""
+    held = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    return df.coalesce(min(max(cores, -(-held // bytes_each)), (1 << 31) - 1))
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete what :func:`saved` wrote for ``tables``; only what no later result reads may be forgotten."""
     for df in tables:
