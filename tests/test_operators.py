@@ -171,6 +171,25 @@ def test_distance_matrix_in_blocks(spark, monkeypatch, metric):
     assert tasks > 1 and out.dtypes == [("k", "string"), ("i", "int"), ("j", "int"), ("distance", "double")]
 
 
+@pytest.mark.parametrize("metric", ["hamming", "levenshtein"])
+def test_distance_matrix_hands_over_a_row_for_each_left_message(spark, monkeypatch, metric):
+    """Messages of one length, of many lengths, null and empty: all pairs, made of few rows from Python, and rounded
+    as Spark rounds, but before there is a row for each pair."""
+    monkeypatch.setattr(messages, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    word = lambda n: b"msg" + bytes(rng.integers(0, 3, n).astype(np.uint8))
+    groups = {1: [word(9) for _ in range(37)], 2: [word(n) for n in rng.integers(0, 60, 35)] + [None, b""], 3: [b"", b"", None], 4: [word(300) for _ in range(20)]}
+    df = spark.createDataFrame([(k, n, m) for k, x in groups.items() for n, m in enumerate(x) if metric == "hamming" or k != 4], "k int, n int, m binary")
+    plain, out = (messages.distance_matrix(df, ["k"], ["n"], "m", metric, digits) for digits in (None, 3))
+    by = lambda d: {(r.k, r.i, r.j): r.distance for r in d.collect()}
+    told = lambda x, y: None if x is None or y is None else 1 - inference.similarity(x, y, metric)
+    want = {(k, i, j): told(x[i], x[j]) for k, x in groups.items() if metric == "hamming" or k != 4 for j in range(len(x)) for i in range(j)}
+    assert by(plain) == want
+    assert by(out) == by(plain.withColumn("distance", F.round("distance", 3)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan.split("FlatMapGroupsInArrow")[0] and "_codes" in plan and "round(" not in plan
+
+
 def test_hamming_clusters_hold_distinct_messages_only(spark, monkeypatch):
     """Every row of every group is told its cluster, while a task is handed each message once."""
     seen = []

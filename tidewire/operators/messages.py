@@ -8,6 +8,7 @@ message), as for the inference operators that look for regularities across messa
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -222,41 +223,65 @@ def differences(df: DataFrame, keys: Keys, a: str, b: str) -> DataFrame:
 BLOCK = 1024
 
 
-def distance_matrix(df: DataFrame, keys: Keys, order: Keys, data: str, metric: str = "hamming") -> DataFrame:
-    """Distances 1 - similarity of all pairs i < j of a group's messages; null if one is null.
+def half_up(x: float, digits: int) -> float:
+    """As Spark's ``round``: the decimal form rounded half up; NaN stays."""
+    return x if x != x else float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
-    A group is cut into blocks of BLOCK messages against BLOCK, so that its pairs spread over tasks."""
-    own = df.select(*dict.fromkeys([*keys, *order, data]))
-    rows = numbered(own, keys, [F.col(c).asc_nulls_last() for c in order], "_row").select(*keys, F.col("_row").cast("int").alias("_i"), F.col(data).alias("_m"))
-    rows = saved(rows.withColumn("_c", F.floor(F.col("_i") / BLOCK).cast("int")))
-    last = saved(rows.groupBy(*keys).agg(F.max("_c").alias("_last")))
+
+def distance_matrix(df: DataFrame, keys: Keys, order: Keys, data: str, metric: str = "hamming", digits: int | None = None) -> DataFrame:
+    """Distances 1 - similarity of all pairs i < j of a group's messages, rounded half up to ``digits`` if given; null
+    if one is null.
+
+    A group is cut into blocks of BLOCK messages against BLOCK, so that its pairs spread over tasks. Python workers
+    hand over a row for each left message of a block, with the distinct distances and 16 bits for each pair that
+    tell which of them it has; generated code makes the pairs of it."""
+    own, block = df.select(*dict.fromkeys([*keys, *order, data])), BLOCK
+    rows = numbered(own, keys, [F.col(c).asc_nulls_last() for c in order], "_row").select(*keys, F.floor(F.col("_row") / block).cast("int").alias("_c"), "_row", F.col(data).alias("_m"))
+    # A chunk is one row: its messages in order, nulls among them.
+    chunks = saved(rows.groupBy(*keys, "_c").agg(F.transform(F.sort_array(F.collect_list(F.struct("_row", "_m"))), lambda r: r["_m"]).alias("_m")))
+    last = saved(chunks.groupBy(*keys).agg(F.max("_c").alias("_last")))
     blocks = last.agg(F.sum((F.col("_last") + 1) * (F.col("_last") + 2) / 2)).first()[0] or 1
     c = F.col("_c")
-    # A block has its rows in order: the left chunk's, then those of the right one, which is the same or a later one.
+    # A block has its left chunk and its right one, which is the same or a later one.
     at = F.concat(
         F.transform(F.sequence(c, F.col("_last")), lambda j: F.struct(c.alias("i"), j.alias("j"))),
         F.filter(F.transform(F.sequence(F.lit(0), c), lambda i: F.struct(i.alias("i"), c.alias("j"))), lambda p: p.i < c),
     )
-    dealt = met(rows, last, keys).withColumn("_p", F.explode(at)).select(*keys, F.col("_p.i").alias("_x"), F.col("_p.j").alias("_y"), "_c", "_i", "_m")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    dealt = met(chunks.repartition(cores), last, keys).withColumn("_p", F.explode(at)).select(*keys, F.col("_p.i").alias("_x"), F.col("_p.j").alias("_y"), "_c", "_m")
     types = [(k, t) for k, t in dealt.dtypes if k in keys]
-    schema = "".join(f"`{k}` {t}, " for k, t in types) + "i int, j int, distance double"
+    schema = "".join(f"`{k}` {t}, " for k, t in types) + "i int, _first int, _from int, _to int, _codes array<bigint>, _values array<double>"
     want = to_arrow_schema(StructType.fromDDL(schema))
 
+    def listed(a: np.ndarray) -> pa.ListArray:
+        """Rows of ``a`` as lists; NaN as null."""
+        return pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1], pa.array(a.ravel(), from_pandas=True))
+
     def run(t: pa.Table) -> pa.Table:
-        chunk, i, m = np.asarray(t.column("_c")), np.asarray(t.column("_i")), t.column("_m").to_pylist()
+        m = dict(zip(t.column("_c").to_pylist(), t.column("_m").to_pylist(), strict=True))
         x, y = t.column("_x")[0].as_py(), t.column("_y")[0].as_py()
-        left, right = (p[np.argsort(i[p])] for p in (np.flatnonzero(chunk == x), np.flatnonzero(chunk == y)))
-        d = inference.distances([m[p] for p in left], [m[p] for p in right], metric, x == y)
-        a, b = np.nonzero(i[left][:, None] < i[right][None, :])
-        d = d[a, b]
-        n = len(d)
-        key = [pa.repeat(pa.scalar(t.column(k)[0].as_py(), want.field(k).type), n) for k in keys]
-        return pa.Table.from_arrays([*key, pa.array(i[left][a], pa.int32()), pa.array(i[right][b], pa.int32()), pa.array(d, mask=np.isnan(d))], schema=want)
-
-    # Blocks are few small rows that make many: their number of tasks is set, lest they be put together by size.
+        left, right, first = m[x], m[y], y * block
+        row, end = np.arange(x * block, x * block + len(left)), first + len(right) - 1
+        key, out, at = [pa.scalar(t.column(k)[0].as_py(), want.field(k).type) for k in keys], [], 0
+        for values, codes in inference.distance_codes(left, right, metric, x == y):
+            own = row[at : at + len(codes)]
+            at += len(codes)
+            own = own[own < end]  # the last message of all has no later one
+            n, four = len(own), np.zeros((len(own), -(-len(right) // 4) * 4), "<u2")
+            four[:, : len(right)] = codes[:n]
+            told = values if digits is None else np.array([half_up(v, digits) for v in values.tolist()])
+            places = [own, np.full(n, first), np.maximum(own + 1, first), np.full(n, end)]
+            lists = [listed(four.view("<i8")), listed(np.broadcast_to(told, (n, len(told))))]
+            out.append(pa.RecordBatch.from_arrays([*[pa.repeat(k, n) for k in key], *[pa.array(p, pa.int32()) for p in places], *lists], schema=want))
+        return pa.Table.from_batches(out, schema=want)
+
+    # Blocks are few rows that make many: their number of tasks is set, lest they be put together by size.
     by = [*keys, "_x", "_y"]
-    tasks = max(dealt.sparkSession.sparkContext.defaultParallelism, min(20_000, int(blocks) // 4))
-    return dealt.repartition(tasks, *by).groupBy(*by).applyInArrow(run, schema)
+    tasks = min(max(8 * cores, min(20_000, int(blocks) // 16)), max(cores, int(blocks)))
+    rows = dealt.repartition(tasks, *by).groupBy(*by).applyInArrow(run, schema)
+    pairs = rows.withColumn("j", F.explode(F.sequence("_from", "_to"))).withColumn("_p", F.col("j") - F.col("_first"))
+    code = F.expr("int(shiftright(get(_codes, shiftright(_p, 2)), shiftleft(_p & 3, 4)) & 65535)")
+    return pairs.select(*keys, "i", "j", F.get("_values", code).alias("distance"))
 
 
 def longest_repeats(df: DataFrame, keys: Keys, data: str) -> DataFrame:

@@ -207,7 +207,7 @@ def payload_similarity(spark, sf_dir):
  FROM n a JOIN n b ON a.c_nationkey = b.c_nationkey AND a.i < b.i""")
 def distance_matrix(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumn("m", raw("c_name"))
-    return rounded(messages.distance_matrix(c, ["c_nationkey"], ["c_custkey"], "m"))
+    return messages.distance_matrix(c, ["c_nationkey"], ["c_custkey"], "m", digits=6)
 
 
 @query(f"""WITH d AS (SELECT x, y, i FROM {_PAIRS}, range(0, 64) r(i) WHERE i < greatest(length(x), length(y)) AND substr(x, i + 1, 1) <> substr(y, i + 1, 1)), g AS (SELECT *, i - row_number() OVER (PARTITION BY x, y ORDER BY i) AS g FROM d)
